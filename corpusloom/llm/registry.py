@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from corpusloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from corpusloom.llm.mixing import op8_mixing
+from corpusloom.llm.packing import op5_packing
+from corpusloom.llm.repetition import op9_repetition
+from corpusloom.llm.urls import OP6_SQL, op6_url_filter
+from corpusloom.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_packing": op5_packing,
+    "op6_url_filter": op6_url_filter,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_repetition": op9_repetition,
 }
-ORACLE = {"op4_exact_dedup": OP4_SQL}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_warc": OP7_SQL}
