@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from corpusloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from corpusloom.llm.mixing import op8_mixing
+from corpusloom.llm.near_dedup import op1_near_dedup
 from corpusloom.llm.packing import op5_packing
 from corpusloom.llm.repetition import op9_repetition
 from corpusloom.llm.urls import OP6_SQL, op6_url_filter
 from corpusloom.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
