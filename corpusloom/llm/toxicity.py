@@ -30,7 +30,7 @@ from corpusloom.llm.common import held_out
 POSITIVES, UNLABELLED, FEATURES = 2500, 5000, 5000
 #: A feature occurs in so many sampled positives at least, in that share of them, and so many times as often as in the
 #: unlabelled texts.
-LEAST, SHARE, LIFT = 4, 0.02, 4.0
+LEAST, SHARE, LIFT = 3, 0.02, 4.0
 #: Bytes of the beginnings of a word.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.7
