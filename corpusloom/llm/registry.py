@@ -5,10 +5,10 @@ from __future__ import annotations
 from corpusloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from corpusloom.llm.line_dedup import OP3_SQL, op3_line_dedup
 from corpusloom.llm.mixing import op8_mixing
-from corpusloom.llm.near_dedup import op1_near_dedup
+from corpusloom.llm.near_dedup import OP1_SQL, op1_near_dedup
 from corpusloom.llm.packing import op5_packing
 from corpusloom.llm.quality import op2_quality
-from corpusloom.llm.repetition import op9_repetition
+from corpusloom.llm.repetition import OP9_SQL, op9_repetition
 from corpusloom.llm.toxicity import op10_toxicity
 from corpusloom.llm.urls import OP6_SQL, op6_url_filter
 from corpusloom.llm.warc import OP7_SQL, op7_warc
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_repetition": op9_repetition,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE = {"op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_warc": OP7_SQL}
+ORACLE = {"op1_near_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_warc": OP7_SQL, "op9_repetition": OP9_SQL}

@@ -121,3 +121,23 @@ def repetition(docs: DataFrame, carry: list[str], text: str = "text") -> DataFra
 
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     w AS (SELECT doc_id, t, [x FOR x IN string_split_regex(t, '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM d),
+     base AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+     l AS (SELECT doc_id, line, count(*) AS c, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
+     dup AS (SELECT doc_id, sum(c - 1)::BIGINT AS n_dup_lines, sum((c - 1) * chars)::BIGINT AS chars FROM l GROUP BY doc_id),
+     g AS (SELECT doc_id, k, unnest(range(len(w) - k + 1)) AS i, unnest([array_to_string(w[i + 1:i + k], ' ') FOR i IN range(len(w) - k + 1)]) AS g FROM w, (SELECT unnest([5, 6, 7, 8, 9, 10]) AS k) WHERE len(w) >= k),
+     twice AS (SELECT doc_id, k, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k, g) AS c FROM g) WHERE c > 1),
+     inside AS (SELECT DISTINCT doc_id, k, i + j AS pos FROM (SELECT doc_id, k, i, unnest(range(k)) AS j FROM twice)),
+     cover AS (SELECT i.doc_id, i.k, count(*) AS n, sum(length(w.w[i.pos + 1])) / any_value(b.word_chars) AS share FROM inside i JOIN w USING (doc_id) JOIN base b USING (doc_id) GROUP BY i.doc_id, i.k),
+     most AS (SELECT * FROM (VALUES (5, 0.30), (6, 0.28), (7, 0.27), (8, 0.26), (9, 0.25), (10, 0.24)) AS m(k, most)),
+     worst AS (SELECT doc_id, max(share) AS share, max(n) FILTER (WHERE c.k = 8) AS n_repeat, min(c.k) FILTER (WHERE share > most::DOUBLE) AS first FROM cover c JOIN most m ON m.k = c.k GROUP BY doc_id),
+     x AS (SELECT b.*, coalesce(dup.n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, CASE WHEN word_chars > 0 THEN coalesce(dup.chars, 0) / word_chars ELSE 0.0::DOUBLE END AS dup_line_share,
+                  coalesce(worst.share, 0.0::DOUBLE) AS dup_gram_share, worst.first FROM base b LEFT JOIN dup USING (doc_id) LEFT JOIN worst USING (doc_id)),
+     y AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x),
+     z AS (SELECT *, CASE WHEN base_failed THEN 'base' WHEN first IS NOT NULL THEN 'dup_' || first || '_grams' WHEN dup_line_share > 0.2::DOUBLE THEN 'dup_lines' END AS rule FROM y)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rule IS NULL AS kept, dup_line_share, dup_gram_share, rule FROM z
+"""
