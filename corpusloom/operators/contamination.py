@@ -99,3 +99,14 @@ def overlap_by_side(two_sides: DataFrame, idx: DataFrame, key: str, by: list[str
     return all_rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.greatest("i", "t")).alias("n_hit"), F.sum("i").alias("n_input"), F.sum("t").alias("n_target"), F.sum(F.least("i", "t")).alias("n_both")
     )
+
+
+def clean_probes(probes: DataFrame, corpus_grams: DataFrame, key: str) -> DataFrame:
+    """Probe items (key, text) with the number of their windows that the training corpus holds; 0 is clean.
+
+    The corpus side is cut to the probes' windows by a semi join before it is made distinct, so only shared windows meet.
+    """
+    own = grams(probes, [key], cap=False)
+    shared = corpus_grams.select("h").join(own.select("h").distinct(), "h", "left_semi").distinct()
+    found = own.join(shared, "h").groupBy(key).agg(F.count(F.lit(1)).alias("n_windows"))
+    return probes.select(key).join(found, key, "left").na.fill(0, ["n_windows"])

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import adapters, checks, compare, grade, instructions, render, sample, synth
-from corpusloom.plans.catalogue import _norm, query
+from corpusloom.operators import adapters, checks, compare, contamination, grade, instructions, render, sample, synth
+from corpusloom.plans.catalogue import _grams, _norm, query
 from corpusloom.sources.readers import harvest, table
 
 # Conversations
@@ -324,3 +324,27 @@ def shortest_by_lang(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     langs = {lang: 3 for lang in ("de", "en", "es", "fr")}
     return sample.bottom_k_by(docs, "lang", F.struct("n_chars", "doc_id"), langs).select("lang", "doc_id", "n_chars")
+
+
+@query("SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS lost, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS gained, count(*) FILTER (WHERE quality = 0 AND toxic = 0) - count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS net FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def win_loss(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("lang", (F.col("quality") == 1).alias("r"), (F.col("toxic") == 0).alias("c"))
+    return grade.win_loss(rows, "r", "c", ["lang"])
+
+
+@query(f"SELECT md5({_norm()}) AS key, count(*) AS n_items, count(DISTINCT source) AS n_scenarios FROM documents GROUP BY key HAVING count(*) > 1")
+def prompt_collisions(spark, d):
+    return grade.collisions(table(spark, d, "documents"), F.md5(T.normalize(F.col("text"))), "source")
+
+
+@query(f"""WITH pg AS {_grams('benchmark', 'item_id', cap=False)}, dg AS (SELECT DISTINCT g FROM {_grams('documents', 'doc_id')}), f AS (SELECT item_id, count(*) AS n FROM pg WHERE g IN (SELECT g FROM dg) GROUP BY item_id)
+SELECT b.item_id, coalesce(f.n, 0) AS n_windows FROM benchmark b LEFT JOIN f USING (item_id)""")
+def probe_corpus_overlap(spark, d):
+    corpus = contamination.grams(table(spark, d, "documents"), ["doc_id"])
+    return contamination.clean_probes(table(spark, d, "benchmark"), corpus, "item_id")
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (WHERE contains(text, '```')) AS n_none, count(*) FILTER (WHERE NOT contains(text, '```')) AS n_envelope, 0::BIGINT AS n_schema, avg(CASE WHEN contains(text, '```') THEN 1.0::DOUBLE END) AS valid_if_clean FROM documents GROUP BY source")
+def error_classes(spark, d):
+    errors = F.when(F.contains("text", F.lit("```")), F.array().cast("array<string>")).otherwise(F.array(F.lit("envelope: no code block")))
+    return grade.error_breakdown(table(spark, d, "documents").withColumn("errors", errors), "errors", ["source"])
