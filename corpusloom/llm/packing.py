@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +36,7 @@ ROUNDS = 800
 #: Pieces in a bucket that is ranked on its own, about.
 BUCKET = 512
 #: Words whose ids a worker remembers.
-CACHED = 300_000
+CACHED = 700_000
 
 #: Texts of these characters alone take the fast way: all are letters from U+00C0 on but U+00D7 and U+00F7, none changes
 #: under NFC, and lower case is character by character.
@@ -44,37 +46,47 @@ _LETTER = "a-zÀ-ÖØ-öø-ɏ"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
 
 
+#: The byte-level alphabet of such tokenizers: printable bytes stand for themselves, the others follow from 256 on.
+_OTHER = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTES = {b: 256 + i for i, b in enumerate(_OTHER)}
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes, equal to those of the tokenizers library.
 
-    The tokenizer lower-cases, splits and merges each word by itself, so the ids of a word are remembered; texts with
-    other characters, or with a special token's spelling, go through the library whole.
+    The tokenizer lower-cases, splits and merges each word by itself, so words go to the library's merge model directly
+    and their ids are remembered; texts with other characters, or with a special token's spelling, go through the
+    whole library.
     """
 
     def __init__(self, path: str):
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are taken as they lie in memory: little-endian, 32 bits")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.merge(spelt)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _PLAIN.search(text) or "<|" in text:
-            return self._whole([text])[0]
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         words = _SPLIT.findall(text.lower())
         known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHED:
+        if len(known) > CACHED:
             known.clear()
-            new = list(dict.fromkeys(words))
-        known.update(zip(new, self._whole(new), strict=True))
+        for w in words:
+            if w not in known:
+                known[w] = self._word(w)
         return b"".join([known[w] for w in words])
 
 
@@ -158,8 +170,8 @@ def _fractional(counts: dict[int, int], room: int, rounds: int) -> list[tuple[di
     return [(dict(p), x) for p, x in sorted(used.items(), key=lambda kv: -kv[1])]
 
 
-def plan(counts: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Patterns (class -> how many) and for how many sequences each serves; they use up counts exactly."""
+def _rounded(counts: dict[int, int], room: int, fractional: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
+    """The whole parts of a fractional solution, and best fit on the histogram for what they leave."""
     left = {s: n for s, n in counts.items() if n}
     out: list[tuple[dict[int, int], int]] = []
 
@@ -169,16 +181,12 @@ def plan(counts: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[
             for s, m in pattern.items():
                 left[s] -= m * times
 
-    for s in [s for s in left if s >= room]:
-        use({s: 1}, left[s])
-    if rest := {s: n for s, n in left.items() if n}:
-        for pattern, x in _fractional(rest, room, rounds):
-            use(pattern, min(int(x), *(left[s] // m for s, m in pattern.items())))
-    while any(left.values()):  # best fit on the histogram: the largest class first, then whatever fits best, again and again
-        sizes = sorted(s for s, n in left.items() if n)
+    for pattern, x in fractional:
+        use(pattern, min(int(x), *(left[s] // m for s, m in pattern.items())))
+    while any(left.values()):  # the largest class first, then the largest that still fits, again and again
         pattern: dict[int, int] = defaultdict(int)
         free = room
-        for s in reversed(sizes):
+        for s in sorted((s for s, n in left.items() if n), reverse=True):
             if m := min(free // s, left[s]):
                 pattern[s] = m
                 free -= m * s
@@ -186,6 +194,20 @@ def plan(counts: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[
     return out
 
 
+def plan(counts: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """Patterns (class -> how many) and for how many sequences each serves; they use up counts exactly.
+
+    The rounded solution of the linear program; where plain best fit on the histogram needs fewer sequences, as it can if
+    there are few pieces of each class, that instead.
+    """
+    full = [({s: 1}, n) for s, n in counts.items() if s >= room and n]
+    rest = {s: n for s, n in counts.items() if s < room and n}
+    if not rest:
+        return full
+    solved, plain = _rounded(rest, room, _fractional(rest, room, rounds)), _rounded(rest, room, [])
+    return full + min(solved, plain, key=lambda patterns: sum(n for _, n in patterns))
+
+
 def _runs(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each class: the first rank, the pieces a sequence takes, and the first sequence, of each pattern that uses it."""
     runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
