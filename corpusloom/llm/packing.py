@@ -34,7 +34,7 @@ WIDTH = 4
 #: Rounds of the multiplicative weights.
 ROUNDS = 800
 #: Pieces in a bucket that is ranked on its own, about.
-BUCKET = 512
+BUCKET = 128
 #: Words whose ids a worker remembers.
 CACHED = 700_000
 
