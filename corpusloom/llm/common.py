@@ -58,8 +58,10 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+        """df as a written table; by so many tasks at most where its size is known to be small."""
         at = f"{self.path}/{name}"
+        df = df.coalesce(tasks) if tasks else df
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
@@ -75,6 +77,11 @@ class Scratch:
                 return
 
 
+def tasks_for(rows: int, each: int = 20_000) -> int:
+    """Tasks for a table of that many narrow rows."""
+    return max(1, -(-rows // each))
+
+
 def fresh(df: DataFrame, base: str, taken: Iterable[str] = ()) -> str:
     """A column name like base that df has not got, whatever else its rows carry."""
     used = {c.lower() for c in (*df.columns, *taken)}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, tasks_for
 from corpusloom.llm.components import components
 
 #: Retained values of a sketch, and of the longer one that blocks compare.
@@ -230,23 +230,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     entries = reps.select("id", F.explode(keys).alias("key"))
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
     entries = scratch.write(entries.join(scratch.write(lists, "lists"), "key"), "entries")
+    few = tasks_for(entries.count())  # for all that only shared lists give
 
     edges = entries.filter(F.col("n") > LIST).select(F.col("least").alias("a"), F.col("id").alias("b"))
     families = components(scratch, edges, "families").select("id", F.col("component").alias("family"))
-    families = scratch.write(families, "families")
+    families = scratch.write(families, "families", few)
     short = entries.filter(F.col("n") <= LIST).join(families, "id", "left")
     one = (F.count("family") == F.count(F.lit(1))) & (F.min("family") == F.max("family"))
     mixed = short.groupBy("key").agg(one.alias("one")).filter("not one").select("key")
-    short = scratch.write(short.join(mixed, "key", "left_semi").select("key", "id", "family"), "short")
+    short = scratch.write(short.join(mixed, "key", "left_semi").select("key", "id", "family"), "short", few)
     other = short.select("key", F.col("id").alias("b"), F.col("family").alias("of"))
     pairs = short.join(other, "key").filter("id < b and not coalesce(family = of, false)").select(F.col("id").alias("a"), "b").distinct()
     side = {c: reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"}
-    weighed = scratch.write(pairs, "pairs").join(side["a"], "a").join(side["b"], "b")
+    weighed = scratch.write(pairs, "pairs", few).join(side["a"], "a").join(side["b"], "b")
     likely = weighed.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimated(percent), "a long, b long")
-    likely = scratch.write(likely, "likely")
+    likely = scratch.write(likely, "likely", few)
 
     wanted = families.select("id").unionByName(likely.select(F.col("a").alias("id"))).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    wanted = scratch.write(wanted, "wanted")
+    wanted = scratch.write(wanted, "wanted", few)
     sets = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_full_sets(words), "id long, shingles binary")
     sets = scratch.write(sets, "sets")
     full = {c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab"}
@@ -255,9 +256,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     links = scratch.write(found.unionByName(_family_links(scratch, families, sets, percent)), "links")
     scratch.drop("sets", "entries", "short", "pairs", "lists", "likely", "wanted")
 
-    reached = scratch.write(components(scratch, links, "links"), "components")
+    reached = scratch.write(components(scratch, links, "links"), "components", few)
     told = reps.join(reached, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    told = scratch.write(told.filter("rows > 1 or component_id <> id").select("digest", "component_id"), "told")
+    told = scratch.write(told.filter("rows > 1 or component_id <> id").select("digest", "component_id"), "told", tasks_for(reps.count()))
     out = each.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(told, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
