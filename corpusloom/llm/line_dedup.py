@@ -39,17 +39,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS)
     scratch = Scratch(spark, "lines")
     split = F.split("text", "\n")
     lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.posexplode(split).alias("at", "line"))
-    masked = F.trim(F.regexp_replace(F.regexp_replace("line", _FIELD, "<*>"), _BLANK, " "))
-    lines = lines.withColumn("words", F.split(masked, " ")).filter(F.size("words") >= LEAD)
-    leaf = F.xxhash64(F.size("words"), *(F.col("words")[i] for i in range(LEAD)))
-    lines = lines.select("doc_id", "h", "at", leaf.alias("leaf"), F.xxhash64(F.concat_ws(" ", "words")).alias("whole"), "words")
+    line = F.col("line")
+    # Most lines have neither a digit nor other blanks than single spaces, and need no rewriting.
+    hidden = F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
+    masked = F.when(F.rlike(line, F.lit(r"[\x09-\x0D]|\x20\x20")), F.regexp_replace(hidden, _BLANK, " ")).otherwise(hidden)
+    lines = lines.withColumn("masked", F.trim(masked))
+    lines = lines.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).filter(F.col("n") >= LEAD)
+    leaf = F.xxhash64("n", F.substring_index("masked", " ", LEAD))
+    lines = lines.select("doc_id", "h", "at", leaf.alias("leaf"), F.xxhash64("masked").alias("whole"), "masked")
 
     keys = scratch.write(lines.select("doc_id", "h", "leaf", "whole").distinct(), "keys")
     often = F.count(F.lit(1)) >= documents
     leaves = keys.select("doc_id", "h", "leaf").distinct().groupBy("leaf").agg(often.alias("often")).filter("often").select("leaf")
     exact = keys.groupBy("leaf", "whole").agg(often.alias("often")).filter("often").select("leaf", "whole", F.lit(True).alias("exact"))
     leaves, exact = scratch.write(leaves, "leaves"), scratch.write(exact, "exact")
-    near = scratch.write(lines.join(leaves, "leaf", "left_semi"), "near")
+    near = lines.join(leaves, "leaf", "left_semi").withColumn("words", F.split("masked", " ")).drop("masked")
+    near = scratch.write(near, "near")
 
     size = near.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max(F.size("words")).alias("n"))
     words = near.select("leaf", F.posexplode("words").alias("i", "word")).groupBy("leaf", "i", "word").count()
