@@ -60,8 +60,9 @@ class Model:
         known, words = self.known, words_of(text)
         if len(known) > CACHED:
             known.clear()
-        for w in words - known.keys():
-            known[w] = sum(self.weights.get(x, 0.0) for x in features_of(w))
+        for w in words:
+            if w not in known:
+                known[w] = sum(self.weights.get(x, 0.0) for x in features_of(w))
         f = self.bias + math.fsum(known[w] for w in words)
         return 1 / (1 + math.exp(-min(max(f, -30.0), 30.0)))
 
@@ -121,7 +122,7 @@ def _sampled(docs: DataFrame, ids: DataFrame, most: int) -> list[set[bytes]]:
     """The word sets of the documents whose ids come first by hash: most rows at most, which bounds the broadcast."""
     chosen = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
-    return sorted((set(bytes(r[0]).split()) for r in texts.mapInArrow(_word_sets, "words binary").toLocalIterator()), key=sorted)
+    return sorted((set(bytes(r[0]).split()) for r in texts.mapInArrow(_word_sets, "words binary").collect()), key=sorted)
 
 
 def train(docs: DataFrame, labels: DataFrame, unlabelled: int = UNLABELLED) -> Model:
