@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     seen = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
     seen = seen.groupBy("doc_id").agg(F.avg("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     bags = docs.select("doc_id", "text").join(F.broadcast(seen), "doc_id").select("doc_id", "y", "text")
-    found = sorted((r[0], r[1], bytes(r[2])) for r in bags.mapInArrow(_encoded, "doc_id long, y double, rows binary").toLocalIterator())
+    found = sorted((r[0], r[1], bytes(r[2])) for r in bags.mapInArrow(_encoded, "doc_id long, y double, rows binary").collect())
     return fit([np.frombuffer(r, dtype="<f4").reshape(-1, FEATURES).astype(float) for _, _, r in found], np.array([y for _, y, _ in found]))
 
 
