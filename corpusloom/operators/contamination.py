@@ -91,9 +91,9 @@ def sides(messages: DataFrame, key: str, role: str = "role", text: str = "text",
     return grouped.select(key, side(lambda x: x[role] != "assistant").alias("input"), side(lambda x: x[role] == "assistant").alias("target"))
 
 
-def overlap_by_side(two_sides: DataFrame, idx: DataFrame, key: str, by: list[str]) -> DataFrame:
+def overlap_by_side(two_sides: DataFrame, idx: DataFrame, key: str, by: list[str], cap: bool = True) -> DataFrame:
     """Per group of rows: how many there are, and how many share a window on either side, the input, the target, both."""
-    hit = [grams(two_sides.select(key, F.col(s).alias("text")), [key]).join(idx.select("h").distinct(), "h", "left_semi").select(key, F.lit(s).alias("side")).distinct() for s in ("input", "target")]
+    hit = [grams(two_sides.select(key, F.col(s).alias("text")), [key], cap=cap).join(idx.select("h").distinct(), "h", "left_semi").select(key, F.lit(s).alias("side")).distinct() for s in ("input", "target")]
     each = hit[0].unionByName(hit[1]).groupBy(key).agg(F.max((F.col("side") == "input").cast("int")).alias("i"), F.max((F.col("side") == "target").cast("int")).alias("t"))
     all_rows = two_sides.select(key, *by).join(each, key, "left").na.fill(0, ["i", "t"])
     return all_rows.groupBy(*by).agg(

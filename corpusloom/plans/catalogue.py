@@ -48,7 +48,7 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_grams(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.grams(table(spark, d, "documents"), ["doc_id"])
+    return contamination.grams(table(spark, d, "documents"), ["doc_id"], cap=False)
 
 
 # Contamination
@@ -117,7 +117,7 @@ SELECT 'conversations' AS corpus, count(*) AS n_rows, count(*) FILTER (WHERE i.c
        count(*) FILTER (WHERE i.conv_id IS NOT NULL AND t.conv_id IS NOT NULL) AS n_both FROM s LEFT JOIN i USING (conv_id) LEFT JOIN t USING (conv_id)""")
 def contam_conv_sides(spark, d):
     two = contamination.sides(table(spark, d, "conversations"), "conv_id").withColumn("corpus", F.lit("conversations"))
-    return contamination.overlap_by_side(two, _index(spark, d), "conv_id", ["corpus"])
+    return contamination.overlap_by_side(two, _index(spark, d), "conv_id", ["corpus"], cap=False)
 
 
 # Duplicates

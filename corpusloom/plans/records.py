@@ -340,7 +340,7 @@ def prompt_collisions(spark, d):
 @query(f"""WITH pg AS {_grams('benchmark', 'item_id', cap=False)}, dg AS (SELECT DISTINCT g FROM {_grams('documents', 'doc_id')}), f AS (SELECT item_id, count(*) AS n FROM pg WHERE g IN (SELECT g FROM dg) GROUP BY item_id)
 SELECT b.item_id, coalesce(f.n, 0) AS n_windows FROM benchmark b LEFT JOIN f USING (item_id)""")
 def probe_corpus_overlap(spark, d):
-    corpus = contamination.grams(table(spark, d, "documents"), ["doc_id"])
+    corpus = contamination.grams(table(spark, d, "documents"), ["doc_id"], cap=False)
     return contamination.clean_probes(table(spark, d, "benchmark"), corpus, "item_id")
 
 

@@ -25,7 +25,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 def contaminated(texts: DataFrame, idx: DataFrame, key: str) -> DataFrame:
     """Arriving texts' windows that a static index holds: a stream-static join, without state."""
-    return contamination.grams(texts, [key]).join(idx.select("h").distinct(), "h").select(key, "h")
+    return contamination.grams(texts, [key], cap=False).join(idx.select("h").distinct(), "h").select(key, "h")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -52,6 +52,22 @@ def test_prefix_is_cut_before_words_are_made(spark):
     assert contamination.grams(spark.createDataFrame([(1, long)], "k long, text string"), ["k"]).join(contamination.index(spark.createDataFrame([(1, SPAN)], "item_id long, text string")), "h").count() == 0
 
 
+def test_registered_queries_read_whole_texts(spark, tmp_path):
+    from corpusloom.plans import catalogue, records
+
+    far = "x " * 10_000 + SPAN
+    spark.createDataFrame([(1, SPAN)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, far, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, "user", far), (3, 2, "assistant", far)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert all(run(name)[0].doc_id == 7 for name in ("contam_docs", "contam_owned_hits", "contam_worst_k", "contam_quote"))
+    assert (run("contam_by_lang")[0].n_hit, run("contam_items_touched")[0].rows, run("contam_overlap_fraction")[0].n_windows) == (1, "7", 10_001)
+    assert run("contam_conv_sides")[0].n_both == 1
+    assert catalogue.QUERIES["probe_corpus_overlap"] is records.probe_corpus_overlap and run("probe_corpus_overlap")[0].n_windows == 1
+    idx = contamination.index(spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert events.contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), idx, "doc_id").count() == 1
+
+
 # Text functions
 
 
