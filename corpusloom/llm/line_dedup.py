@@ -6,6 +6,9 @@ of the leaf's lines have it there, and is a variable field otherwise; where enou
 template, and the lines that agree with it are its own. A masked line that itself recurs is a template without further
 fields. Lines of templates that occur in at least `documents` different documents are dropped.
 
+That is what OP3_SQL states. With `verbatim`, lines that recur word for word count at any length: those of fewer than LEAD
+words in `documents` documents, those of over LONG words in `verbatim` different texts.
+
 Lines are counted after a distinct per document and leaf, so a line that a third of all documents share spreads over all
 tasks; what is gathered per leaf is one word a position, and per document the positions of its own lines.
 """
@@ -23,38 +26,52 @@ DOCUMENTS = 10
 LEAD = 3
 #: Least percentage of a template's positions that keep a word, and of those words that a line must agree with.
 FIXED, AGREE = 60, 80
+#: Words beyond which a line that recurs word for word needs few texts only, and that many texts.
+LONG, TEXTS = 50, 2
 _BLANK = r"[\x20\x09-\x0D]+"
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
+def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS, verbatim: int | None = None) -> DataFrame:
     """docs with the recurring lines taken out of text, and n_lines and n_dropped (long).
 
     Defined cases: a null text stays null and has no lines; an empty table gives an empty result; lines of fewer than
-    LEAD words are kept; a line that repeats within one document counts once; rows that share doc_id and text are the
+    LEAD words are kept (with `verbatim`, blank ones); a line that repeats within one document counts once; rows that share doc_id and text are the
     same document; a null doc_id is an id like any other; of words equally common at a position the larger by code
     point is kept. Columns n_lines and n_dropped of docs are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
     scratch = Scratch(spark, "lines")
     split = F.split("text", "\n")
-    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), F.posexplode(split).alias("at", "line"))
+    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), *([F.xxhash64("text").alias("t")] if verbatim else []), F.posexplode(split).alias("at", "line"))
     line = F.col("line")
     # Most lines have neither a digit nor other blanks than single spaces, and need no rewriting.
     hidden = F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
     masked = F.when(F.rlike(line, F.lit(r"[\x09-\x0D]|\x20\x20")), F.regexp_replace(hidden, _BLANK, " ")).otherwise(hidden)
     lines = lines.withColumn("masked", F.trim(masked))
-    lines = lines.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).filter(F.col("n") >= LEAD)
+    lines = lines.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1)
+    lines = lines.filter(F.col("masked") != "") if verbatim else lines.filter(F.col("n") >= LEAD)
     leaf = F.xxhash64("n", F.substring_index("masked", " ", LEAD))
-    lines = lines.select("doc_id", "h", "at", leaf.alias("leaf"), F.xxhash64("masked").alias("whole"), "masked")
-
-    keys = scratch.write(lines.select("doc_id", "h", "leaf", "whole").distinct(), "keys")
     often = F.count(F.lit(1)) >= documents
-    leaves = keys.select("doc_id", "h", "leaf").distinct().groupBy("leaf").agg(often.alias("often")).filter("often").select("leaf")
+    if verbatim:  # short and long lines have an entry as they stand, a leaf of their own; long ones count by text
+        as_is = F.xxhash64(F.btrim(line, F.lit("\t\n\x0b\x0c\r ")), F.lit("as is"))
+        entry = lambda key, own, kind: F.struct(key.alias("leaf"), own.alias("whole"), F.lit(kind).alias("kind"))
+        usual, short, long = entry(leaf, F.xxhash64("masked"), 0), entry(as_is, as_is, 1), entry(as_is, as_is, 2)
+        entries = F.when(F.col("n") < LEAD, F.array(short)).when(F.col("n") > LONG, F.array(usual, long)).otherwise(F.array(usual))
+        lines = lines.select("doc_id", "h", "t", "at", "masked", F.explode(entries).alias("e")).select("doc_id", "h", "t", "at", "e.*", "masked")
+        by_text = F.col("kind") == 2
+        found = lines.select(F.when(~by_text, F.col("doc_id")).alias("doc_id"), F.when(by_text, F.col("t")).otherwise(F.col("h")).alias("h"), "leaf", "whole", "kind")
+        often = F.count(F.lit(1)) >= F.when(F.max("kind") == 2, verbatim).otherwise(documents)
+        keys = scratch.write(found.distinct(), "keys")
+    else:
+        lines = lines.select("doc_id", "h", "at", leaf.alias("leaf"), F.xxhash64("masked").alias("whole"), F.lit(0).alias("kind"), "masked")
+        keys = scratch.write(lines.select("doc_id", "h", "leaf", "whole").distinct(), "keys")
+    leaves = keys.drop("whole").distinct().groupBy("leaf").agg(often.alias("often")).filter("often").select("leaf")
     exact = keys.groupBy("leaf", "whole").agg(often.alias("often")).filter("often").select("leaf", "whole", F.lit(True).alias("exact"))
     leaves, exact = scratch.write(leaves, "leaves"), scratch.write(exact, "exact")
-    near = lines.join(leaves, "leaf", "left_semi").withColumn("words", F.split("masked", " ")).drop("masked")
-    near = scratch.write(near, "near")
+    near = lines.join(leaves, "leaf", "left_semi").withColumn("words", F.when(F.col("kind") == 0, F.split("masked", " ")))
+    every = scratch.write(near.drop("masked", "t"), "near")
+    near, often = every.filter("kind = 0"), F.count(F.lit(1)) >= documents
 
     size = near.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max(F.size("words")).alias("n"))
     words = near.select("leaf", F.posexplode("words").alias("i", "word")).groupBy("leaf", "i", "word").count()
@@ -70,7 +87,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS)
     recur = fits.select("doc_id", "h", "leaf").distinct().groupBy("leaf").agg(often.alias("often")).filter("often").select("leaf")
     recur = scratch.write(recur, "recur")
     gone = fits.join(recur, "leaf", "left_semi").select("doc_id", "h", "at")
-    same = near.select("doc_id", "h", "at", "leaf", "whole").join(exact, ["leaf", "whole"], "left_semi").select("doc_id", "h", "at")
+    same = every.select("doc_id", "h", "at", "leaf", "whole").join(exact, ["leaf", "whole"], "left_semi").select("doc_id", "h", "at")
     own, key = fresh(docs, "line_doc"), fresh(docs, "line_key")
     gone = gone.unionByName(same).groupBy(F.col("doc_id").alias(own), F.col("h").alias(key)).agg(F.collect_set("at").alias("gone_at"))
     gone = scratch.write(gone, "gone").withColumnRenamed("gone_at", fresh(docs, "line_gone"))
@@ -91,6 +108,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
+def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beyond OP3_SQL: short and long lines that recur word for word, too."""
+    return line_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), verbatim=TEXTS)
+
+
 OP3_SQL = r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
      lines AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM split),

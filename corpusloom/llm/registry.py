@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
-from corpusloom.llm.line_dedup import OP3_SQL, op3_line_dedup
+from corpusloom.llm.line_dedup import OP3_SQL, op3_line_dedup, op3_line_dedup_whole
 from corpusloom.llm.mixing import op8_mixing
 from corpusloom.llm.near_dedup import OP1_SQL, op1_near_dedup
 from corpusloom.llm.packing import op5_packing
@@ -17,6 +17,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op3_line_dedup_whole": op3_line_dedup_whole,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
