@@ -7,7 +7,9 @@ template, and the lines that agree with it are its own. A masked line that itsel
 fields. Lines of templates that occur in at least `documents` different documents are dropped.
 
 That is what OP3_SQL states. With `verbatim`, lines that recur word for word count at any length: those of fewer than LEAD
-words in `documents` documents, those of over LONG words in `verbatim` different texts.
+words in `documents` documents, those of over LONG words in `verbatim` different texts. With `several`, a leaf has as many
+templates as recur in it, whatever their share: at each of the floors documents, 2 documents, 4 documents ... a masked line
+keeps the words that so many lines of the leaf have at their position, and lines that keep the same words are a template.
 
 Lines are counted after a distinct per document and leaf, so a line that a third of all documents share spreads over all
 tasks; what is gathered per leaf is one word a position, and per document the positions of its own lines.
@@ -32,7 +34,7 @@ _BLANK = r"[\x20\x09-\x0D]+"
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS, verbatim: int | None = None) -> DataFrame:
+def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS, verbatim: int | None = None, several: bool = False) -> DataFrame:
     """docs with the recurring lines taken out of text, and n_lines and n_dropped (long).
 
     Defined cases: a null text stays null and has no lines; an empty table gives an empty result; lines of fewer than
@@ -80,6 +82,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
     template = fixed.groupBy("leaf").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "top.word"))).alias("fixed"))
     template = template.filter(100 * F.size("fixed") >= FIXED * F.col("n")).select("leaf", "fixed")
     template = scratch.write(template, "templates")
+    if several:
+        exact = exact.unionByName(_grouped(scratch, keys, near, words, documents))
 
     agree = F.size(F.filter("fixed", lambda x: F.col("words")[x["i"]] == x["word"]))
     fits = near.join(template, "leaf").filter(100 * agree >= AGREE * F.size("fixed")).select("doc_id", "h", "at", "leaf")
@@ -104,13 +108,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
     )
 
 
+def _grouped(scratch: Scratch, keys: DataFrame, near: DataFrame, words: DataFrame, documents: int) -> DataFrame:
+    """leaf and whole of the masked lines that belong to a template of their leaf, of which there may be any number."""
+    forms = near.groupBy("leaf", "whole").agg(F.any_value("words").alias("words"))
+    tail = forms.select("leaf", "whole", F.size("words").alias("n"), F.posexplode("words").alias("i", "word")).filter(F.col("i") >= LEAD)
+    held = tail.join(words.filter(F.col("count") >= documents), ["leaf", "i", "word"])
+    held = held.groupBy("leaf", "whole", "n").agg(F.sort_array(F.collect_list(F.struct("i", "word", "count"))).alias("held"))
+    most = F.floor(F.log2(F.array_max(F.transform("held", lambda x: x["count"])) / documents) + 1e-9).cast("int")
+    kept = lambda k: F.filter("held", lambda x: x["count"] >= documents * F.pow(F.lit(2), k))
+    groups = F.array_distinct(F.transform(F.sequence(F.lit(0), most), lambda k: F.transform(kept(k), lambda x: F.struct(x["i"], x["word"]))))
+    groups = F.filter(groups, lambda g: 100 * (F.size(g) + LEAD) >= FIXED * F.col("n"))
+    member = scratch.write(held.select("leaf", "whole", F.explode(F.transform(groups, lambda g: F.xxhash64(g))).alias("group")), "members")
+    lines = keys.select("doc_id", "h", "leaf", "whole").join(member, ["leaf", "whole"]).select("doc_id", "h", "leaf", "group").distinct()
+    recur = lines.groupBy("leaf", "group").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= documents)
+    out = member.join(recur, ["leaf", "group"], "left_semi").select("leaf", "whole", F.lit(True).alias("exact"))
+    return scratch.write(out.distinct(), "grouped")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beyond OP3_SQL: short and long lines that recur word for word, too."""
-    return line_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), verbatim=TEXTS)
+    """Beyond OP3_SQL: short and long lines that recur word for word, and several templates a leaf."""
+    return line_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), verbatim=TEXTS, several=True)
 
 
 OP3_SQL = r"""

@@ -254,6 +254,17 @@ def test_line_dedup_drops_short_and_long_lines_that_recur_verbatim(spark):
     assert sorted(str(r.text) for r in odd) == sorted(str(r[1]) for r in odd_rows())
 
 
+def test_line_dedup_finds_several_templates_in_a_leaf(spark):
+    letters = [a + b + c for a in "bcdfgh" for b in "aeiou" for c in "klmn"]
+    tails = ["says that all trains run", "will close over the winter", "has no seats left today"]
+    rng, rows = random.Random(6), []
+    for i in range(36):
+        noise = " ".join(["notes from station", *(rng.choice(letters) for _ in range(6))])
+        rows.append((i, f"notes from station {letters[i]} {tails[i % 3]}\n{noise}\n{noise[::-1]}", "en", "a", 1))
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark, frame(spark, rows), several=True).collect()}
+    assert got == {i: t.split("\n", 1)[1] for i, t, *_ in rows}
+
+
 # Packing
 
 
