@@ -64,11 +64,11 @@ def boilerplate(idx: DataFrame, share: float = 0.5) -> DataFrame:
     return df.join(F.broadcast(items)).filter("df > most").select("h", "df")
 
 
-def items_touched(gram_rows: DataFrame, idx: DataFrame, row: str, listed: int = LISTED) -> DataFrame:
-    """Per item the rows that share a window with it: their number, the first of them by id, and how many are not listed."""
+def items_touched(gram_rows: DataFrame, idx: DataFrame, row: str, listed: int | None = LISTED) -> DataFrame:
+    """Per item the rows that share a window with it: their number, the first of them by id, and how many are not listed (None: all are)."""
     pairs = gram_rows.join(idx, "h").select("set", "item", row).distinct()
     rank = F.row_number().over(Window.partitionBy("set", "item").orderBy(row))
-    kept = pairs.withColumn("rank", rank).filter(F.col("rank") <= listed)
+    kept = pairs if listed is None else pairs.withColumn("rank", rank).filter(F.col("rank") <= listed)
     rows = kept.groupBy("set", "item").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return pairs.groupBy("set", "item").agg(F.count(F.lit(1)).alias("n_rows")).join(rows, ["set", "item"]).withColumn("n_unlisted", F.col("n_rows") - F.size("rows"))
 

@@ -81,7 +81,7 @@ def contam_owned_hits(spark, d):
 
 @query(f"WITH {_INDEX}, {_DOCS}, p AS (SELECT DISTINCT item, doc_id FROM dg JOIN own USING (g)) SELECT item, count(*) AS n_rows, array_to_string(list_sort(list(doc_id)), ',') AS rows, 0::BIGINT AS n_unlisted FROM p GROUP BY item")
 def contam_items_touched(spark, d):
-    out = contamination.items_touched(_doc_grams(spark, d), contamination.owned(_index(spark, d)), "doc_id")
+    out = contamination.items_touched(_doc_grams(spark, d), contamination.owned(_index(spark, d)), "doc_id", listed=None)
     return out.select("item", "n_rows", F.array_join("rows", ",").alias("rows"), F.col("n_unlisted").cast("long").alias("n_unlisted"))
 
 

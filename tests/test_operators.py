@@ -68,6 +68,15 @@ def test_registered_queries_read_whole_texts(spark, tmp_path):
     assert events.contaminated(spark.read.parquet(f"{tmp_path}/documents.parquet"), idx, "doc_id").count() == 1
 
 
+def test_touched_items_list_every_row(spark, tmp_path):
+    from corpusloom.plans import catalogue
+
+    spark.createDataFrame([(1, SPAN)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, SPAN) for i in range(250)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.contam_items_touched(spark, str(tmp_path)).first()
+    assert (got.n_rows, got.n_unlisted, got.rows.split(",")) == (250, 0, [str(i) for i in range(250)])
+
+
 # Text functions
 
 
