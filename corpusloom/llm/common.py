@@ -31,10 +31,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or one of our own where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where that is unset, one of our own, if all run on one machine."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")
@@ -82,6 +84,15 @@ def tasks_for(rows: int, each: int = 20_000) -> int:
     return max(1, -(-rows // each))
 
 
+#: Ids (16 bytes each in a hash relation, about) up to which a counted side of a join is broadcast.
+IDS = 2_000_000
+
+
+def counted(side: DataFrame, rows: int, most: int = IDS) -> DataFrame:
+    """A side of a join that holds so many rows, counted: broadcast up to `most`, joined by a shuffle beyond."""
+    return F.broadcast(side) if rows <= most else side
+
+
 def fresh(df: DataFrame, base: str, taken: Iterable[str] = ()) -> str:
     """A column name like base that df has not got, whatever else its rows carry."""
     used = {c.lower() for c in (*df.columns, *taken)}

@@ -2,11 +2,12 @@
 
 The history's distinct SHA-256 digests are dealt by prefix into shards of bounded size; each shard becomes a minimal
 perfect hash whose slots hold the whole 32-byte digest, the winner's doc_id (its locator) and the group's size so far.
-A new digest is a member only if all 32 bytes in its slot agree; members give way to the historical winner,
-nonmembers are grouped among themselves.
+A new digest is a member only if all 32 bytes in its slot agree; members are settled in their slot, nonmembers are
+grouped among themselves.
 
 Hot digests never meet in one task: rows are combined per digest (map-side first) before they are dealt out, and the
-way back to rows joins only the digests of groups of two and more, which adaptive execution splits when skewed.
+way back to rows joins only the groups of two rows and more: broadcast while they are counted to be few, else by a
+shuffle, which adaptive execution splits when skewed.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, lower_ascii
+from corpusloom.llm.common import Scratch, counted, fresh, lower_ascii
 
 #: Distinct digests in a shard, about; a shard is about 4 MB.
 SHARD = 50_000
 #: Bits for each key that a level of the hash offers.
 GAMMA = 1.6
+#: Groups (about 100 bytes each) up to which they are broadcast to the texts; beyond, the texts are shuffled once.
+GROUPS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,27 +79,41 @@ def _bytes(digests: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 32)
 
 
+def _wins(has: np.ndarray, top: np.ndarray, had: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Whether (has, top) comes after (had, best): a row without an id loses to any other."""
+    return (has > had) | ((has == had) & (top > best))
+
+
 def _probe(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-    """One shard: the perfect hash over its historical digests, and the new digests looked up in it."""
-    if not len(new):
-        return pd.DataFrame({c: [] for c in ("digest", "top", "n", "winner", "member")})
-    out = new[["digest", "top", "n"]].copy()
-    out["winner"] = pd.array([None] * len(new), dtype="Int64")
-    out["member"] = False
-    if len(old):
-        have = _bytes(old["stored"])
+    """One shard: its groups of two rows and more.
+
+    A slot of the perfect hash over the historical digests holds the digest, the winner and the sizes so far. New digests
+    that agree with their slot in all bytes join its group there; the others are groups of their own.
+    """
+    fields = ["digest", "has", "top", "tops", "n"]
+    old, new = old.reindex(columns=fields), new.reindex(columns=fields)  # an empty side comes without columns
+    groups, rest = old, new
+    if len(old) and len(new):
+        have, asked = _bytes(old["digest"]), _bytes(new["digest"])
         mph = PerfectHash(have)
-        stored, locator = np.empty_like(have), np.empty(len(old), dtype=object)
         at = mph.slots(have)
+        stored, slots = np.empty_like(have), {c: np.empty(len(old), dtype=old[c].dtype) for c in fields}
         stored[at] = have
-        locator[at] = old["winner"].to_numpy(dtype=object, na_value=None)
-        asked = _bytes(new["digest"])
+        for c in fields:
+            slots[c][at] = old[c].to_numpy()
         slot = mph.slots(asked)
         found = slot >= 0
         found[found] = (stored[slot[found]] == asked[found]).all(axis=1)
-        out["member"] = found
-        out.loc[found, "winner"] = pd.array(locator[slot[found]], dtype="Int64")
-    return out
+        member, slot, rest = new[found], slot[found], new[~found]
+        has, top, tops = (member[c].to_numpy() for c in ("has", "top", "tops"))
+        later = _wins(has, top, slots["has"][slot], slots["top"][slot])
+        tied = (has == slots["has"][slot]) & (top == slots["top"][slot])
+        slots["tops"][slot] = np.where(later, tops, slots["tops"][slot] + np.where(tied, tops, 0))
+        slots["has"][slot], slots["top"][slot] = np.where(later, has, slots["has"][slot]), np.where(later, top, slots["top"][slot])
+        slots["n"][slot] += member["n"].to_numpy()
+        groups = pd.DataFrame(slots)
+    out = pd.concat([part for part in (groups, rest) if len(part)], ignore_index=True)
+    return out[out["n"] > 1]
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, history: F.Column | None = None) -> DataFrame:
@@ -106,9 +123,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history: F.Column | None =
     upper half of the id range. Historical winners beat new rows only if their doc_id is larger, so the result is the
     same for any choice: of equal texts the row with the largest doc_id stays.
 
-    Defined cases: a null text is the empty text; an empty table gives an empty result; a null doc_id loses to any other
-    and stays only in a group that has no other; rows that repeat both doc_id and text are the same document and share
-    its verdict. Columns that docs carries already under these four names are replaced.
+    Defined cases: a null text is the empty text; a text of any length is one digest; an empty table gives an empty
+    result; a null doc_id loses to any other; where several rows of a group have the winning doc_id (or none has an id),
+    one of them is kept and the others are not. Columns that docs carries already under these four names are replaced.
     """
     sha = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
@@ -117,37 +134,43 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history: F.Column | None =
         history = F.lit(False) if low is None else F.col("doc_id") >= F.lit((low + high + 1) // 2)
     scratch = Scratch(spark, "exact")
     keyed = docs.select("doc_id", F.unhex(sha).alias("digest"), F.coalesce(history, F.lit(False)).alias("old"))
-    each = scratch.write(
-        keyed.groupBy("digest", "old").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")), "digests"
-    )
+    each = keyed.groupBy("digest", "old", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    lead = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("top"), F.col("c").alias("tops")))
+    each = each.groupBy("digest", "old").agg(lead.alias("lead"), F.sum("c").alias("n")).select("digest", "old", "lead.*", "n")
+    each = scratch.write(each, "digests")
     shards = max(1, -(-each.count() // SHARD))
-    shard = F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)).alias("shard")
-    old = each.filter("old").select(shard, F.col("digest").alias("stored"), F.col("top").alias("winner"))
-    new = each.filter("not old").select(shard, "digest", "top", "n")
-    probed = (
-        new.groupBy("shard")
-        .cogroup(old.groupBy("shard"))
-        .applyInPandas(_probe, "digest binary, top long, n long, winner long, member boolean")
-    )
-    groups = (
-        probed.select("digest", F.greatest("winner", "top").alias("keep"), "n")
-        .unionByName(each.filter("old").select("digest", F.col("top").alias("keep"), "n"))
-        .groupBy("digest")
-        .agg(F.max("keep").alias("keep_id"), F.sum("n").alias("group_size"))
-        .filter("group_size > 1")
-        .select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", "group_size")
-    )
+    each = each.withColumn("shard", F.pmod(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), F.lit(shards)))
+    side = lambda which: each.filter(which).select(*(F.col(c).alias(c) for c in ("shard", "digest", "has", "top", "tops", "n")))
+    groups = side("not old").groupBy("shard").cogroup(side("old").groupBy("shard")).applyInPandas(_probe, "digest binary, has boolean, top long, tops long, n long")
+
+    names: list[str] = []
+    for base in ("digest", "keep", "size", "tops", "row"):
+        names.append(fresh(docs, f"exact_{base}", names))
+    digest, keep, size, tops, row = names
+    groups = groups.select(F.col("digest").alias(digest), F.when(F.col("has"), F.col("top")).alias(keep), F.col("n").alias(size), F.col("tops").alias(tops))
     groups = scratch.write(groups, "groups")
     scratch.drop("digests")
-    out = docs.withColumn("text_sha256", sha).join(groups, "text_sha256", "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select(
-        *docs.columns,
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        "text_sha256",
-    )
+    n, again = groups.agg(F.count(F.lit(1)), F.count(F.when(F.col(tops) > 1, 1))).first()
+    rows = docs.withColumn(digest, F.unhex(sha)).join(counted(groups, n, GROUPS), digest, "left")
+    top = F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))
+
+    def told(part: DataFrame, kept: F.Column) -> DataFrame:
+        return part.select(
+            *docs.columns,
+            F.when(F.col(size).isNull(), F.col("doc_id")).otherwise(F.col(keep)).alias("keep_id"),
+            F.coalesce(size, F.lit(1)).cast("long").alias("group_size"),
+            kept.alias("kept"),
+            F.lower(F.hex(digest)).alias("text_sha256"),
+        )
+
+    if not again:
+        return told(rows, top)
+    # Rows that share the winning doc_id: written once, so that their numbers hold, and the first of each group is kept.
+    tied = top & (F.coalesce(tops, F.lit(1)) > 1)
+    ties = scratch.write(rows.filter(tied).withColumn(row, F.monotonically_increasing_id()), "ties")
+    first = ties.groupBy(digest).agg(F.min(row).alias(row)).withColumn(size, F.lit(True))
+    ties = ties.join(counted(first.select(digest, row, F.col(size).alias(f"{size}_")), again, GROUPS), [digest, row], "left")
+    return told(rows.filter(~tied), top).unionByName(told(ties, F.col(f"{size}_").isNotNull()))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
