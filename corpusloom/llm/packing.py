@@ -1,20 +1,25 @@
 """Best-fit packing into sequences: a configuration linear program over the length histogram.
 
 Documents become token pieces in one pass over the table; only piece lengths, of which there are at most 4096, reach the
-driver, as counts. The linear program over patterns (which lengths share a sequence) is solved by multiplicative
-weights: a length that is behind in its coverage gains price, and knapsack dynamic programming finds the pattern of
-largest price. Whole parts of the solution are taken, the rest goes by best fit on what is left of the histogram. The
-plan says, by length class and rank in that class, which sequence a piece goes to; ranks come from windows over salted
+driver, as counts. Lengths are grouped, each group counted by its longest; short ones are one fluid group. The linear
+program over patterns (which groups share a sequence) is solved by multiplicative weights: a group that is behind in its
+coverage gains price, and knapsack dynamic programming finds the pattern of largest price. The solution is rounded by
+largest remainders, exact lengths are put into its places, and what has no place goes by best fit into the room that
+grouping and rounding have left. All of that works on counts, so its time does not depend on the number of pieces.
+
+The plan says, by length and rank in that length, which sequence a piece goes to; ranks come from windows over salted
 buckets, so that no length, however common, meets in one task.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import sys
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,19 +34,22 @@ from corpusloom.llm.common import Scratch
 CAPACITY = 4096
 #: Id that ends each document.
 END = 1
-#: Tokens by which lengths are rounded up to classes for the plan.
-WIDTH = 4
-#: Rounds of the multiplicative weights.
-ROUNDS = 800
+#: Units of room that the linear program counts in, its groups of lengths, and the rounds of the multiplicative weights.
+UNITS, GROUPS, ROUNDS = 512, 128, 1500
+#: Lengths of up to that part of a sequence are fluid.
+FLUID = 16
 #: Pieces in a bucket that is ranked on its own, about.
 BUCKET = 128
+#: Buckets whose sizes are summed together.
+SPAN = 1024
 #: Words whose ids a worker remembers.
 CACHED = 700_000
 
-#: Texts of these characters alone take the fast way: all are letters from U+00C0 on but U+00D7 and U+00F7, none changes
-#: under NFC, and lower case is character by character.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-įı-ɏ]")
 _LETTER = "a-zÀ-ÖØ-öø-ɏ"
+#: Texts of these characters alone take the fast way: beyond ASCII, the letters of _LETTER (none changes under NFC) whose
+#: lower case is one letter of _LETTER too. Some capitals have theirs beyond U+024F.
+_SAFE = "".join(c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(f"[{_LETTER}]", c.lower()))
+_PLAIN = re.compile(f"[^\t\n\r\x20-\x7e{_SAFE}]")
 #: Fixed: the tokenizer's own split pattern, for such texts.
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
 
@@ -126,8 +134,12 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     )
 
 
+#: (length -> how many of it, for how many sequences)
+Pattern = tuple[dict[int, int], int]
+
+
 def _best_pattern(sizes: np.ndarray, price: np.ndarray, room: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: the multiset of classes within room that has the largest total price."""
+    """Knapsack by dynamic programming: the multiset of sizes within room that has the largest total price."""
     best = np.zeros(room + 1)
     take = np.full(room + 1, -1)
     upto = np.searchsorted(sizes, np.arange(room + 1), side="right")
@@ -150,8 +162,8 @@ def _best_pattern(sizes: np.ndarray, price: np.ndarray, room: int) -> dict[int,
     return out
 
 
-def _fractional(counts: dict[int, int], room: int, rounds: int) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often each is used, by multiplicative weights on the covering constraints of the classes."""
+def _fractional(counts: dict[int, float], room: int, rounds: int) -> list[tuple[dict[int, int], float]]:
+    """Patterns and how often each is used, by multiplicative weights on the covering constraints of the sizes."""
     sizes = np.array(sorted(counts))
     need = np.array([counts[int(s)] for s in sizes], dtype=float)
     covered = np.zeros(len(sizes))
@@ -167,49 +179,136 @@ def _fractional(counts: dict[int, int], room: int, rounds: int) -> list[tuple[di
         used[tuple(sorted(pattern.items()))] += step
         for s, m in pattern.items():
             covered[np.searchsorted(sizes, s)] += m * step
-    return [(dict(p), x) for p, x in sorted(used.items(), key=lambda kv: -kv[1])]
-
-
-def _rounded(counts: dict[int, int], room: int, fractional: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
-    """The whole parts of a fractional solution, and best fit on the histogram for what they leave."""
-    left = {s: n for s, n in counts.items() if n}
-    out: list[tuple[dict[int, int], int]] = []
-
-    def use(pattern: dict[int, int], times: int) -> None:
-        if times > 0:
-            out.append((pattern, times))
-            for s, m in pattern.items():
-                left[s] -= m * times
-
-    for pattern, x in fractional:
-        use(pattern, min(int(x), *(left[s] // m for s, m in pattern.items())))
-    while any(left.values()):  # the largest class first, then the largest that still fits, again and again
-        pattern: dict[int, int] = defaultdict(int)
-        free = room
-        for s in sorted((s for s, n in left.items() if n), reverse=True):
-            if m := min(free // s, left[s]):
-                pattern[s] = m
-                free -= m * s
-        use(dict(pattern), min(left[s] // m for s, m in pattern.items()))
+    return [(dict(p), x) for p, x in sorted(used.items(), key=lambda kv: (-kv[1], kv[0]))]
+
+
+def _grouped(counts: dict[int, int], unit: int, groups: int) -> list[tuple[int, list[int]]]:
+    """Lengths dealt into groups of about equal volume: the group's size in units, and its lengths, long ones first."""
+    share = sum(s * n for s, n in counts.items()) / groups
+    out: list[tuple[int, list[int]]] = []
+    filled = 0.0
+    for s in sorted(counts, reverse=True):
+        if not out or filled >= share:
+            out.append((-(-s // unit), []))
+            filled = 0.0
+        out[-1][1].append(s)
+        filled += s * counts[s]
     return out
 
 
-def plan(counts: dict[int, int], room: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Patterns (class -> how many) and for how many sequences each serves; they use up counts exactly.
-
-    The rounded solution of the linear program; where plain best fit on the histogram needs fewer sequences, as it can if
-    there are few pieces of each class, that instead.
+def _rounded(fractional: list[tuple[dict[int, int], float]]) -> list[Pattern]:
+    """Whole numbers by largest remainders: every pattern's whole part, and one more for the largest of what is left of
+    each, so that the total stays."""
+    whole = [math.floor(x + 1e-9) for _, x in fractional]
+    more = math.ceil(sum(x for _, x in fractional) - 1e-6) - sum(whole)
+    order = sorted(range(len(whole)), key=lambda i: (whole[i] - fractional[i][1], i))
+    for i in order[:more]:
+        whole[i] += 1
+    return [(p, n) for (p, _), n in zip(fractional, whole, strict=True) if n]
+
+
+class _Bins:
+    """Sequences that are being filled, those of one filling together, by their free room."""
+
+    def __init__(self, room: int):
+        self.room = room
+        self.free: list[int] = []
+        self.by: dict[int, list[tuple[dict[int, int], int]]] = {}
+
+    def add(self, free: int, held: dict[int, int], times: int) -> None:
+        if free not in self.by:
+            self.by[free] = []
+            insort(self.free, free)
+        self.by[free].append((held, times))
+
+    def fit(self, s: int, n: int) -> None:
+        """n pieces of length s, each into the fullest sequence that has room for it, into new ones where none has."""
+        while n:
+            at = bisect_left(self.free, s)
+            if at == len(self.free):
+                m = min(self.room // s, n)
+                self.add(self.room - m * s, {s: m}, n // m)
+                n -= n // m * m
+                continue
+            free = self.free[at]
+            held, times = self.by[free].pop()
+            if not self.by[free]:
+                del self.by[free]
+                del self.free[at]
+            m = min(free // s, n)
+            use = min(times, n // m)
+            if use < times:
+                self.add(free, held, times - use)
+            self.add(free - m * s, {**held, s: held.get(s, 0) + m}, use)
+            n -= m * use
+
+    def patterns(self) -> list[Pattern]:
+        return [b for free in self.free for b in self.by[free]]
+
+
+def best_fit(counts: dict[int, int], room: int) -> list[Pattern]:
+    """Plain best fit by falling length, on counts: what the plan is measured against."""
+    bins = _Bins(room)
+    for s in sorted(counts, reverse=True):
+        bins.fit(s, counts[s])
+    return bins.patterns()
+
+
+def _placed(left: dict[int, int], lengths: list[int], groups: dict[int, list[int]], pattern: dict[int, int], times: int, room: int, bins: _Bins) -> None:
+    """Sequences of a rounded pattern: its groups' longest pieces in their places, and in the last place, which takes up
+    what grouping has left free, the longest piece that fits. lengths: all that are not fluid, rising."""
+    places = [g for g, m in sorted(pattern.items(), reverse=True) for _ in range(m)]
+    while times and places:
+        held: dict[int, int] = {}
+        free = room
+        for g in places[:-1]:
+            if s := next((s for s in groups[g] if left[s] > held.get(s, 0)), 0):
+                held[s] = held.get(s, 0) + 1
+                free -= s
+        at = bisect_right(lengths, free) - 1
+        while at >= 0 and left[lengths[at]] <= held.get(lengths[at], 0):
+            at -= 1
+        if at >= 0:
+            held[lengths[at]] = held.get(lengths[at], 0) + 1
+            free -= lengths[at]
+        if not held:
+            return
+        use = min(times, *(left[s] // m for s, m in held.items()))
+        for s, m in held.items():
+            left[s] -= m * use
+        bins.add(free, held, use)
+        times -= use
+
+
+def plan(counts: dict[int, int], room: int, rounds: int = ROUNDS) -> list[Pattern]:
+    """Patterns (length -> how many) and for how many sequences each serves; they use up counts exactly.
+
+    Lengths of up to room / FLUID are the fluid group: in the linear program they are so many single units, less what
+    grouping adds to the other lengths, and best fit puts them where there is room.
     """
-    full = [({s: 1}, n) for s, n in counts.items() if s >= room and n]
-    rest = {s: n for s, n in counts.items() if s < room and n}
-    if not rest:
-        return full
-    solved, plain = _rounded(rest, room, _fractional(rest, room, rounds)), _rounded(rest, room, [])
-    return full + min(solved, plain, key=lambda patterns: sum(n for _, n in patterns))
+    left = {s: n for s, n in counts.items() if n}
+    unit = -(-room // UNITS)
+    bins = _Bins(room)
+    lengths = sorted(s for s in left if s > room // FLUID)
+    grouped = _grouped({s: left[s] for s in lengths}, unit, GROUPS)
+    groups: dict[int, list[int]] = defaultdict(list)
+    for size, held in grouped:
+        groups[size] += held
+    need = {g: float(sum(left[s] for s in held)) for g, held in groups.items()}
+    fluid = sum(s * n for s, n in left.items()) / unit - sum(g * n for g, n in need.items())
+    if fluid > 0:
+        need[1] = need.get(1, 0.0) + fluid
+    if need:
+        for pattern, times in _rounded(_fractional(need, room // unit, rounds)):
+            solid = {g: m for g, m in sorted(pattern.items(), reverse=True) if g in groups}
+            _placed(left, lengths, groups, solid, times, room, bins)
+    for s in sorted(left, reverse=True):
+        bins.fit(s, left[s])
+    return [(p, n) for p, n in bins.patterns() if n]
 
 
 def _runs(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each class: the first rank, the pieces a sequence takes, and the first sequence, of each pattern that uses it."""
+    """For each length: the first rank, the pieces a sequence takes, and the first sequence, of each pattern that uses it."""
     runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     upto: dict[int, int] = defaultdict(int)
     first = 0
@@ -241,24 +340,24 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) ->
 
     Sequences hold at most CAPACITY tokens and have no gaps; only documents longer than that are cut.
 
-    Defined cases: a null text is empty and still has its end token; an empty table gives an empty result; repeated
-    rows, and documents without an id, are packed each; other columns of docs are ignored.
+    Defined cases: a null text is empty and still has its end token; a text of any length is cut into as many pieces as it
+    needs; an empty table gives an empty result; repeated rows, and documents without an id, are packed each; other
+    columns of docs are ignored.
     """
     scratch = Scratch(spark, "pack")
-    pieces = scratch.write(tokenized(docs, tokenizer).withColumn("class", F.ceil(F.col("length") / WIDTH).cast("int")), "pieces")
-    counts = {r[0]: r[1] for r in pieces.groupBy("class").count().collect()}  # at most CAPACITY / WIDTH rows
-    runs = _runs(plan(counts, CAPACITY // WIDTH))
-    buckets = F.create_map(*(F.lit(x) for kv in ((s, -(-n // BUCKET)) for s, n in counts.items()) for x in kv)) if counts else F.create_map(F.lit(0), F.lit(1))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(buckets, F.col("class"))))
-    before = (
-        dealt.groupBy("class", "bucket")
-        .count()
-        .withColumn("before", F.sum("count").over(Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("class", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    )
-    inside = Window.partitionBy("class", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["class", "bucket"])
-    ranked = ranked.select(*pieces.columns[:-1], "class", (F.col("rank") + F.col("before")).alias("rank"))
+    pieces = scratch.write(tokenized(docs, tokenizer), "pieces")
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most CAPACITY rows
+    runs = _runs(plan(counts, CAPACITY))
+    buckets = spark.createDataFrame([(s, -(-n // BUCKET)) for s, n in counts.items()], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
+    sizes = dealt.groupBy("length", "bucket").count().withColumn("span", F.floor(F.col("bucket") / SPAN))
+    earlier = lambda by, order, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sizes.groupBy("length", "span").agg(F.sum("count").alias("n")).select("length", "span", earlier(["length"], "span", "n").alias("spans"))
+    before = sizes.withColumn("inside", earlier(["length", "span"], "bucket", "count")).join(spans, ["length", "span"])
+    before = before.select("length", "bucket", (F.col("inside") + F.col("spans")).alias("before"))
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["length", "bucket"])
+    ranked = ranked.select(*pieces.columns, F.col("length").alias("class"), (F.col("rank") + F.col("before")).alias("rank"))
     placed = ranked.mapInArrow(
         _assigned(runs), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long"
     )
