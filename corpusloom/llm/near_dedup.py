@@ -10,9 +10,12 @@
    apart the many documents that share one passage only.
 3. Short lists give their pairs, of which there are at most LIST / 2 times the entries; each pair must pass the estimate
    from the union of both sketches, and then the exact comparison of the full sets.
-4. Long lists, of groups of near copies however large, never give pairs. The documents they connect form families; a
-   family is cut into blocks of bounded size, and a task compares two blocks, by the shared retained values, the
-   estimate and the full sets, and returns at most a spanning forest of the links that it finds.
+4. Long lists, of groups of near copies however large, never give pairs. The documents they connect form families. A
+   family is cut into blocks of bounded size; a task compares a block's documents, by the shared retained values, the
+   estimate and the full sets, and returns a spanning forest of the links that it finds. Each tree then stands for its
+   documents by one of them, and these are dealt into blocks again, until that joins no more: a family of n near copies
+   costs n * BLOCK comparisons, not n * n. Only documents of one family that are still in different trees are compared
+   across blocks, all of them, so that no link is missed.
 5. Links become connected components (large-star, small-star); all intermediate tables are in the shared folder.
 """
 
@@ -25,10 +28,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, tasks_for
+from corpusloom.llm.common import Scratch, counted, tasks_for
 from corpusloom.llm.components import components
 
 #: Retained values of a sketch, and of the longer one that blocks compare.
@@ -39,7 +42,7 @@ LIST = 8
 #: Documents and bytes of a block.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
 #: Standard errors below the threshold at which an estimate still passes.
-SLACK = 4.5
+SLACK = 6.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,8 +137,11 @@ def _verified(percent: int):
     return run
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets; only of those across the two sides where side is given."""
+def block_links(
+    ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int, tree: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets; only of those across the two sides where side is given, and only of
+    those that join different trees where tree says which are joined already."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     prefix = [s[:K_BLOCK] for s in sets]
@@ -155,9 +161,12 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None
     likely = np.triu((shared >= 0.5 * fewer) & (100 * smaller >= percent * larger), 1)
     if side is not None:
         likely &= side[:, None] != side[None, :]
+    parent = list(range(n))
+    if tree is not None:
+        likely &= tree[:, None] != tree[None, :]
+        parent = np.unique(tree, return_index=True)[1][np.unique(tree, return_inverse=True)[1]].tolist()
     first, second = np.nonzero(likely)
     order = np.argsort(-shared[first, second] / fewer[first, second], kind="stable")
-    parent = list(range(n))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -184,22 +193,75 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None
 def _block_pairs(percent: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["shingles"]]
-        side = None if key[1] == key[2] else rows["block"].to_numpy()
-        links = block_links(rows["id"].to_numpy(), sets, side, percent)
+        across = len(key) == 3  # family and two blocks, which may be the same one
+        side = rows["block"].to_numpy() if across and key[1] != key[2] else None
+        links = block_links(rows["id"].to_numpy(), sets, side, percent, rows["tree"].to_numpy() if across else None)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _blocks() -> Column:
+    """Blocks that an aggregated group of members fills."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES)).cast("int")
+
+
 def _family_links(scratch: Scratch, families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    members = families.join(sets, "id")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES))
-    sizes = scratch.write(members.groupBy("family").agg(blocks.cast("int").alias("blocks")), "family-sizes")
-    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "shingles"
+    """Links (a, b) that join all documents of each family that links join."""
+    members = scratch.write(families.join(sets, "id").select("family", "id", "shingles"), "members")
+    state = members.select("family", "id", F.col("id").alias("tree"))
+    found, before, k, now = [], None, 0, members
+    while True:
+        sizes = scratch.write(now.groupBy("family").agg(F.count(F.lit(1)).alias("n"), _blocks().alias("blocks")).filter("n > 1"), f"blocks{k}")
+        n, wide = sizes.agg(F.count(F.lit(1)), F.count(F.when(F.col("blocks") > 1, 1))).first()
+        dealt = now.join(counted(sizes, n), "family").withColumn("block", F.pmod(F.xxhash64("id", F.lit(k)), F.col("blocks")))
+        links = dealt.select("family", "block", "id", "shingles").repartitionByRange("family", "block").groupBy("family", "block")
+        found.append(scratch.write(links.applyInPandas(_block_pairs(percent), "a long, b long"), f"links{k}"))
+        if not k:
+            if not wide:
+                break  # every family was one block
+            state = state.join(counted(sizes.filter("blocks > 1").select("family"), wide), "family", "left_semi")
+        joined = components(scratch, found[-1], f"trees{k}").select(F.col("id").alias("tree"), "component")
+        state = state.join(joined, "tree", "left").select("family", "id", F.coalesce("component", "tree").alias("tree"))
+        state = scratch.write(state, f"state{k}")
+        open_ = scratch.write(state.filter("id = tree").groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"open{k}")
+        n_open, trees = open_.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if not n_open:
+            break
+        state = state.join(counted(open_.select("family"), n_open), "family", "left_semi")
+        if not wide or before is not None and 2 * trees > before:
+            found.append(scratch.write(_across(scratch, members, state, percent), "links-across"))
+            break
+        before, k = trees, k + 1
+        leads = scratch.write(state.filter("id = tree").select("id"), f"leads{k}")
+        now = members.join(counted(leads, trees), "id", "left_semi")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _across(scratch: Scratch, members: DataFrame, state: DataFrame, percent: int) -> DataFrame:
+    """Links between the trees of a family (state: family, id, tree): blocks of one large tree each, or of many small
+    ones, and every pair of blocks that are not of one tree."""
+    rows = members.join(state.select("id", "tree"), "id")
+    trees = scratch.write(rows.groupBy("family", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("bytes")), "tree-sizes")
+    large = (F.col("n") >= BLOCK) | (F.col("bytes") >= BLOCK_BYTES)
+    parts = lambda n, size: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES))
+    small = trees.filter(~large).groupBy("family").agg(parts(F.sum("n"), F.sum("bytes")).alias("small"))
+    trees = trees.join(small, "family", "left").select(
+        "family", "tree", F.when(large, F.col("tree")).alias("owner"), F.when(large, parts(F.col("n"), F.col("bytes"))).otherwise(F.col("small")).alias("parts")
+    )
+    spread = F.pmod(F.xxhash64(F.when(F.col("owner").isNull(), F.col("tree")).otherwise(F.col("id"))), F.col("parts"))
+    placed = state.join(trees, ["family", "tree"]).select("family", "id", "tree", "owner", F.xxhash64("owner", spread).alias("block"))
+    placed = scratch.write(placed, "placed")
+    blocks = placed.select("family", F.col("owner").alias("other_owner"), F.col("block").alias("other")).distinct()
+    apart = F.col("owner").isNull() | F.col("other_owner").isNull() | (F.col("owner") != F.col("other_owner"))
+    pairs = placed.join(blocks, "family").filter(apart).select(
+        "family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "tree"
     )
-    return paired.groupBy("family", "x", "y").applyInPandas(_block_pairs(percent), "a long, b long")
+    full = pairs.join(members.select("id", "shingles"), "id")
+    return full.repartitionByRange("family", "x", "y").groupBy("family", "x", "y").applyInPandas(_block_pairs(percent), "a long, b long")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -209,7 +271,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     doc_id that links reach, and kept says whether that is the document itself. percent below 80 is refused, as the
     lists would miss links.
 
-    Defined cases: a text without words, or null, has no shingles and is linked with nothing; rows that share a doc_id
+    Defined cases: a text without words, or null, has no shingles and is linked with nothing; of a text of any length all
+    shingles count; rows that share a doc_id
     are one document, with the links of each; rows without a doc_id have no component and are kept; an empty table gives
     an empty result; other columns of docs are ignored.
     """
@@ -248,13 +311,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
 
     wanted = families.select("id").unionByName(likely.select(F.col("a").alias("id"))).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     wanted = scratch.write(wanted, "wanted", few)
-    sets = texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_full_sets(words), "id long, shingles binary")
+    sets = texts.join(counted(wanted, wanted.count()), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_full_sets(words), "id long, shingles binary")
     sets = scratch.write(sets, "sets")
     full = {c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab"}
     found = likely.join(full["a"], "a").join(full["b"], "b").select("a", "b", "shingles_a", "shingles_b")
     found = found.mapInArrow(_verified(percent), "a long, b long")
     links = scratch.write(found.unionByName(_family_links(scratch, families, sets, percent)), "links")
-    scratch.drop("sets", "entries", "short", "pairs", "lists", "likely", "wanted")
+    scratch.drop("sets", "members", "placed", "entries", "short", "pairs", "lists", "likely", "wanted")
 
     reached = scratch.write(components(scratch, links, "links"), "components", few)
     told = reps.join(reached, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
