@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, Scratch, fresh
+from corpusloom.llm.common import WORD, Scratch, counted, fresh
 
 #: Documents in a block of the tree, about.
 ARITY = 64
+#: Repeated rows of one key that a task numbers at a time.
+RUN = 4096
 #: A source takes at most so many times its size.
 MOST = 3
 #: Weights of the sources in order, repeating.
@@ -126,30 +128,64 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
 
     Reruns agree: every random choice is a hash of the documents and the seed.
 
-    Defined cases: a null text has size 0; a null source is a source of its own, ordered last; an empty table gives an
-    empty result; rows that repeat doc_id, source and text count each, and get the same number of copies; a null doc_id
-    is a document like any other. Columns of docs under the four new names are replaced.
+    Defined cases: a null text has size 0; a text of any length is one document; a null source is a source of its own,
+    ordered last; an empty table gives an empty result; rows that repeat doc_id, source and text are documents of their
+    own, and the rounding picks so many of them; a null doc_id is a document like any other. Columns of docs under the
+    four new names are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
     names = {}
-    for base in ("key", "of", "id", "h"):
+    for base in ("key", "of", "id", "h", "rows", "up", "row"):
         names[base] = fresh(docs, f"mix_{base}", names.values())
-    key, of, same_id, h = names.values()
+    key, of, same_id, h, rows, up, row = names.values()
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
     scratch = Scratch(spark, "mixed")
     units = keyed.groupBy("source", "doc_id", F.col(key).alias("h")).agg(
         F.max(n_words(F.col("text"))).alias("each"), F.count(F.lit(1)).alias("rows")
     )
-    units = scratch.write(units.withColumn("size", F.col("each") * F.col("rows")), "units")
-    sizes = units.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    units = scratch.write(units, "units")
+    sizes = units.groupBy("source").agg(F.sum(F.col("each") * F.col("rows")).cast("long").alias("source_size"))
     targets = scratch.write(source_targets(sizes, weights), "targets").withColumnRenamed("source", of)
     same = F.col("source").eqNullSafe(F.col(of))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
-    rated = units.join(targets, same).select("source", "doc_id", "h", "each", "size", rate.alias("rate"))
-    ups = picked(spark, rated, seed).select(F.col("doc_id").alias(same_id), F.col("h").alias(h), F.col("each").alias("size"), "up")
-    out = keyed.join(ups, (F.col(key) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(same_id))).join(targets, same)
-    n = F.floor(rate) + F.col("up").cast("long")
-    return out.select(*docs.columns, "size", "source_size", "target", F.least(n, F.lit(MOST)).cast("long").alias("copies"))
+    again = units.filter("rows > 1").select("source", "doc_id", "h", "each", "rows")
+    n_again = again.count()
+    own = units.filter("rows = 1").withColumn("unit", F.col("h"))
+    if n_again:  # a unit for each repeated row, dealt out in runs, so that no task makes all rows of a key
+        runs = again.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / RUN)))).repartition("h", "run")
+        last = F.least(F.col("rows"), (F.col("run") + 1) * RUN)
+        each = runs.withColumn("k", F.explode(F.sequence(F.col("run") * RUN + 1, last))).withColumn("unit", F.xxhash64("h", "k"))
+        repeats = scratch.write(each.select("source", "doc_id", "h", "each", "rows", "unit"), "repeats")
+        own = own.unionByName(repeats)
+    rated = own.join(targets, same).select("source", "doc_id", F.col("unit").alias("h"), "each", F.col("each").alias("size"), rate.alias("rate"))
+    ups = picked(spark, rated, seed).select("doc_id", "h", "each", F.col("up").cast("long").alias("up"), F.lit(1).alias("rows"))
+    if n_again:
+        known = repeats.select(F.col("doc_id").alias("of_id"), "unit", F.col("h").alias("first"))
+        ups = ups.join(known, (F.col("h") == F.col("unit")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left")
+        ups = ups.groupBy("doc_id", F.coalesce("first", "h").alias("h"), "each").agg(F.sum("up").alias("up"), F.sum("rows").alias("rows"))
+    ups = ups.select(F.col("doc_id").alias(same_id), F.col("h").alias(h), F.col("each").alias("size"), F.col("up").alias(up), F.col("rows").alias(rows))
+    met = (F.col(key) == F.col(h)) & F.col("doc_id").eqNullSafe(F.col(same_id))
+
+    def told(part: DataFrame, more: Column) -> DataFrame:
+        n = F.floor(rate) + more
+        return part.join(targets, same).select(*docs.columns, "size", "source_size", "target", F.least(n, F.lit(MOST)).cast("long").alias("copies"))
+
+    # The decisions are as many as the documents, so at any size the documents meet them by one shuffle.
+    joined = keyed.join(ups.hint("merge"), met)
+    if not n_again:
+        return told(joined, F.col(up))
+    # Repeated rows are written once with numbers, and the first of them get the picks; numbers count on from one input
+    # partition to the next, so that no key meets in one task.
+    hot = counted(again.select(F.col("h").alias(h), F.col("doc_id").alias(same_id)), n_again)
+    numbered = scratch.write(keyed.join(hot, met, "left_semi").withColumn(row, F.monotonically_increasing_id()), "again")
+    part = F.shiftright(F.col(row), 33).alias("part")
+    parts = numbered.groupBy(key, "doc_id", part).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(key, "doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col(key).alias(h), F.col("doc_id").alias(same_id), F.col("part").alias(rows), F.coalesce(before, F.lit(0)).alias(up))
+    inside = F.row_number().over(Window.partitionBy(key, "doc_id", F.shiftright(F.col(row), 33)).orderBy(row))
+    numbered = numbered.withColumn(of, inside).join(parts, met & (F.shiftright(F.col(row), 33) == F.col(rows)))
+    numbered = numbered.withColumn(row, F.col(of) + F.col(up)).drop(of, same_id, h, rows, up).join(ups, met)
+    return told(joined.filter(F.col(rows) == 1), F.col(up)).unionByName(told(numbered, (F.col(row) <= F.col(up)).cast("long")))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
