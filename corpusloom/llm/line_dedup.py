@@ -6,10 +6,11 @@ of the leaf's lines have it there, and is a variable field otherwise; where enou
 template, and the lines that agree with it are its own. A masked line that itself recurs is a template without further
 fields. Lines of templates that occur in at least `documents` different documents are dropped.
 
-That is what OP3_SQL states. With `verbatim`, lines that recur word for word count at any length: those of fewer than LEAD
-words in `documents` documents, those of over LONG words in `verbatim` different texts. With `several`, a leaf has as many
-templates as recur in it, whatever their share: at each of the floors documents, 2 documents, 4 documents ... a masked line
-keeps the words that so many lines of the leaf have at their position, and lines that keep the same words are a template.
+With `verbatim`, lines that recur word for word count at any length: those of fewer than LEAD words in `documents`
+documents, those of over LONG words in `verbatim` different texts. With `several`, a leaf has as many templates as recur in
+it, whatever their share: at each of the floors documents, 2 documents, 4 documents ... a masked line keeps the words that
+so many lines of the leaf have at their position, and lines that keep the same words are a template. The registered query
+does both, and OP3_SQL states it.
 
 Lines are counted after a distinct per document and leaf, so a line that a third of all documents share spreads over all
 tasks; what is gathered per leaf is one word a position, and per document the positions of its own lines.
@@ -37,7 +38,7 @@ _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS, verbatim: int | None = None, several: bool = False) -> DataFrame:
     """docs with the recurring lines taken out of text, and n_lines and n_dropped (long).
 
-    Defined cases: a null text stays null and has no lines; an empty table gives an empty result; lines of fewer than
+    Defined cases: a null text stays null and has no lines; of a text of any length all lines count; an empty table gives an empty result; lines of fewer than
     LEAD words are kept (with `verbatim`, blank ones); a line that repeats within one document counts once; rows that share doc_id and text are the
     same document; a null doc_id is an id like any other; of words equally common at a position the larger by code
     point is kept. Columns n_lines and n_dropped of docs are replaced.
@@ -126,19 +127,15 @@ def _grouped(scratch: Scratch, keys: DataFrame, near: DataFrame, words: DataFram
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-
-
-def op3_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beyond OP3_SQL: short and long lines that recur word for word, and several templates a leaf."""
-    return line_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), verbatim=TEXTS, several=True)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return line_dedup(spark, docs, verbatim=TEXTS, several=True)
 
 
 OP3_SQL = r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
      lines AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM split),
-     masked AS (SELECT doc_id, pos, trim(regexp_replace(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS whole FROM lines),
-     worded AS (SELECT doc_id, pos, whole, string_split(whole, ' ') AS words FROM masked),
+     masked AS (SELECT doc_id, pos, line, trim(regexp_replace(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS whole FROM lines),
+     worded AS (SELECT doc_id, pos, trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS own, whole, string_split(whole, ' ') AS words FROM masked WHERE whole <> ''),
      parsed AS (SELECT doc_id, pos, whole, words, len(words) AS n, words[1] AS a, words[2] AS b, words[3] AS c FROM worded WHERE len(words) >= 3),
      leaves AS (SELECT n, a, b, c FROM parsed GROUP BY n, a, b, c HAVING count(DISTINCT doc_id) >= 10),
      near AS (SELECT p.* FROM parsed p JOIN leaves USING (n, a, b, c)),
@@ -152,7 +149,19 @@ WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM document
      fits AS (SELECT * FROM agree WHERE 100 * k >= 80 * m),
      recur AS (SELECT n, a, b, c FROM fits GROUP BY n, a, b, c HAVING count(DISTINCT doc_id) >= 10),
      exact AS (SELECT whole FROM parsed GROUP BY whole HAVING count(DISTINCT doc_id) >= 10),
-     gone AS (SELECT doc_id, pos FROM fits JOIN recur USING (n, a, b, c) UNION SELECT doc_id, pos FROM parsed JOIN exact USING (whole)),
+     held AS (SELECT t.*, w.k FROM (SELECT n, a, b, c, whole, unnest(range(n)) AS i, unnest(words) AS word FROM (SELECT DISTINCT n, a, b, c, whole, words FROM near)) t
+              JOIN words w USING (n, a, b, c, i, word) WHERE t.i >= 3 AND w.k >= 10),
+     floors AS (SELECT n, a, b, c, whole, unnest(range(floor(log2(max(k) / 10) + 1e-9)::INT + 1)) AS l FROM held GROUP BY n, a, b, c, whole),
+     kept_words AS (SELECT n, a, b, c, whole, l, string_agg(i || ':' || word, ' ' ORDER BY i) AS g FROM held JOIN floors USING (n, a, b, c, whole)
+                    WHERE k >= 10 * pow(2, l) GROUP BY n, a, b, c, whole, l HAVING 100 * (count(*) + 3) >= 60 * n),
+     member AS (SELECT DISTINCT n, a, b, c, whole, g FROM kept_words),
+     many AS (SELECT n, a, b, c, g FROM member JOIN parsed USING (n, a, b, c, whole) GROUP BY n, a, b, c, g HAVING count(DISTINCT doc_id) >= 10),
+     several AS (SELECT DISTINCT whole FROM member JOIN many USING (n, a, b, c, g)),
+     short AS (SELECT own FROM worded WHERE len(words) < 3 GROUP BY own HAVING count(DISTINCT doc_id) >= 10),
+     long AS (SELECT own FROM worded JOIN documents USING (doc_id) WHERE len(words) > 50 GROUP BY own HAVING count(DISTINCT text) >= 2),
+     gone AS (SELECT doc_id, pos FROM fits JOIN recur USING (n, a, b, c) UNION SELECT doc_id, pos FROM parsed JOIN exact USING (whole)
+              UNION SELECT doc_id, pos FROM parsed JOIN several USING (whole) UNION SELECT doc_id, pos FROM worded JOIN short USING (own) WHERE len(words) < 3
+              UNION SELECT doc_id, pos FROM worded JOIN long USING (own) WHERE len(words) > 50),
      kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text
               FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
