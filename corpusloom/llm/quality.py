@@ -25,6 +25,8 @@ from corpusloom.llm.common import held_out
 PASSAGE = 100
 #: Labelled documents that are fitted on, at most.
 SAMPLE = 3000
+#: Passages of a document that are fitted on, at most, and passages that are scored together, about.
+PASSAGES, TOGETHER = 256, 4096
 THRESHOLD = 0.5
 HIDDEN, GATE = 24, 12
 ROUNDS, RATE, DECAY = 300, 0.01, 1e-3
@@ -111,6 +113,21 @@ def _forward(weights: list[np.ndarray], x: np.ndarray, bags: np.ndarray) -> tupl
     return h, tv, su, att, of, z, p
 
 
+def gradients(weights: list[np.ndarray], x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """The gradient of the mean logistic loss by each of the weights."""
+    _, _, v, u, a, c, _ = weights
+    h, tv, su, att, of, z, p = _forward(weights, x, bags)
+    g = (p - y) / len(y)
+    gz = g[:, None] * c
+    gh = att[:, None] * gz[of]
+    ga = (gz[of] * h).sum(axis=1)
+    ge = att * (ga - np.add.reduceat(att * ga, bags)[of])
+    gv, gu = ge[:, None] * a * su * (1 - tv**2), ge[:, None] * a * tv * su * (1 - su)
+    gh += gv @ v.T + gu @ u.T
+    gh *= 1 - h**2
+    return [x.T @ gh, gh.sum(axis=0), h.T @ gv, h.T @ gu, (tv * su).T @ ge, z.T @ g, np.array([g.sum()])]
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     """Fit by Adam on all bags at once, from a fixed start; without both labels the score is the share of ones."""
     if not len(texts):
@@ -131,18 +148,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
         return Model(mean, scale, weights)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for t in range(1, ROUNDS + 1):
-        w1, _, v, u, a, c, _ = weights
-        h, tv, su, att, of, z, p = _forward(weights, x, bags)
-        g = (p - y) / len(y)
-        gz = g[:, None] * c
-        gh = att[:, None] * gz[of]
-        ga = (gz[of] * h).sum(axis=1)
-        ge = att * (ga - np.add.reduceat(att * ga, bags)[of])
-        gv, gu = ge[:, None] * a * su * (1 - tv**2), ge[:, None] * a * tv * su * (1 - su)
-        gh += gv @ v.T + gu @ u.T
-        gh *= 1 - h**2
-        gradients = [x.T @ gh, gh.sum(axis=0), h.T @ gv, h.T @ gu, (tv * su).T @ ge, z.T @ g, np.array([g.sum()])]
-        for i, gradient in enumerate(gradients):
+        for i, gradient in enumerate(gradients(weights, x, bags, y)):
             first[i] = 0.9 * first[i] + 0.1 * gradient
             second[i] = 0.999 * second[i] + 0.001 * gradient**2
             step = first[i] / (1 - 0.9**t) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
@@ -150,29 +156,47 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Model:
     return Model(mean, scale, weights)
 
 
+def part(rows: np.ndarray, most: int = PASSAGES) -> np.ndarray:
+    """At most so many passages, evenly spread over the text: what a long text brings into the fit."""
+    return rows if len(rows) <= most else rows[np.linspace(0, len(rows) - 1, most).astype(int)]
+
+
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [encode(t).astype("<f4").tobytes() for t in batch.column(2).to_pylist()]
+        rows = [part(encode(t)).astype("<f4").tobytes() for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "y", "rows"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the labels of at most `sample` documents that are not held out, those first by hash of their ids.
 
-    Conflicting labels of a document count by their mean. The bound makes the broadcast and what reaches the driver
-    (the passages' features) independent of the tables' size.
+    Conflicting labels of a document count by their mean. Rows that repeat an id are documents of their own, and the
+    first `sample` rows count; a text longer than PASSAGES passages is fitted on so many of them. So the broadcast, and
+    what reaches the driver (4 * FEATURES * PASSAGES bytes a row at most), do not depend on the tables.
     """
     seen = labels.filter(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
     seen = seen.groupBy("doc_id").agg(F.avg("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     bags = docs.select("doc_id", "text").join(F.broadcast(seen), "doc_id").select("doc_id", "y", "text")
-    found = sorted((r[0], r[1], bytes(r[2])) for r in bags.mapInArrow(_encoded, "doc_id long, y double, rows binary").collect())
+    bags = bags.mapInArrow(_encoded, "doc_id long, y double, rows binary").orderBy(F.xxhash64("doc_id"), "doc_id", "rows").limit(sample)
+    found = sorted((r[0], r[1], bytes(r[2])) for r in bags.collect())
     return fit([np.frombuffer(r, dtype="<f4").reshape(-1, FEATURES).astype(float) for _, _, r in found], np.array([y for _, y, _ in found]))
 
 
+def scores_of(model: Model, texts: list[str | None]) -> np.ndarray:
+    """The scores of whole texts, some thousand passages at a time."""
+    out, bags = [], []
+    for i, t in enumerate(texts):
+        bags.append(encode(t))
+        if i + 1 == len(texts) or sum(map(len, bags[-64:])) >= TOGETHER or len(bags) == 64:
+            out.append(model.score(np.concatenate(bags), np.cumsum([0, *map(len, bags[:-1])])))
+            bags = []
+    return np.concatenate(out) if out else np.empty(0)
+
+
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [float(model.score(encode(t), np.array([0]))[0]) for t in batch.column(1).to_pylist()]
+            scores = scores_of(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run
@@ -181,7 +205,8 @@ def _scored(model: Model):
 def quality(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from THRESHOLD on) for every row of docs.
 
-    Defined cases: a null text and one without words score as a passage of zeros; an empty table gives an empty result;
+    Defined cases: a null text and one without words score as a passage of zeros; of a text of any length every passage
+    counts; an empty table gives an empty result;
     repeated rows are scored each; a null doc_id is not held out; other columns of docs are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), "doc_id long, score double")
@@ -204,7 +229,7 @@ def _kept(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            yield batch.filter(pa.array([model.score(encode(t), np.array([0]))[0] >= THRESHOLD for t in texts], pa.bool_()))
+            yield batch.filter(pa.array(scores_of(model, texts) >= THRESHOLD, pa.bool_()))
 
     return run
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +29,8 @@ from corpusloom.llm.common import held_out
 
 #: Documents of the two samples at most, and the weights of the model at most.
 POSITIVES, UNLABELLED, FEATURES = 2500, 5000, 5000
+#: Distinct words of a document that are fitted on, at most.
+WORDS = 10_000
 #: A feature occurs in so many sampled positives at least, in that share of them, and so many times as often as in the
 #: unlabelled texts.
 LEAST, SHARE, LIFT = 3, 0.02, 4.0
@@ -74,6 +77,18 @@ def _loss(f: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
     return float(np.log1p(np.exp(z)).sum() / n), -sign / (1 + np.exp(-z)) / n
 
 
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of scores for positives and unlabelled texts, and the step's direction by either.
+
+    Where the correction has gone below zero the direction undoes the fit to the unlabelled texts.
+    """
+    (l_pos, g_pos), (l_neg, g_neg), (l_unl, g_unl) = _loss(fp, 1), _loss(fp, -1), _loss(fu, -1)
+    rest = l_unl - prior * l_neg
+    if rest >= 0:
+        return prior * l_pos + rest, prior * (g_pos - g_neg), g_unl
+    return prior * l_pos, prior * g_neg, -g_unl
+
+
 def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float) -> Model:
     """The non-negative PU classifier; without positives every text scores the prior."""
     prior = min(max(prior, 1e-3), 0.9)
@@ -100,11 +115,7 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float)
     for t in range(1, ROUNDS + 1):
         fp = np.bincount(pr, w[pc], len(positive)) + w[-1]
         fu = np.bincount(ur, w[uc], len(unlabelled)) + w[-1]
-        (_, g_pos), (l_neg, g_neg), (l_unl, g_unl) = _loss(fp, 1), _loss(fp, -1), _loss(fu, -1)
-        if l_unl - prior * l_neg >= 0:
-            gp, gu = prior * (g_pos - g_neg), g_unl
-        else:  # the correction has gone below zero: undo the fit to the unlabelled texts
-            gp, gu = prior * g_neg, -g_unl
+        _, gp, gu = risk(fp, fu, prior)
         gradient = np.append(np.bincount(pc, gp[pr], size) + np.bincount(uc, gu[ur], size), gp.sum() + gu.sum())
         gradient[:-1] += RIDGE * w[:-1]
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
@@ -112,17 +123,24 @@ def fit(positive: list[set[bytes]], unlabelled: list[set[bytes]], prior: float)
     return Model({x: float(w[i]) for x, i in vocabulary.items()}, float(w[-1]))
 
 
+def some(words: set[bytes], most: int = WORDS) -> list[bytes]:
+    """At most so many of a text's words, those first by hash, in order: what a long text brings into the fit."""
+    return sorted(words) if len(words) <= most else sorted(sorted(words, key=lambda w: (zlib.crc32(w), w))[:most])
+
+
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [b" ".join(sorted(words_of(t))) for t in batch.column(0).to_pylist()]
+        sets = [b" ".join(some(words_of(t))) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary())], ["words"])
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, most: int) -> list[set[bytes]]:
-    """The word sets of the documents whose ids come first by hash: most rows at most, which bounds the broadcast."""
+    """The word sets of the documents whose ids come first by hash, `most` rows at most: that bounds the broadcast, and with
+    WORDS what reaches the driver. Rows that repeat an id are documents of their own."""
     chosen = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text")
-    return sorted((set(bytes(r[0]).split()) for r in texts.mapInArrow(_word_sets, "words binary").collect()), key=sorted)
+    found = texts.mapInArrow(_word_sets, "words binary").orderBy(F.xxhash64("words"), "words").limit(most)
+    return sorted((set(bytes(r[0]).split()) for r in found.collect()), key=sorted)
 
 
 def train(docs: DataFrame, labels: DataFrame, unlabelled: int = UNLABELLED) -> Model:
@@ -154,7 +172,7 @@ def _scored(model: Model):
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from THRESHOLD on) for every row of docs.
 
-    Defined cases: a null or empty text scores as one without words; an empty table gives an empty result; repeated
+    Defined cases: a null or empty text scores as one without words; of a text of any length all words count; an empty table gives an empty result; repeated
     rows are scored each; a null doc_id is not held out; other columns of docs are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), "doc_id long, score double")
