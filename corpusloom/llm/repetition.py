@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +67,7 @@ def judge(text: str | None) -> tuple:
             seen.add(x)
     repeat, worst, rule = 0, 0.0, None
     if n >= min(COVERAGE):
-        own = np.fromiter(map(hash, words), dtype=np.int64, count=n).view(np.uint64)
-        own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        own = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n)
         size = None
         rolled = own
         for k in range(2, max(*COVERAGE, WINDOW) + 1):
@@ -110,9 +110,11 @@ def repetition(docs: DataFrame, carry: list[str], text: str = "text") -> DataFra
     kept is false if the base rules fail (fewer than MIN_WORDS words, or more than REPEATED % of the words in windows
     of WINDOW words that occur twice), else the verdict of the coverage thresholds; rule names the first that failed.
 
-    Defined cases: a null text is the empty text and fails the base rules; an empty table gives an empty result;
-    repeated rows are judged each; carried columns may hold anything, but none may have a name of FIELDS.
+    Defined cases: a null text is the empty text and fails the base rules; a text of any length is judged whole; an empty
+    table gives an empty result; repeated rows are judged each; carried columns may hold anything, and those that have a
+    name of FIELDS are replaced.
     """
+    carry = [c for c in carry if c.lower() not in {k for k, _ in FIELDS}]
     kinds = {"int64": "long", "bool": "boolean", "double": "double", "string": "string"}
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     new = ", ".join(f"{k} {kinds[str(v)]}" for k, v in FIELDS)

@@ -139,9 +139,10 @@ def url_filter(
     The index goes to the nodes as files, so a node that joins later fetches it too.
 
     Defined cases: a null url and one without `://` have empty host and path and fit no rule; an empty rule set gives
-    `otherwise` throughout; an empty table gives an empty result; repeated rows are judged each; the carried columns may
-    not have a name of the four new ones.
+    `otherwise` throughout; a url of any length is judged whole; an empty table gives an empty result; repeated rows are
+    judged each; carried columns that have a name of the four new ones are replaced.
     """
+    carry = [c for c in carry if c.lower() not in ("host", "path", "rule", "verdict")]
     folder = tempfile.mkdtemp(prefix="corpusloom-rules-")  # the driver serves the files from here until it ends
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     name = write_index(rules, folder)
