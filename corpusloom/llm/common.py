@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,17 @@ class Scratch:
                 return
 
 
+#: Rows that a Python worker holds at a time.
+ROWS = 500
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into short ones, so that a worker holds few texts and results at a time; an empty one stays."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 def tasks_for(rows: int, each: int = 20_000) -> int:
     """Tasks for a table of that many narrow rows."""
     return max(1, -(-rows // each))

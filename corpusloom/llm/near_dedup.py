@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, counted, tasks_for
+from corpusloom.llm.common import Scratch, counted, slices, tasks_for
 from corpusloom.llm.components import components
 
 #: Retained values of a sketch, and of the longer one that blocks compare.
@@ -67,7 +67,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, flat, ends = [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, words)
@@ -87,7 +87,7 @@ def _sketches(words: int):
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(text, words).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
@@ -109,7 +109,7 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float]:
 
 def _estimated(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for n, m, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 near = 100 * min(n, m) >= percent * max(n, m)
@@ -129,7 +129,7 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
             keep = [_similar(a, b, percent) for a, b in zip(*sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))

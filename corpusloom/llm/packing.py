@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, slices
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -42,8 +42,8 @@ FLUID = 16
 BUCKET = 128
 #: Buckets whose sizes are summed together.
 SPAN = 1024
-#: Words whose ids a worker remembers.
-CACHED = 700_000
+#: Words whose ids a worker remembers, twice: when so many are known, they make room and stay only while they are asked for.
+CACHED = 100_000
 
 _LETTER = "a-zÀ-ÖØ-öø-ɏ"
 #: Texts of these characters alone take the fast way: beyond ASCII, the letters of _LETTER (none changes under NFC) whose
@@ -76,6 +76,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
@@ -91,10 +92,12 @@ class Encoder:
         except KeyError:
             pass
         if len(known) > CACHED:
-            known.clear()
+            self.older, self.known = known, {}
+            known = self.known
+        older = self.older
         for w in words:
             if w not in known:
-                known[w] = self._word(w)
+                known[w] = older.get(w) or self._word(w)
         return b"".join([known[w] for w in words])
 
 
@@ -113,7 +116,7 @@ def _pieces(path: str | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = encoder.encode(text or "") + end
@@ -322,7 +325,7 @@ def _runs(patterns: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndar
 
 def _assigned(runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kind, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (-2, -1))
             out = np.empty(len(kind), dtype=np.int64)
             for s in np.unique(kind):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out
+from corpusloom.llm.common import held_out, slices
 
 #: Words of a passage.
 PASSAGE = 100
@@ -162,7 +162,7 @@ def part(rows: np.ndarray, most: int = PASSAGES) -> np.ndarray:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [part(encode(t)).astype("<f4").tobytes() for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "y", "rows"])
 
@@ -195,7 +195,7 @@ def scores_of(model: Model, texts: list[str | None]) -> np.ndarray:
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = scores_of(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
@@ -227,7 +227,7 @@ def good(docs: DataFrame, model: Model) -> DataFrame:
 
 def _kept(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             yield batch.filter(pa.array(scores_of(model, texts) >= THRESHOLD, pa.bool_()))
 

@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import slices
+
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 #: Largest share of characters inside duplicated n-grams, by n. A header line that a short text repeats once stays below.
@@ -98,7 +100,7 @@ def judge(text: str | None) -> tuple:
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [judge(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
         new = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(FIELDS)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], *(k for k, _ in FIELDS)])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out
+from corpusloom.llm.common import held_out, slices
 
 #: Documents of the two samples at most, and the weights of the model at most.
 POSITIVES, UNLABELLED, FEATURES = 2500, 5000, 5000
@@ -129,7 +129,7 @@ def some(words: set[bytes], most: int = WORDS) -> list[bytes]:
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [b" ".join(some(words_of(t))) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary())], ["words"])
 
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, unlabelled: int = UNLABELLED) -> M
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = [model.score(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import LOWER, UPPER
+from corpusloom.llm.common import LOWER, UPPER, slices
 
 #: Fixed: the rules of the registered query (verdict, host, path).
 RULES = (
@@ -114,7 +114,7 @@ def _open(folder: str, name: str) -> Index:
 def _judged(name: str, otherwise: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _open(os.path.dirname(SparkFiles.get(f"{name}-keys.npy")), name)
-        for batch in batches:
+        for batch in slices(batches):
             pairs = [parts(u) for u in batch.column(batch.num_columns - 1).to_pylist()]
             found = index.look_up(pairs)
             new = [[h for h, _ in pairs], [p for _, p in pairs], [f and f[0] for f in found], [f[1] if f else otherwise for f in found]]
