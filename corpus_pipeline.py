@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import quality
-from corpusloom.llm.common import Scratch
+from corpusloom.llm.common import Scratch, counted
 from corpusloom.llm.exact_dedup import exact_dedup
 from corpusloom.llm.mixing import mix, repeated
 from corpusloom.llm.near_dedup import near_dedup
@@ -29,8 +29,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    gone = near_dedup(spark, docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = Scratch(spark, "gone").write(near_dedup(spark, docs).filter("not kept").select("doc_id").distinct(), "ids")
+    return docs.join(counted(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
