@@ -6,7 +6,6 @@ A row that an adapter fails on keeps its error text instead of a record, so that
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Callable
 from hashlib import sha1
 from typing import Any
@@ -64,26 +63,26 @@ def _apigen(row: dict) -> dict:
     }
 
 
+def _turn_calls(text: str, declared: list[str]) -> list[dict[str, Any]] | None:
+    """The calls of one turn; None where it is prose. Where the format hides them, the declared names that occur."""
+    form = P.call_format(text)
+    if form == "natural_language":
+        return None
+    bracketed = form == "pythonic_bracket"
+    return [_call(n, n_args=P.count_args(a)) for n, a in P.split_calls(text)] if bracketed else [_call(n, n_args=0) for n in declared if n in text]
+
+
 def _toolace(row: dict) -> dict:
-    kind, raw, names, text = P.schema_of(row.get("system"))
-    tools = [t for t in map(P.tool_summary, raw) if t]
     said = turns(row.get("conversations"))
     prompt = next((v for r, v in said if ROLES.get(r) == "user" and v), "")
     own = [v.strip() for r, v in said if r in ("assistant", "gpt")]
-    kinds = Counter(map(P.call_format, own))
-    calls = []
-    for v in own:
-        form = P.call_format(v)
-        if form == "pythonic_bracket":
-            calls += [_call(n, n_args=P.count_args(a)) for n, a in P.split_calls(v)]
-        elif form != "natural_language":
-            calls += [_call(n, n_args=0) for n in names if n in v]
-    spoken = kinds["natural_language"] == len(own) and own
-    return {
-        "row_id": sha(row.get("system"), prompt), "prompt": prompt, "tools": tools, "declared": names, "calls": calls, "schema_format": kind,
-        "refusal": own[0][:200] if spoken else None, "group_key": _group(tools) if tools or not names else sha(*sorted(names)),
-        "schema_text": text, "n_turns": len(said),
-    }
+    kind, raw, declared, text = P.schema_of(row.get("system"))
+    tools = [t for t in map(P.tool_summary, raw) if t]
+    read = [_turn_calls(v, declared) for v in own]
+    out = {"row_id": sha(row.get("system"), prompt), "prompt": prompt, "n_turns": len(said)}
+    out |= {"tools": tools, "declared": declared, "schema_format": kind, "schema_text": text}
+    out |= {"calls": [c for found in read if found for c in found], "refusal": own[0][:200] if own and read.count(None) == len(own) else None}
+    return out | {"group_key": sha(*sorted(declared)) if declared and not tools else _group(tools)}
 
 
 def _hermes(row: dict) -> dict:
@@ -122,8 +121,9 @@ def sql_group(ddl: Column) -> Column:
     return fingerprint(F.array_join(F.array_sort(tables), ","), F.array_join(F.array_sort(columns), ","))
 
 
-def code_symbols(answer: Column) -> Column:
-    """Struct (mods, called, defined) of lower-case symbols in the code fences of an answer, or in all of it without any."""
+def code_symbols(answer: Column, most_called: int = 64, most_defined: int = 32) -> Column:
+    """Struct (mods, called, defined) of lower-case symbols in the code fences of an answer, or in all of it without any;
+    of called and defined ones the first so many in order."""
     fenced = F.regexp_extract_all(answer, F.lit(r"(?s)```[A-Za-z0-9_+#.-]*\n(.*?)```"), F.lit(1))
     code = F.when(F.size(fenced) > 0, F.array_join(fenced, "\n")).otherwise(answer)
     take = lambda p: F.regexp_extract_all(code, F.lit(p), F.lit(1))
@@ -136,7 +136,7 @@ def code_symbols(answer: Column) -> Column:
     called = F.filter(take(r"\b([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)\s*\("), lambda c: F.contains(c, F.lit(".")) | (F.length(c) > 2))
     defined = take(r"\b(?:def|class|function|func|fn|sub|void|public|private)\s+([A-Za-z_]\w*)")
     clean = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda x: F.lower(x))))
-    return F.struct(clean(mods).alias("mods"), F.slice(clean(called), 1, 64).alias("called"), F.slice(clean(defined), 1, 32).alias("defined"))
+    return F.struct(clean(mods).alias("mods"), F.slice(clean(called), 1, most_called).alias("called"), F.slice(clean(defined), 1, most_defined).alias("defined"))
 
 
 def first_turn(conversation: Column, roles: tuple[str, ...]) -> Column:
@@ -176,11 +176,12 @@ def adapt(rows: DataFrame, kind: str) -> DataFrame:
     raise ValueError(f"no adapter {kind}")
 
 
-def answer_surface(record: Column, fallback: Column) -> Column:
-    """What an answer does: its calls' names and sorted argument names, else the refusal's start, else the given text's."""
+def answer_surface(record: Column, fallback: Column, refused: int = 300, said: int = 2000) -> Column:
+    """What an answer does: its calls' names and sorted argument names, else the refusal's first characters, else the given
+    text's."""
     calls = F.transform(record["calls"], lambda c: F.struct(c["name"].alias("name"), F.array_sort(F.json_object_keys(c["args"])).alias("keys")))
-    refusal = F.nullif(F.substring(record["refusal"], 1, 300), F.lit(""))
-    return F.when(F.size(calls) > 0, F.to_json(calls)).otherwise(F.coalesce(refusal, F.substring(fallback, 1, 2000)))
+    refusal = F.nullif(F.substring(record["refusal"], 1, refused), F.lit(""))
+    return F.when(F.size(calls) > 0, F.to_json(calls)).otherwise(F.coalesce(refusal, F.substring(fallback, 1, said)))
 
 
 def rarity_keys(rows: DataFrame, key: str, lang: Column) -> DataFrame:

@@ -16,8 +16,13 @@ from corpusloom.functions import parsing as P
 ENVELOPES = {1: ("data",), 2: ("result", "body"), 3: ("envelope", "response", "content")}
 CORRUPTIONS = ("truncated_json", "type_swapped", "error_envelope", "empty_body", "null_leaf")
 CONTRADICTIONS = ("wrong_entity", "silently_truncated", "stale_as_of", "unit_swapped")
-#: Part of a text that a truncated return keeps.
+# The part of a text that a truncated return keeps, the error that stands for a result, and what the
+# contradictions add to a payload.
 KEPT = 0.62
+ERROR = {"code": "upstream_timeout", "message": "backend did not respond in 30s", "retryable": True}
+TRUNCATED = {"partial": True, "returned": 1, "total_matching": 47}
+STALE = {"cached": True, "generated_at": "2019-11-02T04:15:00Z"}
+UNITS = {"units": "unspecified", "note": "values are in the provider's base units"}
 
 
 def wrap(payload: Any, depth: int) -> Any:
@@ -84,8 +89,7 @@ def corrupt(payload: Any, mode: str, depth: int) -> tuple[str, str]:
         new, why = ("N/A", "is text, not a number") if mode == "type_swapped" else (None, "is null")
         return text(replaced(inside, path, new)), f"the value at {'.'.join(map(str, path))} {why}"
     if mode == "error_envelope":
-        error = {"error": {"code": "upstream_timeout", "message": "backend did not respond in 30s", "retryable": True}}
-        return text(wrap(error, depth)), "an upstream error stands where the result should"
+        return text(wrap({"error": ERROR}, depth)), "an upstream error stands where the result should"
     if mode == "empty_body":
         return text(wrap({}, depth)), "the body is empty"
     raise ValueError(f"no corruption {mode}")
@@ -107,14 +111,14 @@ def contradict(payload: Any, mode: str, args: dict[str, Any]) -> tuple[Any, str]
             new = value[:-1] + step
         return replaced(payload, path, new), f"{'.'.join(map(str, path))} is {new} where {value} was asked for"
     if mode == "silently_truncated":
-        return {"partial": True, "returned": 1, "total_matching": 47, "result": payload}, "one match of many is returned"
+        return TRUNCATED | {"result": payload}, "one match of many is returned"
     if mode == "stale_as_of":
-        return {"cached": True, "generated_at": "2019-11-02T04:15:00Z", "result": payload}, "the return was cached years ago"
+        return STALE | {"result": payload}, "the return was cached years ago"
     if mode == "unit_swapped":
         path = number_path(payload)
         if path is None:
             return None, "there is nothing to name a unit of"
-        return {"units": "unspecified", "note": "values are in the provider's base units", "result": payload}, f"the unit of {'.'.join(map(str, path))} is not given"
+        return UNITS | {"result": payload}, f"the unit of {'.'.join(map(str, path))} is not given"
     raise ValueError(f"no contradiction {mode}")
 
 
