@@ -56,14 +56,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(normalize(text), " "), lambda w: w != "")
 
 
-def windows(word_list: Column, n: int) -> Column:
-    """A 64-bit hash of every window of n words, in order and with repeats; none if there are fewer words."""
-    start = F.sequence(F.lit(1), F.size(word_list) - n + 1)
-    return F.when(F.size(word_list) >= n, F.transform(start, lambda i: F.xxhash64(F.slice(word_list, i, n)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-
-
 def fingerprint(*parts: Column) -> Column:
     """The first 16 hex digits of SHA-1 over the parts, each followed by the unit separator."""
     return F.substring(F.sha1(F.concat(*(x for p in parts for x in (F.coalesce(p.cast("string"), F.lit("None")), F.lit("\x1f"))))), 1, 16)
@@ -173,3 +165,8 @@ def json_type(name: Column) -> Column:
     table = F.create_map(*(F.lit(x) for kv in TYPES.items() for x in kv))
     found = F.when(~key.isin("optional", "union"), F.try_element_at(table, key))
     return F.struct(F.coalesce(found, F.trim(name)).alias("type"), found.isNotNull().alias("known"))
+
+
+def dotted(document: Column, path: str) -> Column:
+    """The value at a path `a.b.c` of a JSON text, as text; null where there is none."""
+    return F.get_json_object(document, "$." + path)

@@ -1,33 +1,95 @@
 """Overlap with evaluation items by shared word windows: indexes, hit counts, owners, sides, touched items.
 
-The index side is far smaller than the corpus, but nothing here assumes so: joins carry no hint, and adaptive execution
-broadcasts an index only where its measured size allows that.
+Texts are normalized by Spark; windows are rolling hashes of word hashes, computed in numpy batch by batch. An index of up
+to HELD windows goes to the workers as one sorted array, and only windows that it holds leave them, so that of the corpus
+nothing but hits is shuffled. A larger index is joined by its windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import capped, windows, words
+from corpusloom.functions.text import capped, normalize
 
 #: Words of a window.
 N = 13
 #: Items listed for an evaluation item at most (the report says how many were left out).
 LISTED = 200
+#: Windows of an index that workers hold at most (8 bytes each).
+HELD = 8_000_000
+#: Rows that a worker holds at a time.
+ROWS = 500
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def window_hashes(words: list[bytes], n: int) -> np.ndarray:
+    """A 64-bit hash of every window of n words, in order and with repeats; none if there are fewer words."""
+    if len(words) < n:
+        return np.empty(0, dtype=np.int64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    rolled = own
+    for k in range(1, n):
+        rolled = rolled[:-1] * _BASE + own[k:]
+    rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (rolled ^ (rolled >> np.uint64(32))).view(np.int64)
+
+
+def _windowed(n: int, known: Callable[[], np.ndarray] | None) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = known() if known else None
+        for whole in batches:
+            for first in range(0, max(whole.num_rows, 1), ROWS):
+                batch = whole.slice(first, ROWS)
+                row, at, found, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    h = window_hashes((text or b"").split(), n)
+                    where = np.arange(len(h))
+                    if held is not None:
+                        near = np.searchsorted(held, h)
+                        where = np.flatnonzero(held[np.minimum(near, len(held) - 1)] == h) if len(held) else where[:0]
+                    if len(where):
+                        row.append(np.full(len(where), i))
+                        at.append(where)
+                        found.append(h[where])
+                        of.append(np.full(len(where), len(h)))
+                rows = pa.array(np.concatenate(row))
+                new = [pa.array(np.concatenate(x)) for x in (at, found, of)]
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:-1]), *new], [*batch.schema.names[:-1], "at", "h", "n_windows"])
+
+    return run
+
+
+def grams(rows: DataFrame, keys: list[str], text: str = "text", n: int = N, cap: bool = False, known: Callable[[], np.ndarray] | None = None) -> DataFrame:
+    """The keys with a row for each window: its position at, its hash h, and the number of the text's windows.
+
+    Rows with fewer than n words give none. cap: of the first characters of a text only. known: only windows it holds.
+    """
+    source = capped(F.col(text)) if cap else F.col(text)
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    plain = rows.select(*keys, normalize(source).cast("binary").alias("_text"))
+    return plain.mapInArrow(_windowed(n, known), f"{kinds}at long, h long, n_windows long")
 
 
-def grams(rows: DataFrame, keys: list[str], text: str = "text", n: int = N, cap: bool = True) -> DataFrame:
-    """The keys with a row for each window (h, and its position at); rows with fewer than n words give none."""
-    source = capped(F.col(text)) if cap else F.col(text)
-    w = rows.select(*keys, words(source).alias("w")).filter(F.size("w") >= n)
-    return w.select(*keys, F.posexplode(windows(F.col("w"), n)).alias("at", "h"))
+def probed(rows: DataFrame, keys: list[str], idx: DataFrame, text: str = "text", n: int = N, cap: bool = False) -> DataFrame:
+    """grams of rows that the index holds."""
+    known = idx.select("h").distinct()
+    held = known.limit(HELD + 1).toPandas()["h"].to_numpy(dtype=np.int64)
+    if len(held) > HELD:
+        return grams(rows, keys, text, n, cap).join(known, "h", "left_semi")
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(held))
+    return grams(rows, keys, text, n, cap, known=lambda: sent.value)
 
 
 def index(items: DataFrame, item: str = "item_id", set_name: Column | None = None, n: int = N) -> DataFrame:
     """The distinct windows of evaluation items: h, set, item."""
     named = items.withColumn("set", set_name if set_name is not None else F.lit("benchmark")).withColumnRenamed(item, "item")
-    return grams(named, ["set", "item"], n=n, cap=False).select("h", "set", "item").distinct()
+    return grams(named, ["set", "item"], n=n).select("h", "set", "item").distinct()
 
 
 def owned(idx: DataFrame, sets: list[str] | None = None) -> DataFrame:
@@ -49,12 +111,9 @@ def owned_hits(gram_rows: DataFrame, idx: DataFrame, keys: list[str]) -> DataFra
     return gram_rows.join(idx, "h").groupBy(*keys, "set", "item").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
-def overlap_fraction(gram_rows: DataFrame, idx: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct windows shared with the index over all windows of a row."""
-    marked = gram_rows.join(idx.select("h").distinct().withColumn("known", F.lit(True)), "h", "left")
-    return marked.groupBy(*keys).agg(
-        (F.count_distinct(F.when(F.col("known"), F.col("h"))) / F.count(F.lit(1))).alias("fraction"), F.count(F.lit(1)).alias("n_windows")
-    )
+def overlap_fraction(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct windows shared with the index over all windows of a row, of the rows that share any (found: probed)."""
+    return found.groupBy(*keys).agg((F.count_distinct("h") / F.max("n_windows")).alias("fraction"), F.max("n_windows").alias("n_windows"))
 
 
 def boilerplate(idx: DataFrame, share: float = 0.5) -> DataFrame:
@@ -91,9 +150,9 @@ def sides(messages: DataFrame, key: str, role: str = "role", text: str = "text",
     return grouped.select(key, side(lambda x: x[role] != "assistant").alias("input"), side(lambda x: x[role] == "assistant").alias("target"))
 
 
-def overlap_by_side(two_sides: DataFrame, idx: DataFrame, key: str, by: list[str], cap: bool = True) -> DataFrame:
+def overlap_by_side(two_sides: DataFrame, idx: DataFrame, key: str, by: list[str], cap: bool = False) -> DataFrame:
     """Per group of rows: how many there are, and how many share a window on either side, the input, the target, both."""
-    hit = [grams(two_sides.select(key, F.col(s).alias("text")), [key], cap=cap).join(idx.select("h").distinct(), "h", "left_semi").select(key, F.lit(s).alias("side")).distinct() for s in ("input", "target")]
+    hit = [probed(two_sides.select(key, F.col(s).alias("text")), [key], idx, cap=cap).select(key, F.lit(s).alias("side")).distinct() for s in ("input", "target")]
     each = hit[0].unionByName(hit[1]).groupBy(key).agg(F.max((F.col("side") == "input").cast("int")).alias("i"), F.max((F.col("side") == "target").cast("int")).alias("t"))
     all_rows = two_sides.select(key, *by).join(each, key, "left").na.fill(0, ["i", "t"])
     return all_rows.groupBy(*by).agg(
@@ -101,12 +160,9 @@ def overlap_by_side(two_sides: DataFrame, idx: DataFrame, key: str, by: list[str
     )
 
 
-def clean_probes(probes: DataFrame, corpus_grams: DataFrame, key: str) -> DataFrame:
-    """Probe items (key, text) with the number of their windows that the training corpus holds; 0 is clean.
-
-    The corpus side is cut to the probes' windows by a semi join before it is made distinct, so only shared windows meet.
-    """
-    own = grams(probes, [key], cap=False)
-    shared = corpus_grams.select("h").join(own.select("h").distinct(), "h", "left_semi").distinct()
+def clean_probes(probes: DataFrame, corpus: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Probe items (key, text) with the number of their windows that the training corpus holds; 0 is clean."""
+    own = grams(probes, [key])
+    shared = probed(corpus, [], own, text).select("h").distinct()
     found = own.join(shared, "h").groupBy(key).agg(F.count(F.lit(1)).alias("n_windows"))
     return probes.select(key).join(found, key, "left").na.fill(0, ["n_windows"])

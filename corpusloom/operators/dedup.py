@@ -9,10 +9,9 @@ from corpusloom.functions.text import joined_hash, normalize
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key, by order; the key's group is combined map-side, never gathered."""
-    firsts = rows.groupBy(key.alias("_key")).agg(F.min(F.struct(*order)).alias("_first"))
-    keyed = rows.withColumn("_key", key).withColumn("_own", F.struct(*order))
-    return keyed.join(firsts, (keyed["_key"] == firsts["_key"]) & (keyed["_own"] == firsts["_first"]), "left_semi").drop("_key", "_own")
+    """The first row of each key, by order; the key's group is combined map-side, never gathered. Rows without a key go."""
+    first = rows.filter(key.isNotNull()).groupBy(key.alias("_key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def prompt_key(text: Column) -> Column:
