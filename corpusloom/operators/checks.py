@@ -40,3 +40,16 @@ def blank_gate(completion: Column, most: float = 0.02) -> dict[str, Column]:
 def saturated(base: Column, at: float = 0.999, most: float = 0.5) -> dict[str, Column]:
     """Too many items that the base gets right already leave nothing to tell arms apart by."""
     return {"not_saturated": F.avg((base >= at).cast("double")) <= most}
+
+
+def synthesis_gates(arm: str, mode: str, split: str, leaks: Column, detected: Column, trained: tuple[str, ...], held: tuple[str, ...], coverage: tuple[float, float], most: float = 0.02) -> dict[str, Column]:
+    """What a synthesized set must keep to: rows from train only, as many clean rows as defective ones (within a tenth),
+    every trained mode and no held-out one, a detector that finds neither all nor none, and few targets that quote what
+    the return no longer holds."""
+    bad, clean = F.count(F.when(F.col(arm) == "defective", 1)), F.count(F.when(F.col(arm) == "clean", 1))
+    seen = lambda modes: F.count_distinct(F.when(F.col(mode).isin(*modes), F.col(mode)))
+    found = F.avg(F.when(F.col(arm) == "defective", detected.cast("double")))
+    return {
+        "some_rows": F.count(F.lit(1)) > 0, "train_only": F.count(F.when(F.col(split) != "train", 1)) == 0, "twins": F.abs(clean / bad - 1) <= 0.1,
+        "all_trained": seen(trained) == len(trained), "none_held_out": seen(held) == 0, "coverage": found.between(*coverage), "leaks": F.avg(leaks.cast("double")) <= most,
+    }

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
-import random
-from collections.abc import Iterable
+import zlib
+from bisect import bisect_left
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranks import running
+
 
 def occurrence(rows: DataFrame, item: str, order: str, first: bool = False) -> DataFrame:
     """rows with key: the id, and from its second occurrence on `#2`, `#3` (with first, `#1` as well)."""
@@ -79,17 +83,14 @@ def flips(joined: DataFrame, key: str, category: str, ref: str, cand: str) -> Da
 def auroc(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by mid-ranks; null without both classes.
 
-    Ranks come from cumulative counts over the distinct scores, so rows are combined before they meet.
+    Ranks come from running counts over the distinct scores, span by span of the scores.
     """
     by = by or []
-    p = positive.cast("long")
-    cells = rows.groupBy(*by, score).agg(F.sum(p).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score)
-    before = F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = F.col("pos") * (before + 0.5 * (F.col("n") - F.col("pos")))
-    ranked = cells.withColumn("u", u)
+    cells = rows.groupBy(*by, score).agg(F.sum(positive.cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    ranked = running(cells, by, score, {"below": F.col("n") - F.col("pos")})
+    u = F.col("pos") * (F.col("below") + 0.5 * (F.col("n") - F.col("pos")))
     pairs = F.sum("pos") * F.sum(F.col("n") - F.col("pos"))
-    return ranked.groupBy(*by).agg(F.when(pairs > 0, F.sum("u") / pairs).alias("auroc"), F.sum("n").alias("n"))
+    return ranked.withColumn("u", u).groupBy(*by).agg(F.when(pairs > 0, F.sum("u") / pairs).alias("auroc"), F.sum("n").alias("n"))
 
 
 def ece(rows: DataFrame, score: str, positive: Column, bins: int = 10) -> DataFrame:
@@ -103,14 +104,9 @@ def ece(rows: DataFrame, score: str, positive: Column, bins: int = 10) -> DataFr
 def operating_points(rows: DataFrame, score: str, positive: Column, budgets: list[float]) -> DataFrame:
     """For each budget of false alarms the smallest threshold that keeps it, with its false alarms and hits."""
     cells = rows.groupBy(score).agg(F.sum(positive.cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(score))
-    everything = Window.partitionBy(F.lit(0))
-    neg = F.col("n") - F.col("pos")
-    curve = cells.select(
-        F.col(score).alias("threshold"),
-        (F.sum(neg).over(down) / F.sum(neg).over(everything)).alias("false_alarms"),
-        (F.sum("pos").over(down) / F.sum("pos").over(everything)).alias("hits"),
-    )
+    ranked = running(cells, [], score, {"hit": F.col("pos"), "miss": F.col("n") - F.col("pos")})
+    share = lambda c: (F.col(f"{c}_all") - F.col(c)) / F.col(f"{c}_all")
+    curve = ranked.select(F.col(score).alias("threshold"), share("miss").alias("false_alarms"), share("hit").alias("hits"))
     best = [F.min(F.when(F.col("false_alarms") <= b, F.struct("threshold", "false_alarms", "hits"))).alias(f"b{i}") for i, b in enumerate(budgets)]
     one = curve.agg(*best)
     points = F.array(*(F.struct(F.lit(float(b)).alias("budget"), F.col(f"b{i}").alias("p")) for i, b in enumerate(budgets)))
@@ -142,60 +138,103 @@ def retention(rates: DataFrame, axis: str, arm: str, rate: str, reference: str,
     )
 
 
-def bootstrap_interval(minus: int, zero: int, plus: int, rounds: int = 2000, seed: int = 0) -> tuple[float, float, float]:
-    """Mean difference with its 95 % bootstrap interval; a resample is drawn through the three counts, not the rows."""
-    n = minus + zero + plus
-    if not n:
-        return 0.0, 0.0, 0.0
-    rng = random.Random(seed)
-
-    def binomial(size: int, p: float) -> int:
-        if size * p * (1 - p) >= 9:
-            return min(size, max(0, round(rng.gauss(size * p, math.sqrt(size * p * (1 - p))))))
-        return sum(rng.random() < p for _ in range(size))
-
-    draws = []
-    for _ in range(rounds):
-        lost = binomial(n, minus / n)
-        rest = n - minus
-        gained = binomial(n - lost, plus / rest) if rest else 0
-        draws.append((gained - lost) / n)
-    draws.sort()
-    return (plus - minus) / n, draws[int(0.025 * rounds)], draws[int(0.975 * rounds) - 1]
-
-
-def permutation_p(a: Iterable[float], b: Iterable[float], rounds: int = 2000, seed: int = 0) -> float:
-    """Two-sided p-value of the difference of means under exchange of the labels."""
-    a, b = list(a), list(b)
-    if not a or not b:
-        return 1.0
-    pool, rng = a + b, random.Random(seed)
-    seen = abs(sum(a) / len(a) - sum(b) / len(b))
-    more = 0
-    for _ in range(rounds):
-        rng.shuffle(pool)
-        x, y = pool[: len(a)], pool[len(a) :]
-        more += abs(sum(x) / len(x) - sum(y) / len(y)) >= seen - 1e-12
-    return (more + 1) / (rounds + 1)
+def movers(rows: DataFrame, key: str, change: Column, k: int) -> DataFrame:
+    """The k rows that moved most, either way; ties: the smaller key."""
+    return rows.withColumn("change", change).orderBy(F.desc(F.abs("change")), key).limit(k)
+
+
+def stratum_blocks(items: DataFrame, stratum: str, base: str, tuned: str) -> DataFrame:
+    """Per stratum, and for all as stratum null: items, both means, mean and upper median of the difference, items up, down
+    and tied, and the sign test's p-value."""
+    both = F.explode(F.array(F.col(stratum), F.lit(None).cast(items.schema[stratum].dataType)))
+    cells = items.select(both.alias(stratum), F.col(base).cast("double").alias("_b"), F.col(tuned).cast("double").alias("_t")).withColumn("_d", F.col("_t") - F.col("_b"))
+    n = lambda c: F.count(F.when(c, 1))
+    blocks = cells.groupBy(stratum).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_b").alias("base"), F.avg("_t").alias("tuned"), F.avg("_d").alias("mean_diff"),
+        n(F.col("_d") > 0).alias("n_up"), n(F.col("_d") < 0).alias("n_down"), n(F.col("_d") == 0).alias("n_tied"),
+    )
+    ranked = running(cells.groupBy(stratum, "_d").agg(F.count(F.lit(1)).alias("_n")), [stratum], "_d", {"_at": F.col("_n")})
+    at = F.floor(F.col("_at_all") / 2)
+    medians = ranked.filter((F.col("_at") <= at) & (at < F.col("_at") + F.col("_n"))).select(F.col(stratum).alias("_s"), F.col("_d").alias("median_diff"))
+    out = blocks.join(medians, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
+    return out.withColumn("sign_p", exact_two_sided(F.col("n_down"), F.col("n_up")))
+
+
+def bootstrap(minus: Column, zero: Column, plus: Column, key: Column, rounds: int = 10_000, level: float = 0.95) -> Column:
+    """Struct (mean, low, high): the mean difference of paired verdicts and its percentile bootstrap interval.
+
+    A resample of n items is one multinomial draw of the three counts, so its cost does not depend on n; the draws of a
+    row are seeded by its key and do not depend on other rows.
+    """
+
+    @F.pandas_udf("mean double, low double, high double")
+    def interval(minus: pd.Series, zero: pd.Series, plus: pd.Series, key: pd.Series) -> pd.DataFrame:
+        out = []
+        for m, z, p, k in zip(minus, zero, plus, key, strict=True):
+            n = m + z + p
+            if not n:
+                out.append((0.0, 0.0, 0.0))
+                continue
+            draws = np.random.default_rng(zlib.crc32(str(k).encode())).multinomial(n, [m / n, z / n, p / n], rounds)
+            low, high = np.quantile((draws[:, 2] - draws[:, 0]) / n, [(1 - level) / 2, (1 + level) / 2])
+            out.append(((p - m) / n, low, high))
+        return pd.DataFrame(out, columns=["mean", "low", "high"])
+
+    return interval(minus, zero, plus, key.cast("string"))
+
+
+def permutation(rows: DataFrame, value: str, first: Column, by: str, rounds: int = 10_000, seed: int = 0) -> DataFrame:
+    """Per group: the difference of the means of two arms, and its two-sided p-value under exchange of the labels.
+
+    Rows are counted by value first; a permutation is one draw of the first arm's counts from all (multivariate
+    hypergeometric), so a task holds the distinct values of a group, not its rows.
+    """
+    cells = rows.groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count(F.when(first, 1)).alias("a"), F.count(F.when(~first, 1)).alias("b"))
+
+    def test(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("v")
+        v, a, b = (cells[c].to_numpy() for c in ("v", "a", "b"))
+        n, m = int(a.sum()), int(b.sum())
+        if not n or not m:
+            return pd.DataFrame([(cells[by].iloc[0], n, m, 0.0, 1.0)], columns=[by, "n_a", "n_b", "diff", "p"])
+        seen = v @ a / n - v @ b / m
+        draws = np.random.default_rng(seed).multivariate_hypergeometric(a + b, n, size=rounds, method="marginals")
+        sums = draws @ v
+        drawn = sums / n - (v @ (a + b) - sums) / m
+        p = (int((np.abs(drawn) >= abs(seen) - 1e-12).sum()) + 1) / (rounds + 1)
+        return pd.DataFrame([(cells[by].iloc[0], n, m, seen, p)], columns=[by, "n_a", "n_b", "diff", "p"])
+
+    return cells.groupBy(by).applyInPandas(test, f"{by} {rows.schema[by].dataType.simpleString()}, n_a long, n_b long, diff double, p double")
+
+
+def entropy(logits: Column) -> Column:
+    """The entropy of a distribution given by its logits, over that of the uniform one: 0 to 1."""
+    shifted = F.transform(logits, lambda x: x.cast("double") - F.array_max(logits).cast("double"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    z = total(F.transform(shifted, lambda x: F.exp(x)))
+    mean = total(F.transform(shifted, lambda x: F.exp(x) * x)) / z
+    return (F.log(z) - mean) / F.log(F.size(logits))
 
 
 def matched_controls(items: DataFrame, category: str, key: str, length: str, treated: str) -> DataFrame:
     """Pairs of a treated and an untreated item of one category: greedily the smallest difference in length, each once.
 
-    Sequential by its rule, so a category is one task; categories of an evaluation set are small.
+    Sequential by its rule, so a category is one task; categories of an evaluation set are small. Treated items come in
+    order of their keys; the nearest free lengths on either side are found by bisection.
     """
 
-    def match(pdf):
-        import pandas as pd
-
-        free = sorted(zip(pdf.loc[~pdf[treated], length], pdf.loc[~pdf[treated], key], strict=True))
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf[treated].to_numpy(dtype=bool)
+        free = sorted(zip(pdf.loc[~mine, length], pdf.loc[~mine, key], strict=True))
         out = []
-        for size, k in sorted(zip(pdf.loc[pdf[treated], length], pdf.loc[pdf[treated], key], strict=True), key=lambda x: x[1]):
+        for k, size in sorted(zip(pdf.loc[mine, key], pdf.loc[mine, length], strict=True)):
             if not free:
                 break
-            best = min(free, key=lambda x: (abs(x[0] - size), x[1]))
-            free.remove(best)
-            out.append((pdf[category].iloc[0], k, best[1], abs(best[0] - size)))
+            at = bisect_left(free, (size,))
+            below = bisect_left(free, (free[at - 1][0],)) if at else None  # the smallest key of the next smaller length
+            best = min((i for i in (at if at < len(free) else None, below) if i is not None), key=lambda i: (abs(free[i][0] - size), free[i][1]))
+            found = free.pop(best)
+            out.append((pdf[category].iloc[0], k, found[1], abs(found[0] - size)))
         return pd.DataFrame(out, columns=[category, "treated", "control", "difference"])
 
     kind = items.schema[key].dataType.simpleString()

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranks import running
+
 
 def nulls(rows: DataFrame) -> DataFrame:
     """A row for each column: rows, nulls, and blank strings (white space only), in one pass."""
@@ -27,11 +29,12 @@ def percentiles(value: Column) -> list[Column]:
 
 def index_percentiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Medians and other cuts taken from the sorted values by index: n//2, int(0.9 (n-1)), n//4 and 3n//4."""
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    n = F.col("_n")
+    cells = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(cells, by, value, {"_i": F.col("_c")})
+    n = F.col("_i_all")
     cuts = {"median": F.floor(n / 2), "p90": F.floor(0.9 * (n - 1)), "q1": F.floor(n / 4), "q3": F.floor(3 * n / 4)}
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("_i") == at, F.col(value))).alias(k) for k, at in cuts.items()))
+    own = lambda at: (F.col("_i") <= at) & (at < F.col("_i") + F.col("_c"))
+    return ranked.groupBy(*by).agg(*(F.max(F.when(own(at), F.col(value))).alias(k) for k, at in cuts.items()))
 
 
 def top_values(rows: DataFrame, value: str, k: int) -> DataFrame:

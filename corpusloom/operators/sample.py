@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranks import running
+
 
 def rank_key(*parts: Column, seed: str = "0") -> Column:
     return F.md5(F.concat_ws("\x1f", *(p.cast("string") for p in parts), F.lit(seed)))
@@ -16,7 +18,8 @@ def bottom_k(rows: DataFrame, key: Column, k: int) -> DataFrame:
 
 
 def first_n(rows: DataFrame, order: str, n: int) -> DataFrame:
-    return rows.filter(F.col(order) < n)
+    """The first n rows by order."""
+    return rows.orderBy(order).limit(n)
 
 
 def bottom_k_by(rows: DataFrame, stratum: str, key: Column, targets: dict[str, int]) -> DataFrame:
@@ -40,17 +43,16 @@ def strata_targets(pools: dict[str, int], n: int, shares: dict[str, float], rest
 
 
 def strided(rows: DataFrame, order: str, limit: int, by: list[str] | None = None) -> DataFrame:
-    """Every (n // limit)-th row by order, limit rows at most."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    numbered = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    step = F.greatest(F.floor(F.col("_n") / limit), F.lit(1))
-    return numbered.filter((F.col("_i") % step == 0) & (F.col("_i") / step < limit)).drop("_i", "_n")
+    """Every (n // limit)-th row by order (a distinct number), limit rows at most."""
+    numbered = running(rows, by or [], order, {"_i": F.lit(1)})
+    step = F.greatest(F.floor(F.col("_i_all") / limit), F.lit(1))
+    return numbered.filter((F.col("_i") % step == 0) & (F.col("_i") / step < limit)).drop("_i", "_i_all")
 
 
 def round_robin(rows: DataFrame, category: str, order: Column, n: int) -> DataFrame:
-    """One row of each category in turn until there are n."""
+    """One row of each category in turn until there are n; a category sends its first n rows only."""
     turn = F.row_number().over(Window.partitionBy(category).orderBy(order))
-    return rows.withColumn("_turn", turn).orderBy("_turn", category).limit(n).drop("_turn")
+    return rows.withColumn("_turn", turn).filter(F.col("_turn") <= n).orderBy("_turn", category).limit(n).drop("_turn")
 
 
 def capped_by(rows: DataFrame, corpus: str, key: Column, each: int, total: int) -> DataFrame:
@@ -60,15 +62,26 @@ def capped_by(rows: DataFrame, corpus: str, key: Column, each: int, total: int)
 
 
 def cyclic(rows: DataFrame, role: str, order: Column, quotas: dict[str, int]) -> DataFrame:
-    """Each role's rows over and over, in the given order, until its quota is full: rows with pos (from 0)."""
-    w = Window.partitionBy(role)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    """Each role's rows over and over, in the given order, until its quota is full: rows with pos (from 0).
+
+    A role sends as many rows as the largest quota at most.
+    """
+    first = F.row_number().over(Window.partitionBy(role).orderBy(order))
+    ranked = rows.withColumn("_i", first).filter(F.col("_i") <= max(quotas.values(), default=0)).withColumn("_i", F.col("_i") - 1)
+    sizes = rows.filter(F.col(role).isin(*quotas)).groupBy(role).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ranked.join(F.broadcast(sizes), role)  # a row for each quota
     quota = F.coalesce(*(F.when(F.col(role) == r, F.lit(q)) for r, q in quotas.items()), F.lit(0))
     times = F.ceil((quota - F.col("_i")) / F.col("_n"))
     out = ranked.withColumn("_q", times).filter("_q > 0").withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_q") - 1)))
     return out.withColumn("pos", F.col("_i") + F.col("_k") * F.col("_n")).drop("_i", "_n", "_q", "_k")
 
 
+def raw_mix(rows: DataFrame, key: Column, length: str, budget: float) -> DataFrame:
+    """Rows of all roles in one hash order, each once, as many as the token budget holds at their mean length."""
+    mean = rows.agg(F.avg(length)).first()[0]
+    return bottom_k(rows, key, round(budget / mean) if mean else 0)
+
+
 def calibrate(budget: float, shares: dict[str, float], stats: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
     """Rows of each role for a token budget: its share over its mean length, rounded half to even.
 

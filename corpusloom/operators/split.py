@@ -57,3 +57,8 @@ def impure(rows: DataFrame, prompt: Column, split: str = "s") -> DataFrame:
     """The number of prompts that are still in several splits (dropped rows aside): it must be 0."""
     seen = rows.filter(F.col(split) != "drop").groupBy(prompt.alias("_prompt")).agg(F.count_distinct(split).alias("n"))
     return seen.agg(F.count(F.when(F.col("n") > 1, 1)).alias("n_impure"), F.count(F.lit(1)).alias("n_prompts"))
+
+
+def held_out(test: DataFrame, train: DataFrame, group: str) -> DataFrame:
+    """Test rows whose group training has not seen; rows without a group stay."""
+    return test.join(train.select(group).distinct(), group, "left_anti")
