@@ -33,13 +33,12 @@ def _norm(x: str = "text") -> str:
     return NORM.format(x)
 
 
-def _grams(table_name: str, key: str, text: str = "text", cap: bool = True) -> str:
-    source = f"substr({text}, 1, 20000)" if cap else text
+def _grams(table_name: str, key: str, text: str = "text") -> str:
     return f"""(SELECT {key}, unnest(range(len(w) - 12)) AS pos, unnest([array_to_string(w[i + 1:i + 13], ' ') FOR i IN range(len(w) - 12)]) AS g
-      FROM (SELECT {key}, string_split({_norm(source)}, ' ') AS w FROM {table_name}) WHERE len(w) >= 13)"""
+      FROM (SELECT {key}, string_split({_norm(text)}, ' ') AS w FROM {table_name}) WHERE len(w) >= 13)"""
 
 
-_INDEX = f"ix AS (SELECT DISTINCT g, item_id AS item FROM {_grams('benchmark', 'item_id', cap=False)}), own AS (SELECT g, min(item) AS item FROM ix GROUP BY g)"
+_INDEX = f"ix AS (SELECT DISTINCT g, item_id AS item FROM {_grams('benchmark', 'item_id')}), own AS (SELECT g, min(item) AS item FROM ix GROUP BY g)"
 _DOCS = f"dg AS {_grams('documents', 'doc_id')}"
 
 
@@ -48,7 +47,7 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_grams(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.grams(table(spark, d, "documents"), ["doc_id"], cap=False)
+    return contamination.probed(table(spark, d, "documents"), ["doc_id"], _index(spark, d))
 
 
 # Contamination
@@ -93,20 +92,21 @@ def contam_worst_k(spark, d):
 @query(f"""WITH {_INDEX}, {_DOCS}, f AS (SELECT doc_id, count(DISTINCT CASE WHEN g IN (SELECT g FROM ix) THEN g END) / count(*) AS fraction, count(*) AS n_windows FROM dg GROUP BY doc_id)
 SELECT doc_id, fraction, n_windows, fraction > 0.3 AS over FROM f WHERE fraction > 0""")
 def contam_overlap_fraction(spark, d):
-    out = contamination.overlap_fraction(_doc_grams(spark, d), _index(spark, d), ["doc_id"]).filter("fraction > 0")
+    out = contamination.overlap_fraction(_doc_grams(spark, d), ["doc_id"])
     return out.withColumn("over", F.col("fraction") > 0.3)
 
 
-@query(f"WITH {_INDEX}, n AS (SELECT greatest(1, floor(count(DISTINCT item) * 0.05)) AS most FROM ix), df AS (SELECT g, count(*) AS df FROM ix GROUP BY g) SELECT df, count(*) AS n_grams FROM df, n WHERE df > most GROUP BY df")
+@query(f"WITH ix AS (SELECT DISTINCT g, doc_id AS item FROM {_grams('documents', 'doc_id')}), n AS (SELECT greatest(1, floor(count(DISTINCT item) * 0.005)) AS most FROM ix), df AS (SELECT g, count(*) AS df FROM ix GROUP BY g) SELECT df, count(*) AS n_grams FROM df, n WHERE df > most GROUP BY df")
 def contam_boilerplate_df(spark, d):
-    return contamination.boilerplate(_index(spark, d), 0.05).groupBy("df").agg(F.count(F.lit(1)).alias("n_grams"))
+    idx = contamination.index(table(spark, d, "documents"), item="doc_id")
+    return contamination.boilerplate(idx, 0.005).groupBy("df").agg(F.count(F.lit(1)).alias("n_grams"))
 
 
-@query(f"""WITH {_INDEX}, ip AS (SELECT g, item_id AS item, pos FROM {_grams('benchmark', 'item_id', cap=False)}), {_DOCS}
+@query(f"""WITH {_INDEX}, ip AS (SELECT g, item_id AS item, pos FROM {_grams('benchmark', 'item_id')}), {_DOCS}
 SELECT doc_id, item, min(ip.pos) AS item_at FROM dg JOIN ip USING (g) GROUP BY doc_id, item""")
 def contam_quote(spark, d):
     named = table(spark, d, "benchmark").select(F.lit("benchmark").alias("set"), F.col("item_id").alias("item"), "text")
-    out = contamination.quote(_doc_grams(spark, d), contamination.grams(named, ["set", "item"], cap=False), ["doc_id"])
+    out = contamination.quote(_doc_grams(spark, d), contamination.grams(named, ["set", "item"]), ["doc_id"])
     return out.select("doc_id", "item", F.col("item_at").cast("long").alias("item_at"))
 
 
@@ -117,7 +117,7 @@ SELECT 'conversations' AS corpus, count(*) AS n_rows, count(*) FILTER (WHERE i.c
        count(*) FILTER (WHERE i.conv_id IS NOT NULL AND t.conv_id IS NOT NULL) AS n_both FROM s LEFT JOIN i USING (conv_id) LEFT JOIN t USING (conv_id)""")
 def contam_conv_sides(spark, d):
     two = contamination.sides(table(spark, d, "conversations"), "conv_id").withColumn("corpus", F.lit("conversations"))
-    return contamination.overlap_by_side(two, _index(spark, d), "conv_id", ["corpus"], cap=False)
+    return contamination.overlap_by_side(two, _index(spark, d), "conv_id", ["corpus"])
 
 
 # Duplicates
@@ -127,8 +127,8 @@ _KEY = f"md5({_norm()})"
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def dedup_first_wins(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return dedup.first_wins(docs, dedup.prompt_key(F.col("text")), ["doc_id"]).select("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", dedup.prompt_key(F.col("text")).alias("prompt"))
+    return dedup.first_wins(docs, F.col("prompt"), ["doc_id"]).select("doc_id")
 
 
 _STATS = "sum(n)::BIGINT AS n_rows, count(*) AS n_distinct, count(*) FILTER (WHERE n > 1) AS n_dup_groups, coalesce(sum(n) FILTER (WHERE n > 1), 0)::BIGINT AS n_dup_rows, (sum(n) - count(*))::BIGINT AS n_removable"
@@ -162,7 +162,7 @@ def size_histogram(spark, d):
 
 # Splits
 
-_GROUPED = f"g AS (SELECT doc_id, lang, text, md5(substr({_norm()}, 1, 12)) AS grp, md5({_norm()}) AS prompt FROM documents)"
+_GROUPED = f"g AS (SELECT doc_id, lang, text, md5(source || '/' || (doc_id % 40)) AS grp, md5({_norm()}) AS prompt FROM documents)"
 _ASSIGN = f"""{_GROUPED}, c AS (SELECT lang, grp, count(*) AS n_rows FROM g GROUP BY lang, grp), t AS (SELECT *, sum(n_rows) OVER (PARTITION BY lang) AS total FROM c),
  l AS (SELECT *, n_rows > 0.02 * total AS large, md5(concat_ws(chr(31), lang, grp, '0')) AS h FROM t), f AS (SELECT *, sum(CASE WHEN large THEN 0 ELSE n_rows END) OVER (PARTITION BY lang) AS free,
  coalesce(sum(n_rows) OVER (PARTITION BY lang, large ORDER BY h, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
@@ -175,7 +175,8 @@ _MANIFEST = f"""{_ASSIGN}, m AS (SELECT g.doc_id, g.lang, g.prompt, a.split AS s
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
     norm = T.normalize(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", "lang", F.md5(F.substring(norm, 1, 12)).alias("grp"), F.md5(norm).alias("prompt"))
+    group = F.md5(F.concat("source", F.lit("/"), F.col("doc_id") % 40))
+    return table(spark, d, "documents").select("doc_id", "lang", group.alias("grp"), F.md5(norm).alias("prompt"))
 
 
 def _manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -265,10 +266,10 @@ def drop_rules(spark, d):
     return _flagged(spark, d).groupBy(rule.alias("rule")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query(f"SELECT doc_id, quality FROM (SELECT doc_id, quality, min(quality) OVER w AS a, max(quality) OVER w AS b FROM documents JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY substr({_norm()}, 1, 8))) WHERE a <> b")
+@query(f"SELECT doc_id, kind FROM (SELECT doc_id, source AS kind, min(source) OVER w AS a, max(source) OVER w AS b FROM documents WINDOW w AS (PARTITION BY md5({_norm()}))) WHERE a <> b")
 def label_contradictions(spark, d):
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return dedup.contradictions(rows, F.substring(T.normalize(F.col("text")), 1, 8), "quality").select("doc_id", "quality")
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("kind"), dedup.prompt_key(F.col("text")).alias("prompt"))
+    return dedup.contradictions(rows, F.col("prompt"), "kind").select("doc_id", "kind")
 
 
 # Samples

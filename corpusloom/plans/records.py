@@ -54,9 +54,12 @@ def conv_first_user(spark, d):
     return out.filter("prompt <> ''")
 
 
-@query(f"""WITH {_SAID} SELECT 'no_user_turn' AS reason, count(*) AS n_rows FROM e WHERE NOT asked HAVING count(*) > 0""")
+@query("""SELECT 'no_user_turn' AS reason, count(DISTINCT conv_id) AS n_rows FROM conversations WHERE conv_id % 5 = 0 HAVING count(*) > 0""")
 def conv_unrendered_reasons(spark, d):
-    return render.reasons(_rendered(spark, d), [])
+    """Every fifth conversation has lost what its user said."""
+    talks = _conversations(spark, d)
+    said = F.when(F.col("conv_id") % 5 == 0, F.filter("said", lambda t: t["role"] != "user")).otherwise(F.col("said"))
+    return render.reasons(talks.select("conv_id", render.conversation(said).alias("rendered")), [])
 
 
 # Adapters and parsers over records made from the driver's tables
@@ -116,15 +119,6 @@ def grade_structured(spark, d):
     return table(spark, d, "events").select("event_id", grade.graded_structure(answer, F.lit(schema))["correct"].alias("correct"), grade.graded_structure(answer, F.lit(wide))["correct"].alias("in_enum"))
 
 
-@query()
-def synth_probes(spark, d):
-    few = table(spark, d, "nation").select(
-        F.col("n_name").alias("scenario"), F.to_json(F.struct(F.struct("n_name", "n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))).alias("payload"), F.to_json(F.struct(F.col("n_name").alias("name"))).alias("args")
-    )
-    out = synth.generated(few)
-    return out.select("scenario", "depth", "mode", "probe.body", "probe.why", F.array_join("probe.forbidden", "|").alias("forbidden"), "probe.skipped")
-
-
 @query("""SELECT n_name AS scenario, d AS depth, CASE d WHEN 1 THEN '{"data": {"k": ' || n_nationkey || '}}' WHEN 2 THEN '{"body": {"result": {"k": ' || n_nationkey || '}}}' ELSE '{"content": {"response": {"envelope": {"k": ' || n_nationkey || '}}}}' END AS body FROM nation, (SELECT unnest([1, 2, 3]) AS d)""")
 def synth_clean(spark, d):
     rows = table(spark, d, "nation").select(F.col("n_name").alias("scenario"), F.to_json(F.struct(F.col("n_nationkey").alias("k"))).alias("payload"), F.lit("{}").alias("args"))
@@ -191,24 +185,6 @@ def ifeval_placeholders(spark, d):
     return _follows(spark, d, "detectable_content:number_placeholders", num_placeholders=1)
 
 
-@query()
-def ifeval_all(spark, d):
-    """How many documents keep to each of the rules, with one setting each."""
-    settings = {
-        "language:response_language": {"language": "en"}, "length_constraints:number_sentences": {"num_sentences": 10, "relation": "at least"},
-        "detectable_content:number_placeholders": {"num_placeholders": 1}, "detectable_format:number_bullet_lists": {"num_bullets": 0}, "detectable_format:constrained_response": {},
-        "detectable_format:number_highlighted_sections": {"num_highlights": 1}, "detectable_format:multiple_sections": {"section_spliter": "Section", "num_sections": 1},
-        "length_constraints:number_paragraphs": {"num_paragraphs": 1}, "detectable_content:postscript": {"postscript_marker": "P.S."}, "keywords:existence": {"keywords": ["the"]},
-        "keywords:frequency": {"keyword": "the", "frequency": 3, "relation": "at least"}, "length_constraints:number_words": {"num_words": 100, "relation": "less than"}, "detectable_format:json_format": {},
-        "length_constraints:nth_paragraph_first_word": {"num_paragraphs": 1, "nth_paragraph": 1, "first_word": "the"}, "keywords:forbidden_words": {"forbidden_words": ["idiot"]}, "combination:two_responses": {},
-        "combination:repeat_prompt": {"prompt_to_repeat": "The"}, "startend:end_checker": {"end_phrase": "."}, "detectable_format:title": {}, "keywords:letter_frequency": {"letter": "e", "let_frequency": 50, "let_relation": "at least"},
-        "change_case:english_capital": {}, "change_case:english_lowercase": {}, "punctuation:no_comma": {}, "change_case:capital_word_frequency": {"capital_frequency": 10, "capital_relation": "at least"}, "startend:quotation": {},
-    }
-    docs = table(spark, d, "documents")
-    one = docs.agg(*(F.sum(instructions.follows(F.col("text"), k, **v).cast("long")).alias(k) for k, v in settings.items()))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("instruction"), F.col(f"`{k}`").alias("n_kept")) for k in settings))).alias("x")).select("x.*")
-
-
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\bcontradict') THEN 3 WHEN regexp_matches(text, '(?i)\bincomplete\b') THEN 12 END AS f FROM (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' this is incomplete' WHEN 1 THEN ' they contradict' ELSE '' END AS text FROM documents)
 WHERE doc_id % 5 < 2""")
 def probe_flags(spark, d):
@@ -337,11 +313,10 @@ def prompt_collisions(spark, d):
     return grade.collisions(table(spark, d, "documents"), F.md5(T.normalize(F.col("text"))), "source")
 
 
-@query(f"""WITH pg AS {_grams('benchmark', 'item_id', cap=False)}, dg AS (SELECT DISTINCT g FROM {_grams('documents', 'doc_id')}), f AS (SELECT item_id, count(*) AS n FROM pg WHERE g IN (SELECT g FROM dg) GROUP BY item_id)
+@query(f"""WITH pg AS {_grams('benchmark', 'item_id')}, dg AS (SELECT DISTINCT g FROM {_grams('documents', 'doc_id')}), f AS (SELECT item_id, count(*) AS n FROM pg WHERE g IN (SELECT g FROM dg) GROUP BY item_id)
 SELECT b.item_id, coalesce(f.n, 0) AS n_windows FROM benchmark b LEFT JOIN f USING (item_id)""")
 def probe_corpus_overlap(spark, d):
-    corpus = contamination.grams(table(spark, d, "documents"), ["doc_id"], cap=False)
-    return contamination.clean_probes(table(spark, d, "benchmark"), corpus, "item_id")
+    return contamination.clean_probes(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id")
 
 
 @query("SELECT source, count(*) AS n, count(*) FILTER (WHERE contains(text, '```')) AS n_none, count(*) FILTER (WHERE NOT contains(text, '```')) AS n_envelope, 0::BIGINT AS n_schema, avg(CASE WHEN contains(text, '```') THEN 1.0::DOUBLE END) AS valid_if_clean FROM documents GROUP BY source")

@@ -42,18 +42,38 @@ def union(parts: list[DataFrame], order: Column | str) -> DataFrame:
     return out
 
 
-def harvest(rows: DataFrame, preferred: list[str], name: str = "harvest") -> DataFrame:
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def landed(spark: SparkSession, path: str) -> str:
+    """Where an object lies: the path, or the file in it if it landed as a folder that holds only a file of its own name."""
+    at, store = _store(spark, path)
+    inner = [f.getPath() for f in store.listStatus(at)] if store.exists(at) and store.getFileStatus(at).isDirectory() else []
+    return inner[0].toString() if len(inner) == 1 and inner[0].getName() == at.getName() else path
+
+
+def write_artifact(spark: SparkSession, value: object, path: str, overwrite: bool = False) -> None:
+    """One JSON document at a path of any file system Spark knows; an existing one stops the write unless asked for."""
+    at, store = _store(spark, path)
+    out = store.create(at, overwrite)
+    out.write(bytearray(json.dumps(value, ensure_ascii=False, sort_keys=True).encode()))
+    out.close()
+
+
+def harvest(rows: DataFrame, preferred: list[str], name: str = "harvest", least: int = 30, levels: int = 6, most: int = 64) -> DataFrame:
     """rows with the text to compare: the preferred string columns that are there, joined by newlines; without any, every
-    string of 30 characters and more found in the row as JSON, six levels down, 64 of them at most."""
+    string of `least` characters and more found in the row as JSON, so many levels down, the first `most` + 1 of them."""
     found = [c for c in preferred if c in rows.columns and rows.schema[c].dataType == T.StringType()]
     if found:
         return rows.withColumn(name, F.concat_ws("\n", *found))
 
     def walk(x: object, depth: int, out: list[str]) -> None:
-        if len(out) > 64 or depth > 6:
+        if len(out) > most or depth > levels:
             return
         if isinstance(x, str):
-            if len(x) >= 30:
+            if len(x) >= least:
                 out.append(x)
         elif isinstance(x, dict):
             for v in x.values():
