@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import parsing as P
 from corpusloom.functions import text as T
-from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, profile, render, sample, split, synth
+from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, profile, ranks, render, sample, split, synth
 from corpusloom.sources import readers
 from corpusloom.streaming import events
 
@@ -49,7 +50,17 @@ def test_shared_window_has_one_owner_unless_its_set_is_alone(spark):
 
 def test_prefix_is_cut_before_words_are_made(spark):
     long = "x " * 10_000 + SPAN
-    assert contamination.grams(spark.createDataFrame([(1, long)], "k long, text string"), ["k"]).join(contamination.index(spark.createDataFrame([(1, SPAN)], "item_id long, text string")), "h").count() == 0
+    rows, idx = spark.createDataFrame([(1, long)], "k long, text string"), contamination.index(spark.createDataFrame([(1, SPAN)], "item_id long, text string"))
+    assert contamination.probed(rows, ["k"], idx, cap=True).count() == 0 and contamination.probed(rows, ["k"], idx).count() == 1
+
+
+def test_an_index_beyond_what_workers_hold_is_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, f"a {SPAN} b"), (2, "a b"), (3, None), (4, "")], "k long, text string")
+    idx = contamination.index(spark.createDataFrame([(1, f"{SPAN} november")], "item_id long, text string"))
+    held = sorted(contamination.probed(rows, ["k"], idx).select("k", "at", "h", "n_windows").collect())
+    monkeypatch.setattr(contamination, "HELD", 1)
+    assert sorted(contamination.probed(rows, ["k"], idx).select("k", "at", "h", "n_windows").collect()) == held and len(held) == 1
+    assert contamination.probed(rows, ["k"], idx.limit(0)).count() == 0
 
 
 def test_registered_queries_read_whole_texts(spark, tmp_path):
@@ -208,12 +219,33 @@ def test_values_and_calls():
 
 
 def test_structured_answers():
-    rule = {"require_code_block": True, "require_no_commentary": True, "top_level_count": 2, "json_schema": '{"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}}}'}
+    one = '{"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}}}'
+    rule = {"require_code_block": True, "require_no_commentary": True, "top_level_count": 2, "json_schema": '{"type": "array", "items": %s}' % one}
     assert grade.structured('```json\n[{"a": 1}, {"a": 2}]\n```', rule)["correct"]
     bad = grade.structured('Here:\n```json\n[{"a": "x"}, {}]\n```', rule)
     assert not bad["correct"] and len(bad["errors"]) == 3 and bad["score"] < 1
-    assert grade.structured("a: 2020-01-01", {"output_format": "yaml", "json_schema": '{"properties": {"a": {"type": "string"}}}'})["correct"]
-    assert grade.structured("{", {})["errors"] == ["parse: no JSON"]
+    assert bad["matched"] == 0 and grade.structured('```\n[{"a": 1}, {}]\n```', rule)["matched"] == 0.5
+    assert grade.structured("a: 2020-01-01", {"output_format": "yaml", "json_schema": '{"type": "object", "properties": {"a": {"type": "string"}}}'})["correct"]
+    assert grade.structured("no", {})["errors"] == ["parse: no JSON"] and not grade.structured("{", {})["correct"]
+
+
+@pytest.mark.parametrize("said, rule, right", [
+    ("```yaml\na: [1, 2]\nb: 1\n```", {"output_format": "yaml"}, True), ("```yaml\n[{a: 1}]\n```", {"output_format": "yaml"}, False), ("a:\n- {b: 1}", {"output_format": "yaml"}, False),
+    ("```json\na: 1\n```", {"output_format": "yaml"}, False), ("```yaml\n{}\n```", {}, False), ("```json\n{}", {}, False), ("<think>{</think>{}", {}, True), ("{} tail", {}, False),
+    ('{"k": [1]}', {"require_wrapper_key": True, "top_level_key": "k", "top_level_count": [1, 2]}, True), ('{"z": [1]}', {"require_wrapper_key": True, "top_level_key": "k"}, False),
+    ("[1]", {"require_wrapper_key": True}, False), ('{"k": [1]}', {}, False), ("[1, 2, 3]", {"top_level_count": [1, 2]}, False), ("[1]", {"json_schema": '{"type": "array", "minItems": 2}'}, False),
+    ('{"a": null}', {"json_schema": '{"type": "object", "properties": {"a": {"type": ["string", "null"]}}}'}, True), ('{"a": true}', {"json_schema": '{"type": "object", "properties": {"a": {"type": "integer"}}}'}, False),
+    ('{"a": 3}', {"json_schema": '{"type": "object", "properties": {"a": {"type": "number", "maximum": 2}}}'}, False), ('{"b": 3}', {"json_schema": '{"type": "object", "properties": {}}'}, False),
+    ('{"a": "x"}', {"json_schema": '{"type": "object", "properties": {"a": {"type": "string", "enum": ["x"]}}}'}, True), ("[" * 200_000, {}, False), ("[" * 200_000, {"output_format": "yaml"}, False),
+])
+def test_structured_rules(said, rule, right):
+    assert grade.structured(said, rule)["correct"] is right
+
+
+def test_deep_completions_are_verdicts(spark):
+    deep = ["[" * 200_000, '{"name": "f", "arguments": ' + '{"a": ' * 900 + "1" + "}" * 901, "[f(a=" + "(" * 5000]
+    rows = spark.createDataFrame([(x,) for x in deep], "t string").select(grade.graded_calls(F.lit("simple"), F.col("t"), F.lit('[{"f": {}}]')).alias("v"))
+    assert [r.v.correct for r in rows.collect()] == [False] * 3
 
 
 @pytest.mark.parametrize("instruction, kwargs, good, bad", [
@@ -280,10 +312,40 @@ def test_calibration_and_macro(spark):
     rows = [("simple", 1, 0), ("simple", 1, 0)] + [("live", 0, 1)] * 3 + [("live", 1, 1)] * 5
     got = compare.macro_delta(spark.createDataFrame(rows, "c string, r int, k int"), "c", "r", "k").first()
     assert math.isclose(got.item_delta, 0.1) and math.isclose(got.macro_delta, (-1 + 3 / 8) / 2)
-    low, high = compare.bootstrap_interval(40, 900, 60)[1:]
+
+
+def test_bootstrap_and_permutation(spark):
+    cells = spark.createDataFrame([("a", 40, 900, 60), ("b", 0, 0, 0), ("c", 4, 90, 6)], "k string, m long, z long, p long")
+    wide, narrow = ({r.k: r.v for r in cells.select("k", compare.bootstrap(F.col("m"), F.col("z"), F.col("p"), F.col("k"), level=x).alias("v")).collect()} for x in (0.95, 0.8))
     se = math.sqrt(0.1 - 0.02**2) / math.sqrt(1000)
-    assert abs((high - low) / 2 / (1.96 * se) - 1) < 0.15
-    assert compare.permutation_p([1] * 8, [0] * 8) < 0.01 < compare.permutation_p([1, 0], [0, 1])
+    assert abs((wide["a"].high - wide["a"].low) / 2 / (1.96 * se) - 1) < 0.1 and wide["a"].mean == 0.02 and tuple(wide["b"]) == (0, 0, 0)
+    assert wide["a"].low < narrow["a"].low < narrow["a"].high < wide["a"].high
+    rows = [("sure", x, x == 1.0) for x in [1.0] * 8 + [0.0] * 8] + [("even", float(i % 5), i < 10) for i in range(20)] + [("one", 1.0, True)]
+    got = {r.g: r for r in compare.permutation(spark.createDataFrame(rows, "g string, v double, a boolean"), "v", F.col("a"), "g").collect()}
+    assert got["sure"].p < 0.01 and got["even"].p == 1 and got["one"].p == 1 and (got["sure"].n_a, got["sure"].diff) == (8, 1)
+    exact = [sum(x) for x in itertools.combinations([1.0] * 8 + [0.0] * 8, 8)]  # the share of exchanges at least as far apart
+    assert abs(got["sure"].p - sum(x in (0, 8) for x in exact) / len(exact)) < 1e-3
+
+
+def test_running_sums_do_not_depend_on_spans(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [("ab"[i % 2], v, rng.randrange(9)) for i in range(2) for v in rng.sample(range(500), 120)] + [(None, 3, 4)]
+    cells = spark.createDataFrame(rows, "g string, v long, n long")
+    for spans in (1, 3, 256):
+        monkeypatch.setattr(ranks, "SPANS", spans)
+        for r in ranks.running(cells, ["g"], "v", {"s": F.col("n")}).collect():
+            own = [x for x in rows if x[0] == r.g]
+            assert (r.s, r.s_all) == (sum(n for _, v, n in own if v < r.v), sum(n for *_, n in own))
+    assert ranks.running(cells.limit(0), ["g"], "v", {"s": F.col("n")}).count() == 0
+
+
+def test_blocks_movers_and_entropy(spark):
+    rows = spark.createDataFrame([("s", "a", 0.1, 0.4), ("s", "b", 0.5, 0.5), ("t", "c", 0.9, 0.2), ("t", "d", 0.1, 0.3)], "g string, k string, b double, t double")
+    got = {r.g: r for r in compare.stratum_blocks(rows, "g", "b", "t").collect()}
+    assert (got["s"].n, got["s"].n_up, got["s"].n_tied, round(got["s"].median_diff, 9)) == (2, 1, 1, 0.3) and (got[None].n, got[None].n_down) == (4, 1)
+    assert [r.k for r in compare.movers(rows, "k", F.round(F.col("t") - F.col("b"), 9), 3).collect()] == ["c", "a", "d"]
+    flat, sharp = (spark.createDataFrame([(x,)], "l array<double>").select(compare.entropy(F.col("l")).alias("e")).first().e for x in ([2.0] * 5, [50.0, 0.0, 0.0]))
+    assert math.isclose(flat, 1) and sharp < 1e-9
 
 
 def test_peakedness_and_controls(spark):

@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-from corpusloom.plans import catalogue, records  # noqa: F401
+from corpusloom.plans import catalogue, records, runs, tools  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,7 +31,8 @@ def rows(frame) -> list:
             return None
         if isinstance(x, decimal.Decimal):
             return float(x)
-        return x.item() if hasattr(x, "item") else x
+        x = x.item() if hasattr(x, "item") else x
+        return int(x) if isinstance(x, float) and x.is_integer() else x  # a null in a column makes its integers floats
 
     return sorted(repr([plain(x) for x in r]) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None))
 
