@@ -299,6 +299,16 @@ def test_classifiers_take_empty_tables_and_bound_their_samples(spark):
     assert all(0 <= r.score <= 1 for r in quality.quality(same, model).collect())
 
 
+def test_feature_frequencies_are_counted_over_all_texts(spark):
+    texts = ["vile words", "Vile vilest", "kind", "", None, "vilify"] * 40
+    docs = frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]).repartition(7)
+    seen = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1]
+    wanted = [b"vile=", b"vil", b"kind=", b"none"]
+    got = toxicity._frequency(docs, wanted)
+    held = lambda x: sum(x in {f for w in toxicity.words_of(t) for f in toxicity.features_of(w)} for t in seen) / len(seen)
+    assert {x: held(x) for x in wanted if held(x)} == got and toxicity._frequency(frame(spark, []), wanted) == {} and toxicity._frequency(docs, []) == {}
+
+
 def test_non_negative_risk_finds_the_words_of_positives():
     rng = random.Random(5)
     draw = lambda bad: {w.encode() for w in rng.sample(WORDS, 30)} | ({b"vile" + rng.choice([b"", b"ness"])} if bad else set())
