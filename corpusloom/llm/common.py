@@ -61,11 +61,14 @@ class Scratch:
         self.path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
-    def write(self, df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
-        """df as a written table; by so many tasks at most where its size is known to be small."""
+    def write(self, df: DataFrame, name: str, tasks: int | None = None, compression: str = "uncompressed") -> DataFrame:
+        """df as a written table; by so many tasks at most where its size is known to be small.
+
+        Hashes and ids do not compress, and a codec's buffers would stay outside the heap until a collection.
+        """
         at = f"{self.path}/{name}"
         df = df.coalesce(tasks) if tasks else df
-        df.write.mode("overwrite").parquet(at)
+        df.write.mode("overwrite").parquet(at, compression=compression)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, *names: str) -> None:

@@ -2,12 +2,11 @@
 
 1. A document is the set of its word shingles as 64-bit hashes, and its sketch the K smallest of them. Documents with the
    same set become one representative.
-2. Inverted lists: the retained values of a sketch, in order, read as runs of RUN. Two sets of Jaccard similarity 0.8
-   share a run of three retained values unless every three neighbours in their union's sketch hold one of the differing
-   values. For sets that fit into a sketch this cannot be: with d differing and at least 4 d common values some gap holds
-   three, but for d = 1 with 4 common values, for which sets of 4 and 5 are also listed by pairs. For larger sets its
-   chance is that of no three successes in a row among K trials at 0.8, under 1e-7. Runs, unlike single values, keep
-   apart the many documents that share one passage only.
+2. Inverted lists of the retained values, from each document's rarest ones only. Two sets of Jaccard similarity 0.8 have
+   SURE retained values in common at least (by the binomial tail up to a chance of 1e-9; sets of up to 0.8 K shingles are
+   retained whole, and share 80 % of the larger for certain). So in the order of their document frequency the first common
+   one is among the first m - SURE + 1 of either's m retained values. Values that no other document retains come first
+   and need no list: a document of which enough is its own meets no other, however common the passages in the rest.
 3. Short lists give their pairs, of which there are at most LIST / 2 times the entries; each pair must pass the estimate
    from the union of both sketches, and then the exact comparison of the full sets.
 4. Long lists, of groups of near copies however large, never give pairs. The documents they connect form families. A
@@ -22,6 +21,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +35,15 @@ from corpusloom.llm.common import Scratch, counted, slices, tasks_for
 from corpusloom.llm.components import components
 
 #: Retained values of a sketch, and of the longer one that blocks compare.
-K, K_BLOCK = 48, 128
-RUN = 3
+K, K_BLOCK = 64, 128
+#: Chance that two sketches of similar sets share fewer values than the lists count on.
+CHANCE = 1e-9
 #: Entries up to which a list gives pairs.
 LIST = 8
-#: Documents and bytes of a block.
-BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Documents and bytes of a block, and the rows of it that are compared with all others at a time.
+BLOCK, BLOCK_BYTES, STRIP = 1024, 8 << 20, 512
+#: Values that sets of a block have in common, up to which whole sets are compared rather than sketches.
+COMMON = 32_768
 #: Standard errors below the threshold at which an estimate still passes.
 SLACK = 6.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -94,6 +97,20 @@ def _full_sets(words: int):
     return run
 
 
+def sure(k: int, percent: int) -> int:
+    """So many of the k smallest values of a union are common, if percent of it are, but for a chance below CHANCE.
+
+    Drawn without replacement, they are common at least as surely as by k independent draws.
+    """
+    p, below, n = percent / 100, 0.0, 0
+    while n < k:
+        below += math.comb(k, n) * p**n * (1 - p) ** (k - n)
+        if below > CHANCE:
+            break
+        n += 1
+    return n
+
+
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float]:
     """The similarity by the k smallest values of the union of two sketches (sorted), and its standard error at 0.8.
 
@@ -137,36 +154,57 @@ def _verified(percent: int):
     return run
 
 
+def _likely(sets: list[np.ndarray], side: np.ndarray | None, tree: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs that may be similar, the likeliest first, and the number of smallest values that each set was compared by:
+    all of them if the sets have few values in common, as near copies do. Of sets no larger, the pairs are similar."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    most = int(size.max())
+    codes, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    if int((count > 1).sum()) > COMMON:
+        most = K_BLOCK
+        codes, count = np.unique(np.concatenate([s[:most] for s in sets]), return_inverse=True, return_counts=True)[1:]
+    kept = np.minimum(size, most)
+    often = count > 1
+    column, several = np.cumsum(often) - 1, int(often.sum())
+    owner = np.repeat(np.arange(n), kept)[often[codes]]
+    codes = column[codes[often[codes]]]
+    at = np.argsort(codes, kind="stable")  # by column, so that each strip of them is one run
+    owner, codes = owner[at], codes[at]
+    enough = sure(most, percent) if most == K_BLOCK else 0
+    pairs = []
+    for top in range(0, n, STRIP):
+        rows = np.arange(top, min(top + STRIP, n))
+        shared = np.zeros((len(rows), n), dtype=np.float32)
+        for low in range(0, several, 4 * STRIP):
+            mine = slice(*np.searchsorted(codes, (low, low + 4 * STRIP)))
+            has = np.zeros((n, min(4 * STRIP, several - low)), dtype=np.float32)
+            has[owner[mine], codes[mine] - low] = 1
+            shared += has[rows] @ has.T
+        whole = (size[rows, None] <= most) & (size[None, :] <= most)
+        near = np.where(whole, 100 * shared >= percent * (size[rows, None] + size[None, :] - shared), shared >= enough)
+        near &= (100 * size[rows, None] >= percent * size[None, :]) & (100 * size[None, :] >= percent * size[rows, None])
+        near &= rows[:, None] < np.arange(n)[None, :]
+        for apart in (side, tree):
+            if apart is not None:
+                near &= apart[rows, None] != apart[None, :]
+        i, j = np.nonzero(near)
+        pairs.append((rows[i], j, shared[i, j] / np.minimum(kept[rows[i]], kept[j])))
+    first, second, share = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.argsort(-share, kind="stable")
+    return first[order], second[order], most
+
+
 def block_links(
     ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int, tree: np.ndarray | None = None
 ) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets; only of those across the two sides where side is given, and only of
     those that join different trees where tree says which are joined already."""
     n = len(sets)
-    size = np.array([len(s) for s in sets])
-    prefix = [s[:K_BLOCK] for s in sets]
-    codes, count = np.unique(np.concatenate(prefix), return_inverse=True, return_counts=True)[1:]
-    owner = np.repeat(np.arange(n), [len(p) for p in prefix])
-    often = count > 1
-    column = np.cumsum(often) - 1
-    owner, codes = owner[often[codes]], column[codes[often[codes]]]
-    shared = np.zeros((n, n), dtype=np.float32)
-    for low in range(0, int(often.sum()), 8192):
-        mine = (codes >= low) & (codes < low + 8192)
-        has = np.zeros((n, min(8192, int(often.sum()) - low)), dtype=np.float32)
-        has[owner[mine], codes[mine] - low] = 1
-        shared += has @ has.T
-    kept = np.minimum(size, K_BLOCK)
-    fewer, smaller, larger = (f(x[:, None], x[None, :]) for f, x in ((np.minimum, kept), (np.minimum, size), (np.maximum, size)))
-    likely = np.triu((shared >= 0.5 * fewer) & (100 * smaller >= percent * larger), 1)
-    if side is not None:
-        likely &= side[:, None] != side[None, :]
     parent = list(range(n))
     if tree is not None:
-        likely &= tree[:, None] != tree[None, :]
         parent = np.unique(tree, return_index=True)[1][np.unique(tree, return_inverse=True)[1]].tolist()
-    first, second = np.nonzero(likely)
-    order = np.argsort(-shared[first, second] / fewer[first, second], kind="stable")
+    apart = len(set(parent))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -175,18 +213,21 @@ def block_links(
         return x
 
     links = []
-    for i, j in zip(first[order].tolist(), second[order].tolist(), strict=True):
+    first, second, most = _likely(sets, side, tree, percent)
+    for i, j in zip(first.tolist(), second.tolist(), strict=True):
         a, b = root(i), root(j)
         if a == b:
             continue
-        if size[i] <= K_BLOCK and size[j] <= K_BLOCK:  # the sketches are the whole sets
-            near = 100 * shared[i, j] >= percent * (size[i] + size[j] - shared[i, j])
-        else:
+        near = len(sets[i]) <= most and len(sets[j]) <= most
+        if not near:
             by, error = union_estimate(sets[i], sets[j], K_BLOCK)
             near = by >= percent / 100 - SLACK * error - 1e-9 and _similar(sets[i], sets[j], percent)
         if near:
             parent[a] = b
             links.append((int(ids[i]), int(ids[j])))
+            apart -= 1
+            if apart == 1:
+                break
     return links
 
 
@@ -210,10 +251,10 @@ def _family_links(scratch: Scratch, families: DataFrame, sets: DataFrame, percen
     """Links (a, b) that join all documents of each family that links join."""
     members = scratch.write(families.join(sets, "id").select("family", "id", "shingles"), "members")
     state = members.select("family", "id", F.col("id").alias("tree"))
-    found, before, k, now = [], None, 0, members
+    found, k, now = [], 0, members
     while True:
         sizes = scratch.write(now.groupBy("family").agg(F.count(F.lit(1)).alias("n"), _blocks().alias("blocks")).filter("n > 1"), f"blocks{k}")
-        n, wide = sizes.agg(F.count(F.lit(1)), F.count(F.when(F.col("blocks") > 1, 1))).first()
+        n, wide, rows = sizes.agg(F.count(F.lit(1)), F.count(F.when(F.col("blocks") > 1, 1)), F.sum(F.when(F.col("blocks") > 1, F.col("n")))).first()
         dealt = now.join(counted(sizes, n), "family").withColumn("block", F.pmod(F.xxhash64("id", F.lit(k)), F.col("blocks")))
         links = dealt.select("family", "block", "id", "shingles").repartitionByRange("family", "block").groupBy("family", "block")
         found.append(scratch.write(links.applyInPandas(_block_pairs(percent), "a long, b long"), f"links{k}"))
@@ -229,10 +270,10 @@ def _family_links(scratch: Scratch, families: DataFrame, sets: DataFrame, percen
         if not n_open:
             break
         state = state.join(counted(open_.select("family"), n_open), "family", "left_semi")
-        if not wide or before is not None and 2 * trees > before:
+        if not wide or 2 * trees > rows:
             found.append(scratch.write(_across(scratch, members, state, percent), "links-across"))
             break
-        before, k = trees, k + 1
+        k += 1
         leads = scratch.write(state.filter("id = tree").select("id"), f"leads{k}")
         now = members.join(counted(leads, trees), "id", "left_semi")
     out = found[0]
@@ -286,11 +327,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     reps = each.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(lead.alias("lead"), F.count(F.lit(1)).alias("rows"))
     reps = scratch.write(reps.select("digest", "rows", "lead.n_shingles", "lead.sketch", F.col("lead.doc_id").alias("id")), "reps")
 
-    s, n = F.col("sketch"), F.size("sketch")
-    threes = F.transform(F.slice(s, F.lit(1), F.greatest(n - 2, F.lit(0))), lambda x, i: F.xxhash64(x, s[i + 1], s[i + 2]))
-    twos = F.transform(F.slice(s, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda x, i: F.xxhash64(x, s[i + 1]))
-    keys = F.when(F.col("n_shingles").isin(4, 5), F.concat(threes, twos)).otherwise(threes)
-    entries = reps.select("id", F.explode(keys).alias("key"))
+    whole = F.ceil(F.col("n_shingles") * percent / 100)
+    due = F.when(F.col("n_shingles") <= K * percent // 100, whole).otherwise(F.least(whole, F.lit(sure(K, percent))))
+    entries = reps.select("id", (F.size("sketch") - due + 1).alias("first"), F.size("sketch").alias("m"), F.explode("sketch").alias("key"))
+    lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = entries.join(scratch.write(lists, "values"), "key").groupBy("id", "first", "m")
+    rare = shared.agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))  # K of them at most
+    rare = rare.withColumn("first", F.col("first") - F.col("m") + F.size("shared")).filter("first > 0")
+    entries = rare.select("id", F.explode(F.slice("shared", F.lit(1), F.col("first"))).alias("e")).select("id", "e.key")
+    entries = scratch.write(entries, "rare")
     lists = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1")
     entries = scratch.write(entries.join(scratch.write(lists, "lists"), "key"), "entries")
     few = tasks_for(entries.count())  # for all that only shared lists give
@@ -317,7 +362,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     found = likely.join(full["a"], "a").join(full["b"], "b").select("a", "b", "shingles_a", "shingles_b")
     found = found.mapInArrow(_verified(percent), "a long, b long")
     links = scratch.write(found.unionByName(_family_links(scratch, families, sets, percent)), "links")
-    scratch.drop("sets", "members", "placed", "entries", "short", "pairs", "lists", "likely", "wanted")
+    scratch.drop("values", "rare", "sets", "members", "placed", "entries", "short", "pairs", "lists", "likely", "wanted")
 
     reached = scratch.write(components(scratch, links, "links"), "components", few)
     told = reps.join(reached, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
