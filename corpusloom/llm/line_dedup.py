@@ -46,21 +46,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
     docs = docs.drop("n_lines", "n_dropped")
     scratch = Scratch(spark, "lines")
     split = F.split("text", "\n")
-    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), *([F.xxhash64("text").alias("t")] if verbatim else []), F.posexplode(split).alias("at", "line"))
+    # The hashes of a text are made before its lines are: beside them they would be made again for each.
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), *([F.xxhash64("text").alias("t")] if verbatim else []), split.alias("parts"))
+    lines = texts.select(*(c for c in texts.columns if c != "parts"), F.posexplode("parts").alias("at", "line"))
     line = F.col("line")
     # Most lines have neither a digit nor other blanks than single spaces, and need no rewriting.
-    hidden = F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
-    masked = F.when(F.rlike(line, F.lit(r"[\x09-\x0D]|\x20\x20")), F.regexp_replace(hidden, _BLANK, " ")).otherwise(hidden)
+    odd = F.rlike(line, F.lit(r"[0-9\x09-\x0D]|\x20\x20"))
+    masked = F.when(odd, F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), _BLANK, " ")).otherwise(line)
     lines = lines.withColumn("masked", F.trim(masked))
-    lines = lines.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1)
-    lines = lines.filter(F.col("masked") != "") if verbatim else lines.filter(F.col("n") >= LEAD)
+    lines = lines.withColumn("n", F.size(F.split("masked", " ")))
+    if not verbatim:
+        lines = lines.filter(F.col("n") >= LEAD)
     leaf = F.xxhash64("n", F.substring_index("masked", " ", LEAD))
     often = F.count(F.lit(1)) >= documents
     if verbatim:  # short and long lines have an entry as they stand, a leaf of their own; long ones count by text
         as_is = F.xxhash64(F.btrim(line, F.lit("\t\n\x0b\x0c\r ")), F.lit("as is"))
         entry = lambda key, own, kind: F.struct(key.alias("leaf"), own.alias("whole"), F.lit(kind).alias("kind"))
         usual, short, long = entry(leaf, F.xxhash64("masked"), 0), entry(as_is, as_is, 1), entry(as_is, as_is, 2)
-        entries = F.when(F.col("n") < LEAD, F.array(short)).when(F.col("n") > LONG, F.array(usual, long)).otherwise(F.array(usual))
+        # Blank lines have no entries; a filter on them would be moved below the masking and mask every line once more.
+        none = F.array().cast("array<struct<leaf:bigint,whole:bigint,kind:int>>")
+        entries = F.when(F.col("masked") == "", none).when(F.col("n") < LEAD, F.array(short)).when(F.col("n") > LONG, F.array(usual, long)).otherwise(F.array(usual))
         lines = lines.select("doc_id", "h", "t", "at", "masked", F.explode(entries).alias("e")).select("doc_id", "h", "t", "at", "e.*", "masked")
         by_text = F.col("kind") == 2
         found = lines.select(F.when(~by_text, F.col("doc_id")).alias("doc_id"), F.when(by_text, F.col("t")).otherwise(F.col("h")).alias("h"), "leaf", "whole", "kind")
