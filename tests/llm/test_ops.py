@@ -156,7 +156,9 @@ def test_near_dedup_of_an_empty_table_and_low_thresholds(spark):
         near_dedup.near_dedup(spark, frame(spark, []), percent=50)
 
 
-def test_near_dedup_of_a_large_family_is_exact_across_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("common", [0, 32_768])
+def test_near_dedup_of_a_large_family_is_exact_across_blocks(spark, monkeypatch, common):
+    monkeypatch.setattr(near_dedup, "COMMON", common)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     monkeypatch.setattr(near_dedup, "LIST", 4)
     rng = random.Random(11)
