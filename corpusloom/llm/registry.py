@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from corpusloom.llm.language import op13_language
 from corpusloom.llm.line_dedup import OP3_SQL, op3_line_dedup
 from corpusloom.llm.merkle import OP11_SQL, op11_merkle
 from corpusloom.llm.mixing import op8_mixing
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_repetition": op9_repetition,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op13_language": op13_language,
 }
 ORACLE = {"op1_near_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_warc": OP7_SQL, "op9_repetition": OP9_SQL, "op11_merkle": OP11_SQL}
