@@ -41,8 +41,8 @@ LEAST, LONGEST, MOST = 100, 5, 2000
 BUCKETS, CELLS = 1 << 22, 1 << 16
 #: Keys of a shard, about; shards that a worker remembers.
 SHARD, REMEMBERED = 25_000, 64
-#: Distinct words or keys that a task gathers before it hands them on, about.
-GATHERED = 500_000
+#: Distinct words that a task counts or remembers, and windows that it gathers, before it hands them on, about.
+WORDS, WINDOWS = 100_000, 500_000
 #: Arrays that one step of the tree adds up.
 FAN = 32
 NO_LANG = "und"
@@ -168,20 +168,20 @@ def _built(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and, as a null word, the number of all, for each language of a task."""
-    counts: dict[str, Counter] = defaultdict(Counter)
+    counts: dict[str, Counter] = defaultdict(Counter)  # words, and at None the number of all
 
-    def out() -> pa.RecordBatch:
-        rows = [(lang, None if w == _END else w, n) for lang, own in counts.items() for w, n in own.items() if w != _END]
-        rows += [(lang, None, sum(own.values()) - own[_END]) for lang, own in counts.items()]
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            own[None] = sum(own.values()) - own.pop(_END, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["lang", "word", "n"])
         counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.binary(), pa.int64()))], ["lang", "word", "n"])
 
     for batch in slices(batches):
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             counts[lang].update(words_of(text))
-        if sum(map(len, counts.values())) > GATHERED:
-            yield out()
-    yield out()
+        if sum(map(len, counts.values())) > WORDS:
+            yield from out()
+    yield from out()
 
 
 def _encoded(folder: str, shards: int):
@@ -195,7 +195,7 @@ def _encoded(folder: str, shards: int):
             parts = []
             for lang, words in texts.items():
                 own = known[lang]
-                if len(own) > GATHERED:
+                if len(own) > WORDS:
                     own.clear()
                 own[_END] = -1
                 new = sorted(set(words) - own.keys())
@@ -284,7 +284,7 @@ def _enumerated(k: int, kinds: int, passed: np.ndarray):
                 keys.append(key[through])
                 second.append(last[first][through].astype(np.int64))
                 held += len(keys[-1])
-                if held > GATHERED:
+                if held > WINDOWS:
                     yield out()
                     keys, second, held = [], [], 0
         if keys:
@@ -310,10 +310,10 @@ def _slotted(folder: str, shards: int, sizes: dict[int, int], k: int, kinds: int
             for words, slots in _arrays(batch):
                 keys.append(windows(words, slots, k, kinds)[1])
                 held += len(keys[-1])
-                if held > GATHERED:
+                if held > WINDOWS:
                     count()
                     keys, held = [], 0
-                if sum(map(len, counts.values())) > 8 * GATHERED:
+                if sum(map(len, counts.values())) > 8 * WINDOWS:
                     yield from _summed_rows(list(counts.items()), _kind(None))
                     counts = {}
         if keys:
@@ -368,11 +368,11 @@ def _rows_of(shards: int, kinds: int, least: int):
     return run
 
 
-def _write(scratch: Scratch, df: DataFrame, name: str) -> str:
-    """df in a folder for each shard, which workers read by themselves; where it is."""
+def _write(scratch: Scratch, df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """df in a folder for each shard, which workers read by themselves; where it is, and as a table."""
     at = f"{scratch.path}/{name}"
     df.write.mode("overwrite").partitionBy("shard").parquet(at, compression="uncompressed")
-    return at if "://" in at or at.startswith("file:") else f"file://{at}"
+    return at if "://" in at or at.startswith("file:") else f"file://{at}", scratch.spark.read.schema(df.schema).parquet(at)
 
 
 def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST, most: int = MOST) -> DataFrame:
@@ -394,8 +394,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longe
     frequent = frequent.withColumn("shard", (of % shards).cast("int"))
     kinds_of = "shard int, sizes array<int>, bits array<binary>, "
     built = frequent.groupBy("shard").applyInPandas(_built_words, kinds_of + "langs array<string>, words array<binary>, f binary")
-    folder = _write(scratch, built, "words")
-    words = spark.read.parquet(folder)
+    folder, words = _write(scratch, built, "words")
     kinds = max([0, *(r[0] for r in words.agg(F.max(F.size("words"))).collect() if r[0])]) * shards + 1
     if kinds > 1 << 31:
         raise ValueError("more frequent words than word numbers")
@@ -418,13 +417,11 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longe
             break
         shards = -(-n // SHARD)
         keys = keys.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
-        folder = _write(scratch, keys.groupBy("shard").applyInPandas(_built, kinds_of + "keys binary, second binary"), f"candidates{k}")
-        held = spark.read.parquet(folder)
+        folder, held = _write(scratch, keys.groupBy("shard").applyInPandas(_built, kinds_of + "keys binary, second binary"), f"candidates{k}")
         sizes = {r[0]: r[1] // 8 for r in held.select("shard", F.octet_length("keys")).collect()}
         sums = tree_sum(table.mapInArrow(_slotted(folder, shards, sizes, k, kinds), SUMS), tasks)
         done = held.join(sums.withColumnRenamed("part", "shard_"), F.col("shard") == F.col("shard_")).drop("shard_").withColumn("least", F.lit(least))
-        folder = _write(scratch, done, f"counted{k}")
-        done = spark.read.parquet(folder)
+        folder, done = _write(scratch, done, f"counted{k}")
         own = done.select("shard", "keys", "second", "n").mapInArrow(_rows_of(shards, kinds, least), "slot long, first long, second long, last long, f long")
         own = scratch.write(own, f"frequent{k}")
         if own.isEmpty():
@@ -435,7 +432,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longe
             scratch.drop(f"table{k - 1}")
             table = fresh
         scratch.drop(f"keys{k}", f"candidates{k}", f"frequent{k}")
-    return _ranked([_kept(level, above) for level, above in zip(levels[1:], [*levels[2:], None], strict=True)], totals, levels[0], most)
+    return _ranked([_kept(level, above) for level, above in zip(levels[1:], [*levels[2:], None], strict=False)], totals, levels[0], most)
 
 
 def _named(own: DataFrame, shorter: DataFrame, words: DataFrame) -> DataFrame:
