@@ -1,6 +1,6 @@
 """Merkle manifest of a dataset: a tree of three-way nodes per source, their roots in a tree of their own, a proof a row.
 
-A leaf is the digest of a row's fields. Leaves of a source ascend by doc_id and are dealt out in aligned blocks of BLOCK
+A leaf is the digest of a row's fields. Leaves of a source ascend by doc_id and are dealt out in aligned blocks of 729
 rows; a block's node is found by one pass over its leaves that holds at most two nodes a level. Block nodes are the leaves
 of the next tree, and so on up to the root, so a source of any size is a table of blocks and never one task.
 
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch
 
-#: Children of a node, levels of a block, and so the leaves of one.
+#: Children of a node, and levels of a block, which so has ARITY ** LEVELS leaves at most.
 ARITY, LEVELS = 3, 6
-BLOCK = ARITY**LEVELS
 #: Bytes of a digest as text.
 WIDE = 64
 
@@ -175,39 +174,46 @@ def _ranked(nodes: DataFrame, scratch: Scratch, name: str, order: list[str]) ->
     return placed.select(*nodes.columns, (F.col("id") + F.col("shift")).alias("at"), "n")
 
 
-def _block(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("at")
-    n, last = int(rows["n"].iloc[0]), bool(rows["n"].iloc[0] <= BLOCK)
-    digests = [x.encode() for x in rows["digest"]]
-    levels = depth(n) if last else LEVELS
-    out = {"tree": rows["tree"].iloc[0], "block": int(rows["at"].iloc[0]) // BLOCK, "n": n, "last": last, "digests": b"".join(digests), "digest": root_of(digests, levels).decode()}
-    return pd.DataFrame([out | ({"ids": [None if pd.isna(x) else int(x) for x in rows["doc_id"]], "changed": [x or "" for x in rows["changed"]]} if "changed" in rows else {})])
+def _block(levels: int):
+    size = ARITY**levels
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        n = int(rows["n"].iloc[0])
+        digests = [x.encode() for x in rows["digest"]]
+        out = {"tree": rows["tree"].iloc[0], "block": int(rows["at"].iloc[0]) // size, "n": n, "last": n <= size, "digests": b"".join(digests)}
+        out["digest"] = root_of(digests, depth(n) if n <= size else levels).decode()
+        if "changed" in rows:
+            out |= {"ids": [None if pd.isna(x) else int(x) for x in rows["doc_id"]], "changed": [x or "" for x in rows["changed"]]}
+        return pd.DataFrame([out])
+
+    return run
 
 
 BLOCKS = "tree string, block long, n long, last boolean, digests binary, digest string"
 
 
-def _blocks(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _blocks(placed: DataFrame, scratch: Scratch, name: str, levels: int) -> DataFrame:
     """A row for each aligned block of a tree: its leaves and its node."""
     extra = ", ids array<long>, changed array<string>" if "changed" in placed.columns else ""
-    return scratch.write(placed.groupBy("tree", F.expr(f"at div {BLOCK}")).applyInPandas(_block, BLOCKS + extra), name)
+    return scratch.write(placed.groupBy("tree", F.expr(f"at div {ARITY**levels}")).applyInPandas(_block(levels), BLOCKS + extra), name)
 
 
-def _paths(blocks: DataFrame) -> DataFrame:
+def _paths(blocks: DataFrame, levels: int) -> DataFrame:
     """The path and the subroot of every node below blocks (with upper, the path of each block's own node): tree, at, subroot, path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tree, block, n, last, digests, subroot, upper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 leaves = [digests[i : i + WIDE] for i in range(0, len(digests), WIDE)]
-                paths = [pack(p) + upper for p in Walk(leaves, depth(n) if last else LEVELS).paths()]
-                at = block * BLOCK + np.arange(len(leaves))
+                paths = [pack(p) + upper for p in Walk(leaves, depth(n) if last else levels).paths()]
+                at = block * ARITY**levels + np.arange(len(leaves))
                 yield pa.RecordBatch.from_arrays([pa.array([tree] * len(at), pa.string()), pa.array(at), pa.array([subroot] * len(at), pa.string()), pa.array(paths, pa.binary())], ["tree", "at", "subroot", "path"])
 
     return blocks.select("tree", "block", "n", "last", "digests", "subroot", "upper").mapInArrow(run, "tree string, at long, subroot string, path binary")
 
 
-def _proven(root: str):
+def _proven(root: str, levels: int):
     end = root.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +223,7 @@ def _proven(root: str):
                 shared = unpack(upper)
                 above = b"".join(a + b for a, b in shared)
                 rows = []
-                for i, path in enumerate(Walk(leaves, depth(n) if last else LEVELS).paths()):
+                for i, path in enumerate(Walk(leaves, depth(n) if last else levels).paths()):
                     own = [(b"".join(nodes[:at]), b"".join(nodes[at + 1 :])) for nodes, at in path]
                     proof = hashlib.sha256(b"".join(a + b for a, b in own) + above).hexdigest()
                     got = fold(changed[i].encode() or leaves[i], own + shared)
@@ -231,16 +237,17 @@ def _proven(root: str):
 MANIFEST = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
 
-def merkle_manifest(spark: SparkSession, docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def merkle_manifest(spark: SparkSession, docs: DataFrame, tampered: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified for every row of docs.
 
-    tampered: the text as it is found when the manifest is checked, null where it is as it was.
+    tampered: the text as it is found when the manifest is checked, null where it is as it was. levels: of a block, which does
+    not change the result.
 
     Defined cases: a null field counts as `-`, so null and empty text differ; of a text of any length every byte counts;
     null doc_ids come first in their source, and rows that repeat a doc_id ascend by leaf; a null source is a source of its
     own, the first; an empty table gives an empty result; other columns of docs are ignored.
     """
-    scratch = Scratch(spark, "merkle")
+    scratch, size = Scratch(spark, "merkle"), ARITY**levels
     tree = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))  # null first, then by bytes
     changed = F.lit(None).cast("string") if tampered is None else F.when(tampered.isNotNull(), leaf_of(tampered))
     leaves = scratch.write(docs.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf_of(F.col("text")).alias("digest"), changed.alias("changed")), "leaves")
@@ -250,8 +257,8 @@ def merkle_manifest(spark: SparkSession, docs: DataFrame, tampered: Column | Non
         tables = [blocks]
         while not tables[-1].filter("not last").isEmpty():
             low = tables[-1].filter("not last")
-            up = low.select("tree", "digest", F.col("block").alias("at"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("n"))
-            tables.append(_blocks(up, scratch, f"{name}{len(tables)}"))
+            up = low.select("tree", "digest", F.col("block").alias("at"), F.expr(f"(n + {size - 1}) div {size}").alias("n"))
+            tables.append(_blocks(up, scratch, f"{name}{len(tables)}", levels))
         return tables
 
     def lowered(tables: list[DataFrame], top: DataFrame, name: str) -> DataFrame:
@@ -262,23 +269,23 @@ def merkle_manifest(spark: SparkSession, docs: DataFrame, tampered: Column | Non
             if below is not None:
                 met = met.unionByName(tables[k].filter("not last").join(below, ["tree", "block"]))
             if k:
-                below = scratch.write(_paths(met).withColumnsRenamed({"at": "block", "path": "upper"}), f"{name}{k}")
+                below = scratch.write(_paths(met, levels).withColumnsRenamed({"at": "block", "path": "upper"}), f"{name}{k}")
         return met
 
-    own = grown(_blocks(_ranked(leaves, scratch, "numbered", ["doc_id", "digest"]), scratch, "blocks"), "level")
+    own = grown(_blocks(_ranked(leaves, scratch, "numbered", ["doc_id", "digest"]), scratch, "blocks", levels), "level")
     subroots = own[0].filter("last").select("tree", "digest")
     for table in own[1:]:
         subroots = subroots.unionByName(table.filter("last").select("tree", "digest"))
     sources = scratch.write(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest"), "subroots")
     ranked = scratch.write(_ranked(sources, scratch, "order", ["source"]), "sources")
-    top = grown(_blocks(ranked.drop("source"), scratch, "top"), "top")
+    top = grown(_blocks(ranked.drop("source"), scratch, "top", levels), "top")
     root = top[-1].filter("last").select("digest").first()
     root = root[0] if root else ""
     above = lowered(top, top[-1].filter("last").select("tree", F.lit("").alias("subroot"), F.lit(b"").alias("upper")), "above")
-    named = _paths(above).select("at", F.col("path").alias("upper")).join(ranked, "at")
+    named = _paths(above, levels).select("at", F.col("path").alias("upper")).join(ranked, "at")
     roots = scratch.write(named.select(F.col("source").alias("tree"), F.col("digest").alias("subroot"), "upper"), "roots")
     met = lowered(own, roots, "down")
-    return met.select("n", "last", "digests", "ids", "changed", "subroot", "upper").mapInArrow(_proven(root), MANIFEST)
+    return met.select("n", "last", "digests", "ids", "changed", "subroot", "upper").mapInArrow(_proven(root, levels), MANIFEST)
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
