@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import held_out, slices
 
-#: Letters of all languages together that are fitted on, at most; of one language; and rows of one language that are looked at.
-LETTERS, OWN, ROWS = 400_000, 60_000, 2_000
+#: Letters of all languages together that are fitted on, at most, and of one language; its rows that are looked at, the first
+#: in each of PARTS parts of its hashes.
+LETTERS, OWN, ROWS, PARTS = 400_000, 60_000, 2048, 64
 #: Letters of a span.
 SPAN = 256
 #: Letters that a worker parses together, about.
@@ -171,7 +172,8 @@ def fit(texts: dict[str, list[str]]) -> Model:
 
 def train(docs: DataFrame, letters: int = LETTERS) -> Model:
     """Fit on whole texts of documents that are not held out and have a lang: of each language those first by a hash of
-    the id (of the first ROWS that are no longer than its share of `letters`, OWN at most) until the share is used up.
+    the id (of ROWS that are no longer than its share of `letters`, OWN at most) until the share is used up. The rows are
+    chosen by their sizes, and only the texts of those chosen leave their tasks.
 
     The bound is on what reaches the driver, 4 bytes a letter, and on the automata, 2 states a letter at most.
     """
@@ -180,17 +182,17 @@ def train(docs: DataFrame, letters: int = LETTERS) -> Model:
     if not names:
         return fit({})
     share = min(letters // len(names), OWN)
-    rows = rows.withColumn("own", letters_of(F.col("text"))).withColumn("size", F.length("own"))
-    rows = rows.filter(F.col("lang").isin(names) & (F.col("size") > 0) & (F.col("size") <= share)).withColumn("h", F.xxhash64("doc_id"))
-    first = ["h", "doc_id", "own"]
-    spread = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy(*first)
-    rows = rows.withColumn("k", F.row_number().over(spread)).filter(F.col("k") <= ROWS // 8)  # of a language no task holds all
-    by = Window.partitionBy("lang").orderBy(*first)
-    rows = rows.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= ROWS)
-    rows = rows.withColumn("sum", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= share)
+    sized = rows.select("lang", "doc_id", F.length(letters_of(F.col("text"))).alias("size"), F.xxhash64("doc_id").alias("h"))
+    sized = sized.filter(F.col("lang").isin(names) & (F.col("size") > 0) & (F.col("size") <= share))
+    part = F.pmod("h", F.lit(PARTS))
+    first = sized.withColumn("k", F.row_number().over(Window.partitionBy("lang", part).orderBy("h", "doc_id", "size"))).filter(F.col("k") <= ROWS // PARTS)
+    used = F.sum("size").over(Window.partitionBy("lang").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    ids = first.withColumn("used", used).filter(F.col("used") <= share).select("lang", "doc_id").distinct()  # ROWS of a language at most
+    found = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").select("lang", letters_of(F.col("text")).alias("own"), F.xxhash64("doc_id").alias("h"))
     texts: dict[str, list[str]] = {}
-    for lang, own in rows.select("lang", "own", "h").orderBy("lang", *first[:1], "own").select("lang", "own").collect():
-        texts.setdefault(lang, []).append(own)
+    for lang, own, _ in found.filter(F.length("own") <= share).orderBy("lang", "h", "own").limit(ROWS * len(names)).collect():
+        if sum(map(len, texts.setdefault(lang, []))) + len(own) <= share:  # rows may repeat an id
+            texts[lang].append(own)
     return fit(texts)
 
 
