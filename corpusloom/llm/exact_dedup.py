@@ -6,8 +6,8 @@ A new digest is a member only if all 32 bytes in its slot agree; members are set
 grouped among themselves.
 
 Hot digests never meet in one task: rows are combined per digest (map-side first) before they are dealt out, and the
-way back to rows joins only the groups of two rows and more: broadcast while they are counted to be few, else by a
-shuffle, which adaptive execution splits when skewed.
+way back joins digests, never texts, with the groups of two rows and more, which adaptive execution splits when skewed.
+unique() then leaves copies out where the texts are read: a decision is an entry in an array for their file.
 """
 
 from __future__ import annotations
@@ -17,14 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, counted, fresh, lower_ascii
+from corpusloom.llm.common import Scratch, chosen, fresh, located, lower_ascii
 
 #: Distinct digests in a shard, about; a shard is about 4 MB.
 SHARD = 50_000
 #: Bits for each key that a level of the hash offers.
 GAMMA = 1.6
-#: Groups (about 100 bytes each) up to which they are broadcast to the texts; beyond, the texts are shuffled once.
-GROUPS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,18 +114,24 @@ def _probe(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
     return out[out["n"] > 1]
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, history: F.Column | None = None) -> DataFrame:
+def digest_of(text: F.Column) -> F.Column:
+    """The digest that equal texts share."""
+    return F.sha2(lower_ascii(F.coalesce(text, F.lit(""))), 256)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, history: F.Column | None = None, sha: F.Column | None = None) -> DataFrame:
     """The documents with keep_id, group_size, kept and text_sha256.
 
     history says which rows are the historical ones, whose distinct digests the perfect hash covers; the default is the
     upper half of the id range. Historical winners beat new rows only if their doc_id is larger, so the result is the
-    same for any choice: of equal texts the row with the largest doc_id stays.
+    same for any choice: of equal texts the row with the largest doc_id stays. sha: the digests of the texts, where docs
+    have them already.
 
     Defined cases: a null text is the empty text; a text of any length is one digest; an empty table gives an empty
     result; a null doc_id loses to any other; where several rows of a group have the winning doc_id (or none has an id),
     one of them is kept and the others are not. Columns that docs carries already under these four names are replaced.
     """
-    sha = F.sha2(lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
+    sha = digest_of(F.col("text")) if sha is None else sha
     docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
     if history is None:
         low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -150,8 +154,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history: F.Column | None =
     groups = groups.select(F.col("digest").alias(digest), F.when(F.col("has"), F.col("top")).alias(keep), F.col("n").alias(size), F.col("tops").alias(tops))
     groups = scratch.write(groups, "groups")
     scratch.drop("digests")
-    n, again = groups.agg(F.count(F.lit(1)), F.count(F.when(F.col(tops) > 1, 1))).first()
-    rows = docs.withColumn(digest, F.unhex(sha)).join(counted(groups, n, GROUPS), digest, "left")
+    again = groups.filter(F.col(tops) > 1).limit(1).count()
+    rows = docs.withColumn(digest, F.unhex(sha)).join(groups, digest, "left")
     top = F.col(size).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))
 
     def told(part: DataFrame, kept: F.Column) -> DataFrame:
@@ -169,10 +173,23 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history: F.Column | None =
     tied = top & (F.coalesce(tops, F.lit(1)) > 1)
     ties = scratch.write(rows.filter(tied).withColumn(row, F.monotonically_increasing_id()), "ties")
     first = ties.groupBy(digest).agg(F.min(row).alias(row)).withColumn(size, F.lit(True))
-    ties = ties.join(counted(first.select(digest, row, F.col(size).alias(f"{size}_")), again, GROUPS), [digest, row], "left")
+    ties = ties.join(first.select(digest, row, F.col(size).alias(f"{size}_")), [digest, row], "left")
     return told(rows.filter(~tied), top).unionByName(told(ties, F.col(f"{size}_").isNotNull()))
 
 
+def unique(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs without the rows that exact_dedup does not keep, with the same columns.
+
+    Texts are read twice, for their digests and for what stays, and never shuffled. Defined cases: as of exact_dedup.
+    """
+    scratch = Scratch(spark, "unique")
+    at, file, row = located(scratch, docs)
+    own = fresh(at, "digest")
+    narrow = scratch.write(at.select("doc_id", file, row, digest_of(F.col("text")).alias(own)), "rows")
+    copies = exact_dedup(spark, narrow, sha=F.col(own)).filter("not kept").select(file, row, F.lit(0).alias("n"))
+    return chosen(scratch, at, file, row, copies, "copies", otherwise=1)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_dedup(spark, docs).drop("text")

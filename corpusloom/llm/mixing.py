@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, Scratch, counted, fresh
+from corpusloom.llm.common import WORD, Scratch, chosen, fresh, located
 
 #: Documents in a block of the tree, about.
 ARITY = 64
@@ -123,10 +123,16 @@ def picked(spark: SparkSession, units: DataFrame, seed: int = 7) -> DataFrame:
     return up
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+def unit_of() -> Column:
+    """What tells a document from others of its id."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = 7, unit: Column | None = None, words: Column | None = None) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the document, 0 to MOST).
 
-    Reruns agree: every random choice is a hash of the documents and the seed.
+    Reruns agree: every random choice is a hash of the documents and the seed. unit, words: unit_of and n_words of the
+    documents, where docs have them already and no text.
 
     Defined cases: a null text has size 0; a text of any length is one document; a null source is a source of its own,
     ordered last; an empty table gives an empty result; rows that repeat doc_id, source and text are documents of their
@@ -138,10 +144,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
     for base in ("key", "of", "id", "h", "rows", "up", "row"):
         names[base] = fresh(docs, f"mix_{base}", names.values())
     key, of, same_id, h, rows, up, row = names.values()
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text"))
+    keyed = docs.withColumn(key, unit_of() if unit is None else unit)
     scratch = Scratch(spark, "mixed")
     units = keyed.groupBy("source", "doc_id", F.col(key).alias("h")).agg(
-        F.max(n_words(F.col("text"))).alias("each"), F.count(F.lit(1)).alias("rows")
+        F.max(n_words(F.col("text")) if words is None else words).alias("each"), F.count(F.lit(1)).alias("rows")
     )
     units = scratch.write(units, "units")
     sizes = units.groupBy("source").agg(F.sum(F.col("each") * F.col("rows")).cast("long").alias("source_size"))
@@ -176,7 +182,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = WEIGH
         return told(joined, F.col(up))
     # Repeated rows are written once with numbers, and the first of them get the picks; numbers count on from one input
     # partition to the next, so that no key meets in one task.
-    hot = counted(again.select(F.col("h").alias(h), F.col("doc_id").alias(same_id)), n_again)
+    hot = again.select(F.col("h").alias(h), F.col("doc_id").alias(same_id))
     numbered = scratch.write(keyed.join(hot, met, "left_semi").withColumn(row, F.monotonically_increasing_id()), "again")
     part = F.shiftright(F.col(row), 33).alias("part")
     parts = numbered.groupBy(key, "doc_id", part).agg(F.count(F.lit(1)).alias("n"))
@@ -193,6 +199,19 @@ def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     return mixed.filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
 
 
+def mixture(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The mix itself, decided on sizes and told where the texts are read: each document as often as mix takes it.
+
+    Defined cases: as of mix; columns of docs stay as they are, whatever their names.
+    """
+    scratch = Scratch(spark, "mixture")
+    at, file, row = located(scratch, docs)
+    names = [fresh(at, "unit"), fresh(at, "words")]
+    narrow = at.select("doc_id", "source", file, row, unit_of().alias(names[0]), n_words(F.col("text")).alias(names[1]))
+    taken = mix(spark, scratch.write(narrow, "rows"), unit=F.col(names[0]), words=F.col(names[1]))
+    return chosen(scratch, at, file, row, taken.select(file, row, F.col("copies").alias("n")), "taken", otherwise=0)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     mixed = mix(spark, docs)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Scratch, counted, slices, tasks_for
+from corpusloom.llm.common import Scratch, chosen, counted, located, slices, tasks_for
 from corpusloom.llm.components import components
 
 #: Retained values of a sketch, and of the longer one that blocks compare.
@@ -356,7 +356,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
 
     wanted = families.select("id").unionByName(likely.select(F.col("a").alias("id"))).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     wanted = scratch.write(wanted, "wanted", few)
-    sets = texts.join(counted(wanted, wanted.count()), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_full_sets(words), "id long, shingles binary")
+    at, file, row = located(scratch, docs)
+    marks = at.select(F.col("doc_id").cast("long").alias("id"), file, row).join(wanted, "id").select(file, row, F.lit(1).alias("n"))
+    read = chosen(scratch, at.select("doc_id", "text", file, row), file, row, marks, "marks", otherwise=0)
+    sets = read.select(F.col("doc_id").cast("long"), "text").mapInArrow(_full_sets(words), "id long, shingles binary")
     sets = scratch.write(sets, "sets")
     full = {c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab"}
     found = likely.join(full["a"], "a").join(full["b"], "b").select("a", "b", "shingles_a", "shingles_b")
@@ -374,6 +377,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     )
 
 
+def distinct(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs without the rows that near_dedup does not keep, left out where they are read. Defined cases: as of near_dedup."""
+    scratch = Scratch(spark, "distinct")
+    at, file, row = located(scratch, docs)
+    gone = near_dedup(spark, docs).filter("not kept").select("doc_id").distinct()
+    marks = at.select("doc_id", file, row).join(gone, "doc_id").select(file, row, F.lit(0).alias("n"))
+    return chosen(scratch, at, file, row, marks, "gone", otherwise=1)
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
 
