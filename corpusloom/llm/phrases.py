@@ -41,6 +41,8 @@ LEAST, LONGEST, MOST = 100, 5, 2000
 BUCKETS, CELLS = 1 << 22, 1 << 16
 #: Keys of a shard, about; shards that a worker remembers.
 SHARD, REMEMBERED = 25_000, 64
+#: Word numbers in a row of the encoded table, about.
+ROW = 1 << 15
 #: Distinct words that a task counts or remembers, and windows that it gathers, before it hands them on, about.
 WORDS, WINDOWS = 100_000, 500_000
 #: Arrays that one step of the tree adds up.
@@ -203,7 +205,9 @@ def _encoded(folder: str, shards: int):
                 parts.append(np.fromiter(map(own.__getitem__, words), dtype=np.int32, count=len(words)))
             ids = np.concatenate(parts) if parts else np.empty(0, np.int32)
             ids = ids[(ids >= 0) | np.append(False, ids[:-1] >= 0)]  # one break stands for several
-            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()] * 2, pa.binary())[:1]] * 2, ["words", "slots"])
+            ends = np.flatnonzero(ids < 0) + 1
+            cuts = np.unique(ends[np.minimum(np.searchsorted(ends, np.arange(ROW, len(ids), ROW)), len(ends) - 1)]) if len(ends) else []
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(ids, cuts)], pa.binary())], ["words"])
 
     return run
 
@@ -226,11 +230,11 @@ def _cell(keys: np.ndarray) -> np.ndarray:
 
 def _filtered(k: int, kinds: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(BUCKETS, dtype=np.int32)
+        cells = np.zeros(BUCKETS, dtype=_kind(least))
         for batch in batches:
             for words, slots in _arrays(batch):
                 of, n = np.unique(_cell(windows(words, slots, k, kinds)[1]), return_counts=True)
-                cells[of] = np.minimum(cells[of] + n, least)
+                cells[of] = np.minimum(cells[of].astype(np.int64) + n, least)
         parts = [i for i in range(0, BUCKETS, CELLS) if cells[i : i + CELLS].any()]
         yield from _summed_rows([(i // CELLS, cells[i : i + CELLS]) for i in parts], _kind(least))
 
@@ -400,7 +404,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longe
         raise ValueError("more frequent words than word numbers")
     found = words.select("shard", "langs", "words", "f").mapInArrow(_rows_of_words(shards), "slot long, lang string, phrase string, f long")
     first = scratch.write(found.select("*", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")), "phrases1")
-    table = scratch.write(texts.mapInArrow(_encoded(folder, shards), "words binary, slots binary"), "table1")
+    table = scratch.write(texts.mapInArrow(_encoded(folder, shards), "words binary"), "table1").select("words", F.col("words").alias("slots"))
 
     levels = [first]
     for k in range(2, longest + 1):
