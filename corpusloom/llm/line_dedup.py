@@ -6,11 +6,13 @@ of the leaf's lines have it there, and is a variable field otherwise; where enou
 template, and the lines that agree with it are its own. A masked line that itself recurs is a template without further
 fields. Lines of templates that occur in at least `documents` different documents are dropped.
 
-With `verbatim`, lines that recur word for word count at any length: those of fewer than LEAD words in `documents`
-documents, those of over LONG words in `verbatim` different texts. With `several`, a leaf has as many templates as recur in
-it, whatever their share: at each of the floors documents, 2 documents, 4 documents ... a masked line keeps the words that
-so many lines of the leaf have at their position, and lines that keep the same words are a template. The registered query
-does both, and OP3_SQL states it.
+With `verbatim`, a line that recurs word for word stays where it occurs first, in the document with the smallest id, and
+goes from the others; the longer it is, the fewer documents it takes: floor_of(10 words) is `documents`, and 50 words and more
+need two. A line with variable fields does so as it stands as well, from 11 words on; one of fewer than LEAD words, which
+has no place in the tree, in `documents` documents. With `several`, a leaf has as many templates as recur in it, whatever
+their share: at each of the floors documents, 2 documents, 4 documents ... a masked line keeps the words that so many lines of
+the leaf have at their position, and lines that keep the same words are a template. The registered query does both, and
+OP3_SQL states it.
 
 Lines are counted after a distinct per document and leaf, so a line that a third of all documents share spreads over all
 tasks; what is gathered per leaf is one word a position, and per document the positions of its own lines.
@@ -18,7 +20,7 @@ tasks; what is gathered per leaf is one word a position, and per document the po
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, fresh
@@ -29,26 +31,30 @@ DOCUMENTS = 10
 LEAD = 3
 #: Least percentage of a template's positions that keep a word, and of those words that a line must agree with.
 FIXED, AGREE = 60, 80
-#: Words beyond which a line that recurs word for word needs few texts only, and that many texts.
-LONG, TEXTS = 50, 2
 _BLANK = r"[\x20\x09-\x0D]+"
 _FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS, verbatim: int | None = None, several: bool = False) -> DataFrame:
+def floor_of(n: Column, documents: int) -> Column:
+    """Documents in which a line of n words has to recur word for word: fewer, two at least, the longer it is."""
+    return F.greatest(F.lit(2), F.least(F.lit(documents), F.ceil(F.lit(10 * documents) / n))).cast("int")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS, verbatim: bool = False, several: bool = False) -> DataFrame:
     """docs with the recurring lines taken out of text, and n_lines and n_dropped (long).
 
     Defined cases: a null text stays null and has no lines; of a text of any length all lines count; an empty table gives an empty result; lines of fewer than
     LEAD words are kept (with `verbatim`, blank ones); a line that repeats within one document counts once; rows that share doc_id and text are the
-    same document; a null doc_id is an id like any other; of words equally common at a position the larger by code
+    same document; a null doc_id is an id like any other, and the last one; where rows share the smallest doc_id but not the
+    text, a line stays in one of them; of words equally common at a position the larger by code
     point is kept. Columns n_lines and n_dropped of docs are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
     scratch = Scratch(spark, "lines")
     split = F.split("text", "\n")
     # The hashes of a text are made before its lines are: beside them they would be made again for each.
-    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), *([F.xxhash64("text").alias("t")] if verbatim else []), split.alias("parts"))
-    lines = texts.select(*(c for c in texts.columns if c != "parts"), F.posexplode("parts").alias("at", "line"))
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), split.alias("parts"))
+    lines = texts.select("doc_id", "h", F.posexplode("parts").alias("at", "line"))
     line = F.col("line")
     # Most lines have neither a digit nor other blanks than single spaces, and need no rewriting.
     odd = F.rlike(line, F.lit(r"[0-9\x09-\x0D]|\x20\x20"))
@@ -57,29 +63,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
     lines = lines.withColumn("n", F.size(F.split("masked", " ")))
     if not verbatim:
         lines = lines.filter(F.col("n") >= LEAD)
-    leaf = F.xxhash64("n", F.substring_index("masked", " ", LEAD))
+    leaf, fields = F.xxhash64("n", F.substring_index("masked", " ", LEAD)), F.contains("masked", F.lit("<*>"))
+    entry = lambda key, own, kind, need: F.struct(key.alias("leaf"), own.alias("whole"), kind.alias("kind"), need.alias("need"))
     often = F.count(F.lit(1)) >= documents
-    if verbatim:  # short and long lines have an entry as they stand, a leaf of their own; long ones count by text
+    if verbatim:  # kind 0: a masked line; 1: one without fields, which is as it stands; 2: a line as it stands, a leaf of its own
         as_is = F.xxhash64(F.btrim(line, F.lit("\t\n\x0b\x0c\r ")), F.lit("as is"))
-        entry = lambda key, own, kind: F.struct(key.alias("leaf"), own.alias("whole"), F.lit(kind).alias("kind"))
-        usual, short, long = entry(leaf, F.xxhash64("masked"), 0), entry(as_is, as_is, 1), entry(as_is, as_is, 2)
+        floor = floor_of(F.col("n"), documents)
+        usual = entry(leaf, F.xxhash64("masked"), F.when(fields, 0).otherwise(1), F.when(fields, documents).otherwise(floor))
+        stands = entry(as_is, as_is, F.lit(2), floor)
         # Blank lines have no entries; a filter on them would be moved below the masking and mask every line once more.
-        none = F.array().cast("array<struct<leaf:bigint,whole:bigint,kind:int>>")
-        entries = F.when(F.col("masked") == "", none).when(F.col("n") < LEAD, F.array(short)).when(F.col("n") > LONG, F.array(usual, long)).otherwise(F.array(usual))
-        lines = lines.select("doc_id", "h", "t", "at", "masked", F.explode(entries).alias("e")).select("doc_id", "h", "t", "at", "e.*", "masked")
-        by_text = F.col("kind") == 2
-        found = lines.select(F.when(~by_text, F.col("doc_id")).alias("doc_id"), F.when(by_text, F.col("t")).otherwise(F.col("h")).alias("h"), "leaf", "whole", "kind")
-        often = F.count(F.lit(1)) >= F.when(F.max("kind") == 2, verbatim).otherwise(documents)
-        keys = scratch.write(found.distinct(), "keys")
+        none = F.array().cast("array<struct<leaf:bigint,whole:bigint,kind:int,need:int>>")
+        entries = F.when(F.col("masked") == "", none).when(F.col("n") < LEAD, F.array(stands)).when(fields & (floor < documents), F.array(usual, stands)).otherwise(F.array(usual))
     else:
-        lines = lines.select("doc_id", "h", "at", leaf.alias("leaf"), F.xxhash64("masked").alias("whole"), F.lit(0).alias("kind"), "masked")
-        keys = scratch.write(lines.select("doc_id", "h", "leaf", "whole").distinct(), "keys")
-    leaves = keys.drop("whole").distinct().groupBy("leaf").agg(often.alias("often")).filter("often").select("leaf")
-    exact = keys.groupBy("leaf", "whole").agg(often.alias("often")).filter("often").select("leaf", "whole", F.lit(True).alias("exact"))
-    leaves, exact = scratch.write(leaves, "leaves"), scratch.write(exact, "exact")
-    near = lines.join(leaves, "leaf", "left_semi").withColumn("words", F.when(F.col("kind") == 0, F.split("masked", " ")))
-    every = scratch.write(near.drop("masked", "t"), "near")
-    near, often = every.filter("kind = 0"), F.count(F.lit(1)) >= documents
+        entries = F.array(entry(leaf, F.xxhash64("masked"), F.lit(0), F.lit(documents)))
+    lines = lines.select("doc_id", "h", "at", "masked", F.explode(entries).alias("e")).select("doc_id", "h", "at", "e.*", "masked")
+    keys = scratch.write(lines.select("doc_id", "h", "leaf", "whole", "kind", "need").distinct(), "keys")
+    leaves = keys.filter("kind < 2").select("doc_id", "h", "leaf").distinct().groupBy("leaf").agg(often.alias("often")).filter("often").select("leaf")
+    leaves = scratch.write(leaves, "leaves")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h"))
+    exact = keys.groupBy("leaf", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"), F.max("kind").alias("kind"), first.alias("first"))
+    exact = scratch.write(exact.filter("n >= need").select("leaf", "whole", F.when(F.col("kind") > 0, F.col("first.h")).alias("stays")), "exact")
+    wanted = leaves.select("leaf", F.lit(True).alias("often")).unionByName(exact.select("leaf", F.lit(False).alias("often"))).groupBy("leaf").agg(F.max("often").alias("often"))
+    near = lines.drop("need").join(scratch.write(wanted, "wanted"), "leaf").withColumn("words", F.when(F.col("often") & (F.col("kind") < 2), F.split("masked", " ")))
+    every = scratch.write(near.drop("masked", "kind", "often"), "near")
+    near = every.filter("words is not null")
 
     size = near.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max(F.size("words")).alias("n"))
     words = near.select("leaf", F.posexplode("words").alias("i", "word")).groupBy("leaf", "i", "word").count()
@@ -89,18 +96,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
     template = template.filter(100 * F.size("fixed") >= FIXED * F.col("n")).select("leaf", "fixed")
     template = scratch.write(template, "templates")
     if several:
-        exact = exact.unionByName(_grouped(scratch, keys, near, words, documents))
+        exact = exact.unionByName(_grouped(scratch, keys.filter("kind < 2"), near, words, documents))
 
     agree = F.size(F.filter("fixed", lambda x: F.col("words")[x["i"]] == x["word"]))
     fits = near.join(template, "leaf").filter(100 * agree >= AGREE * F.size("fixed")).select("doc_id", "h", "at", "leaf")
     fits = scratch.write(fits, "fits")
     recur = fits.select("doc_id", "h", "leaf").distinct().groupBy("leaf").agg(often.alias("often")).filter("often").select("leaf")
     recur = scratch.write(recur, "recur")
-    gone = fits.join(recur, "leaf", "left_semi").select("doc_id", "h", "at")
-    same = every.select("doc_id", "h", "at", "leaf", "whole").join(exact, ["leaf", "whole"], "left_semi").select("doc_id", "h", "at")
+    gone = fits.join(recur, "leaf", "left_semi").select("doc_id", "h", "at", F.lit(False).alias("stays"))
+    same = every.select("doc_id", "h", "at", "leaf", "whole").join(exact, ["leaf", "whole"])
+    same = same.select("doc_id", "h", "at", F.coalesce(F.col("stays") == F.col("h"), F.lit(False)).alias("stays"))
     own, key = fresh(docs, "line_doc"), fresh(docs, "line_key")
-    gone = gone.unionByName(same).groupBy(F.col("doc_id").alias(own), F.col("h").alias(key)).agg(F.collect_set("at").alias("gone_at"))
-    gone = scratch.write(gone, "gone").withColumnRenamed("gone_at", fresh(docs, "line_gone"))
+    sets = [F.collect_set(F.when(F.col("stays") == which, F.col("at"))) for which in (False, True)]
+    gone = gone.unionByName(same).groupBy(F.col("doc_id").alias(own), F.col("h").alias(key)).agg(F.array_except(*sets).alias("gone_at"))
+    gone = scratch.write(gone.filter(F.size("gone_at") > 0), "gone").withColumnRenamed("gone_at", fresh(docs, "line_gone"))
     at = gone.columns[-1]
     scratch.drop("keys", "near", "fits")
 
@@ -127,13 +136,13 @@ def _grouped(scratch: Scratch, keys: DataFrame, near: DataFrame, words: DataFram
     member = scratch.write(held.select("leaf", "whole", F.explode(F.transform(groups, lambda g: F.xxhash64(g))).alias("group")), "members")
     lines = keys.select("doc_id", "h", "leaf", "whole").join(member, ["leaf", "whole"]).select("doc_id", "h", "leaf", "group").distinct()
     recur = lines.groupBy("leaf", "group").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= documents)
-    out = member.join(recur, ["leaf", "group"], "left_semi").select("leaf", "whole", F.lit(True).alias("exact"))
+    out = member.join(recur, ["leaf", "group"], "left_semi").select("leaf", "whole", F.lit(None).cast("long").alias("stays"))
     return scratch.write(out.distinct(), "grouped")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(spark, docs, verbatim=TEXTS, several=True)
+    return line_dedup(spark, docs, verbatim=True, several=True)
 
 
 OP3_SQL = r"""
@@ -153,7 +162,8 @@ WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM document
                FROM near p JOIN template f USING (n, a, b, c) JOIN fixed g USING (n, a, b, c) GROUP BY ALL),
      fits AS (SELECT * FROM agree WHERE 100 * k >= 80 * m),
      recur AS (SELECT n, a, b, c FROM fits GROUP BY n, a, b, c HAVING count(DISTINCT doc_id) >= 10),
-     exact AS (SELECT whole FROM parsed GROUP BY whole HAVING count(DISTINCT doc_id) >= 10),
+     exact AS (SELECT whole FROM parsed WHERE contains(whole, '<*>') GROUP BY whole HAVING count(DISTINCT doc_id) >= 10),
+     plain AS (SELECT whole, min(doc_id) AS first FROM parsed WHERE NOT contains(whole, '<*>') GROUP BY whole, n HAVING count(DISTINCT doc_id) >= greatest(2, least(10, ceil(100.0 / n)))),
      held AS (SELECT t.*, w.k FROM (SELECT n, a, b, c, whole, unnest(range(n)) AS i, unnest(words) AS word FROM (SELECT DISTINCT n, a, b, c, whole, words FROM near)) t
               JOIN words w USING (n, a, b, c, i, word) WHERE t.i >= 3 AND w.k >= 10),
      floors AS (SELECT n, a, b, c, whole, unnest(range(floor(log2(max(k) / 10) + 1e-9)::INT + 1)) AS l FROM held GROUP BY n, a, b, c, whole),
@@ -162,11 +172,12 @@ WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM document
      member AS (SELECT DISTINCT n, a, b, c, whole, g FROM kept_words),
      many AS (SELECT n, a, b, c, g FROM member JOIN parsed USING (n, a, b, c, whole) GROUP BY n, a, b, c, g HAVING count(DISTINCT doc_id) >= 10),
      several AS (SELECT DISTINCT whole FROM member JOIN many USING (n, a, b, c, g)),
-     short AS (SELECT own FROM worded WHERE len(words) < 3 GROUP BY own HAVING count(DISTINCT doc_id) >= 10),
-     long AS (SELECT own FROM worded JOIN documents USING (doc_id) WHERE len(words) > 50 GROUP BY own HAVING count(DISTINCT text) >= 2),
-     gone AS (SELECT doc_id, pos FROM fits JOIN recur USING (n, a, b, c) UNION SELECT doc_id, pos FROM parsed JOIN exact USING (whole)
-              UNION SELECT doc_id, pos FROM parsed JOIN several USING (whole) UNION SELECT doc_id, pos FROM worded JOIN short USING (own) WHERE len(words) < 3
-              UNION SELECT doc_id, pos FROM worded JOIN long USING (own) WHERE len(words) > 50),
+     standing AS (SELECT doc_id, pos, own, len(words) AS n FROM worded WHERE len(words) < 3 OR len(words) > 10 AND contains(whole, '<*>')),
+     as_is AS (SELECT own, min(doc_id) AS first FROM standing GROUP BY own, n HAVING count(DISTINCT doc_id) >= greatest(2, least(10, ceil(100.0 / n)))),
+     stays AS (SELECT doc_id, pos FROM parsed JOIN plain USING (whole) WHERE doc_id = first UNION SELECT doc_id, pos FROM standing JOIN as_is USING (own) WHERE doc_id = first),
+     found AS (SELECT doc_id, pos FROM fits JOIN recur USING (n, a, b, c) UNION SELECT doc_id, pos FROM parsed JOIN exact USING (whole) UNION SELECT doc_id, pos FROM parsed JOIN plain USING (whole)
+               UNION SELECT doc_id, pos FROM parsed JOIN several USING (whole) UNION SELECT doc_id, pos FROM standing JOIN as_is USING (own)),
+     gone AS (SELECT doc_id, pos FROM found EXCEPT SELECT doc_id, pos FROM stays),
      kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text
               FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped

@@ -346,17 +346,24 @@ def test_line_dedup_takes_odd_rows(spark):
     assert line_dedup.line_dedup(spark, frame(spark, [])).count() == 0
 
 
-def test_line_dedup_drops_short_and_long_lines_that_recur_verbatim(spark):
+def test_line_dedup_keeps_the_first_of_lines_that_recur_verbatim(spark):
     rng = random.Random(5)
-    passage, single = text_of(rng, 52), text_of(rng, 60)
-    rows = [(i, "\n".join(["Les.", "", f"page {i}", f"own line number{i} stays", *([passage] if i < 2 else []), *([single] if i == 5 else [])]), "en", "a", 1) for i in range(12)]
+    passage, single, ten = text_of(rng, 52), text_of(rng, 51), text_of(rng, 10)
+    digits = "in 1999 " + text_of(rng, 60)
+    rows = [(i, "\n".join(["Les.", "", f"page {i}", f"own line number{i} stays", *([passage] if i < 2 else []), *([single, digits] if i == 5 else [])]), "en", "a", 1) for i in range(12)]
     rows += [(20, single + "\nx", "en", "a", 1), (21, "alone " + text_of(rng, 60), "en", "a", 1), (22, "alone " + text_of(rng, 60), "en", "a", 1)]
-    rows += [(30, rows[13][1], "en", "a", 1)]  # a copy is the same text: its lines do not recur by that
-    got = {r.doc_id: r for r in line_dedup.line_dedup(spark, frame(spark, rows), verbatim=line_dedup.TEXTS).collect()}
-    assert all("Les." not in got[i].text and f"page {i}" in got[i].text and passage not in got[i].text and single not in got[i].text for i in range(12))
-    assert got[20].text == "x" and all(got[i].n_dropped == 0 for i in (21, 22, 30))
-    odd = line_dedup.line_dedup(spark, frame(spark, odd_rows()), verbatim=line_dedup.TEXTS).collect()
-    assert sorted(str(r.text) for r in odd) == sorted(str(r[1]) for r in odd_rows())
+    rows += [(None, digits + "\n" + single, "en", "a", 1)] + [(40 + i, ten, "en", "a", 1) for i in range(9)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark, frame(spark, rows), verbatim=True).collect()}
+    assert [i for i in range(12) if "Les." in got[i].text] == [0] and all(f"page {i}" in got[i].text for i in range(12))
+    assert passage in got[0].text and passage not in got[1].text and single in got[5].text and digits in got[5].text
+    assert got[20].text == "x" and all(got[i].n_dropped == 0 for i in (21, 22, *range(40, 49))) and got[None].n_dropped == 2
+    odd = line_dedup.line_dedup(spark, frame(spark, odd_rows()), verbatim=True).collect()
+    assert len(odd) == len(odd_rows())
+
+
+def test_line_floor_falls_without_a_jump(spark):
+    floors = [r[0] for r in spark.range(1, 80).select(line_dedup.floor_of(F.col("id"), 10)).collect()]
+    assert floors[:10] == [10] * 10 and floors[48:] == [3, *[2] * 30] and all(0 <= a - b <= 1 for a, b in zip(floors, floors[1:], strict=False))
 
 
 def test_line_dedup_finds_several_templates_in_a_leaf(spark):
