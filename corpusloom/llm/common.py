@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,8 +163,9 @@ def _hidden(docs: DataFrame) -> list[str]:
         return []
 
 
-def chosen(scratch: Scratch, at: DataFrame, file: str, row: str, marks: DataFrame, name: str, otherwise: int) -> DataFrame:
-    """The rows of at (docs located) as often as marks (file, row, n) say, and `otherwise` times where they don't, without file and row.
+def chosen(scratch: Scratch, at: DataFrame, file: str, row: str, marks: DataFrame, name: str, otherwise: int, then: tuple[Callable, str] | None = None) -> DataFrame:
+    """The rows of at (docs located) as often as marks (file, row, n) say, and `otherwise` times where they don't, without file
+    and row. then: what the same workers make of the rows, as for mapInArrow, and its columns.
 
     The marks of a file are an array in a folder of its own, and a task reads those of the files that it reads. So at any size
     the rows are read once more and never shuffled, and what a task holds of the decisions grows with its file alone.
@@ -178,7 +179,10 @@ def chosen(scratch: Scratch, at: DataFrame, file: str, row: str, marks: DataFram
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     columns = [c for c in at.columns if c not in (file, row)]
     kept = at.select(*(F.col(f"`{c}`") for c in columns), F.pmod(F.crc32(F.col(file)), F.lit(files)).cast("int"), file, row)
-    return kept.mapInArrow(_chosen(folder, otherwise), at.select(*(F.col(f"`{c}`") for c in columns)).schema)
+    first = _chosen(folder, otherwise)
+    if then:
+        return kept.mapInArrow(lambda batches: then[0](first(batches)), then[1])
+    return kept.mapInArrow(first, at.select(*(F.col(f"`{c}`") for c in columns)).schema)
 
 
 def _chosen(folder: str, otherwise: int):

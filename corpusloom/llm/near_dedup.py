@@ -358,8 +358,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, words: int = 5, percent: in
     wanted = scratch.write(wanted, "wanted", few)
     at, file, row = located(scratch, docs)
     marks = at.select(F.col("doc_id").cast("long").alias("id"), file, row).join(wanted, "id").select(file, row, F.lit(1).alias("n"))
-    read = chosen(scratch, at.select("doc_id", "text", file, row), file, row, marks, "marks", otherwise=0)
-    sets = read.select(F.col("doc_id").cast("long"), "text").mapInArrow(_full_sets(words), "id long, shingles binary")
+    read = at.select(F.col("doc_id").cast("long").alias("doc_id"), "text", file, row)
+    sets = chosen(scratch, read, file, row, marks, "marks", 0, (_full_sets(words), "id long, shingles binary"))
     sets = scratch.write(sets, "sets")
     full = {c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab"}
     found = likely.join(full["a"], "a").join(full["b"], "b").select("a", "b", "shingles_a", "shingles_b")
