@@ -87,6 +87,44 @@ def render_tagged_calls(spark, d):
     return out.select(F.col("id").alias("row_id"), "rendered.reason", F.element_at("rendered.messages", -1)["content"].alias("answer"))
 
 
+# Completions in every wrapper: JSON in tags that an argument holds too, a list with entries that are none, code, fences, bare
+
+
+def _wrapped() -> Column:
+    call = lambda name, value: _pieces('{"name": "', name, '", "arguments": {"n": ', "{doc_id}", ', "s": "', value, '"}}')
+    plain = call("find_x", "{source}")
+    spoken = _pieces("find.x(n=", "{doc_id}", ", s='", "{source}", "')")
+    said = [
+        _pieces("So:<tool_call>", call("find_x", "</tool_call> {"), "</tool_call> and <tool_call>\n", plain, "\n</tool_call>"),
+        _pieces("<|tool_call|> [", plain, ', {"name": 1}, "junk", ', plain, "]"),
+        _pieces("<tool_call>[", plain, ", {oops: ], ", "]</tool_call>"),
+        _pieces("<tool_call>[", plain, ", {oops}]</tool_call>"),
+        _pieces("<|tool_call_start|>[", spoken, ", other(**k), g(a=b), h()]<|tool_call_end|>"),
+        _pieces("[TOOL_CALLS] [", plain, "]"),
+        _pieces("Here:\n```json\n[", plain, "]\n```\nDone."),
+        _pieces("[", spoken, "]"),
+        _pieces("{'function': {'name': 'find_x', 'parameters': {'n': ", "{doc_id}", ", 's': '", "{source}", "'}}}"),
+        _pieces("find_x(n=", "{doc_id}", ")"),
+    ]
+    k, out = F.col("doc_id") % len(said), said[-1]
+    for i, one in enumerate(said[:-1]):
+        out = F.when(k == i, one).otherwise(out)
+    return out
+
+
+_CALL = """'{{"args": {{"n": ' || doc_id || ', "s": "' || {0} || '"}}, "name": "find{1}x"}}'"""
+_ONE, _DOT = _CALL.format("source", "_"), _CALL.format("source", ".")
+
+
+@query(f"""WITH c AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN {_CALL.format("'</tool_call> {'", "_")} || ', ' || {_ONE} WHEN 1 THEN {_ONE} || ', ' || {_ONE} WHEN 3 THEN {_ONE} WHEN 4 THEN {_DOT} || ', {{"args": {{}}, "name": "h"}}'
+  WHEN 5 THEN {_ONE} WHEN 6 THEN {_ONE} WHEN 7 THEN {_DOT} WHEN 8 THEN {_ONE} ELSE '' END AS c, CASE doc_id % 10 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 4 THEN 2 WHEN 9 THEN 0 ELSE 1 END::BIGINT AS n_calls FROM documents)
+SELECT doc_id, '[' || c || ']' AS calls, n_calls, doc_id % 10 IN (3, 5, 6, 8) AS correct FROM c""")
+def grade_wrapped_calls(spark, d):
+    truth = _pieces('[{"find_x": {"n": [', "{doc_id}", '], "s": ["', "{source}", '"]}}]')
+    docs = table(spark, d, "documents").select("doc_id", grade.graded_calls(F.lit("simple"), _wrapped(), truth).alias("v"))
+    return docs.select("doc_id", "v.calls", F.col("v.n_calls").cast("long").alias("n_calls"), "v.correct")
+
+
 # Questions on tables, instructions, code
 
 

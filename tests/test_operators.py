@@ -10,6 +10,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import calls as C
 from corpusloom.functions import parsing as P
 from corpusloom.functions import text as T
 from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, profile, ranks, render, sample, split, synth
@@ -136,10 +137,26 @@ def test_schemas_in_five_spellings():
 
 @pytest.mark.parametrize("said", [
     '<tool_call>{"name": "f", "arguments": {"a": 1}}</tool_call>', 'Sure:\n```json\n[{"name": "f", "arguments": {"a": 1}}]\n```', '{"function": {"name": "f", "arguments": "{\\"a\\": 1}"}}',
-    "[f(a=1)]", "<|tool_call_start|>[f(a=1)]<|tool_call_end|>", "{'name': 'f', 'args': {'a': 1}}",
+    "[f(a=1)]", "<|tool_call_start|>[f(a=1)]<|tool_call_end|>", "{'name': 'f', 'args': {'a': 1}}", '<|tool_call|> [{"name": "f", "parameters": {"a": 1}}]', "[TOOL_CALLS] [f(2, a=1)]",
+    '<function_call>{"name": "f", "args": {"a": 1}}</function_call>', '[{"name": "f", "arguments": {"a": 1}}, {"name": 3}, "junk"]', '<tool_call>[{"name": "f", "arguments": {"a": 1}}, {oops}]</tool_call>',
+    "<|tool_call_start|>f(a=1), g(b=x), h(**k)<|tool_call_end|>", '<tool_call>{"name": "f", "arguments": {"a": 1}}', '```\n{"name": "f", "arguments": {"a": 1}}\n``` and ```json\n{oops\n```',
 ])
 def test_calls_in_every_wrapper(said):
-    assert P.parse_calls(said) == [{"name": "f", "args": {"a": 1}}]
+    assert C.parse_calls(said) == [{"name": "f", "args": {"a": 1}}]
+
+
+@pytest.mark.parametrize("value", ["</tool_call>", "<tool_call>{", "}]", "a\"b", "it's", "\\", "<|tool_call_end|>"])
+def test_arguments_may_hold_what_ends_a_wrapper(value):
+    call = json.dumps({"name": "f", "arguments": {"a": value}})
+    want = [{"name": "f", "args": {"a": value}}]
+    for said in (f"<tool_call>{call}</tool_call> so", f"<|tool_call|>[{call}]", f"```json\n{call}\n```", call, f"<|tool_call_start|>[f(a={value!r})]<|tool_call_end|>"):
+        assert C.parse_calls(said) == want
+    assert C.parse_calls(f"<tool_call>{call}</tool_call>\n<|tool_call|>{call}") == want * 2
+
+
+@pytest.mark.parametrize("said", [None, "", "no call", "<tool_call>", "<tool_call></tool_call>", "[1, 2]", "{", "[f(a=1)", "f(a=1)", '{"name": "f", "arguments": "x"}', '{"name": "f", "arguments": null}', "[" * 5000, "[f(a=b)]"])
+def test_what_is_no_call(said):
+    assert C.parse_calls(said) == [] and C.calls_json(said) == "[]"
 
 
 def test_canonical_tools_keep_what_is_declared():
