@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.text import capped, normalize
 
@@ -111,6 +112,117 @@ def owned_hits(gram_rows: DataFrame, idx: DataFrame, keys: list[str]) -> DataFra
     return gram_rows.join(idx, "h").groupBy(*keys, "set", "item").agg(F.count(F.lit(1)).alias("n_windows"))
 
 
+class Held:
+    """An index of several named sets as a worker holds it: windows in order, each with an entry for every set that has it.
+
+    An entry names the set and the item that owns the window there, the set's first. Entries stand in order of the sets, so
+    that the first of a window is its owner among all sets; which sets a window is in is kept as bits beside it.
+    """
+
+    def __init__(self, h: np.ndarray, set_of: np.ndarray, item_of: np.ndarray, sets: list[str], items: list):
+        order = np.lexsort((set_of, h))
+        self.set_of, self.item_of, self.sets, self.items = set_of[order], item_of[order], sets, items
+        self.h, self.first = np.unique(h[order], return_index=True)
+        self.last = np.append(self.first[1:], len(h))
+        self.member = np.zeros((len(self.h), -(-max(len(sets), 1) // 64)), dtype=np.uint64)
+        window = np.repeat(np.arange(len(self.h)), self.last - self.first)
+        np.bitwise_or.at(self.member, (window, self.set_of // 64), np.uint64(1) << (self.set_of % 64).astype(np.uint64))
+
+    def found(self, windows: np.ndarray) -> np.ndarray:
+        """The numbers of the windows that the index has, repeats counted."""
+        if not len(self.h):
+            return np.empty(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.h, windows), len(self.h) - 1)
+        return at[self.h[at] == windows]
+
+    def sets_of(self, found: np.ndarray) -> list[str]:
+        """The sets that any of the windows is in."""
+        bits = np.bitwise_or.reduce(self.member[found], axis=0) if len(found) else np.zeros(self.member.shape[1], np.uint64)
+        return [name for i, name in enumerate(self.sets) if int(bits[i // 64]) >> (i % 64) & 1]
+
+    def owners(self, found: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """set, item, windows that the item owns in its set, and those of them that it owns among all sets."""
+        window, n = np.unique(found, return_counts=True)
+        size = self.last[window] - self.first[window]
+        entry = np.repeat(self.first[window], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        alone = np.repeat(n, size)
+        owned = np.where(entry == np.repeat(self.first[window], size), alone, 0)
+        pairs, at = np.unique(np.stack([self.set_of[entry], self.item_of[entry]]), axis=1, return_inverse=True)
+        sums = [np.bincount(at.ravel(), x, pairs.shape[1]).astype(np.int64).tolist() for x in (alone, owned)]
+        return list(zip(*pairs.tolist(), *sums, strict=True)) if pairs.size else []
+
+
+def held(idx: DataFrame, most: int | None = None) -> Held | None:
+    """The index as workers hold it; None where it has over `most` (HELD) entries. Entries are one per window and set."""
+    most = HELD if most is None else most
+    each = idx.groupBy("h", "set").agg(F.min("item").alias("item"))
+    rows = each.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return None
+    sets, items = sorted(set(rows["set"].to_pylist())), sorted(set(rows["item"].to_pylist()))
+    place = [{x: i for i, x in enumerate(own)} for own in (sets, items)]
+    codes = [np.array([own[x] for x in rows[c].to_pylist()], dtype=np.int64) for c, own in zip(("set", "item"), place, strict=True)]
+    return Held(rows["h"].to_numpy(), *codes, sets, items)
+
+
+def _attributed(known: Callable[[], Held], n: int, item: pa.DataType, by_item: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = known()
+        for whole in batches:
+            for at in range(0, max(whole.num_rows, 1), ROWS):
+                batch = whole.slice(at, ROWS)
+                row, out = [], []
+                for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    words = window_hashes((text or b"").split(), n)
+                    found = index.found(words)
+                    if not len(found):
+                        continue
+                    if by_item:
+                        own = [(index.sets[s], index.items[x], alone, owned) for s, x, alone, owned in index.owners(found)]
+                    else:
+                        own = [(index.sets_of(found), len(found), len(words))]
+                    row += [i] * len(own)
+                    out += own
+                kinds = (pa.string(), item, pa.int64(), pa.int64()) if by_item else (pa.list_(pa.string()), pa.int64(), pa.int64())
+                names = ("set", "item", "n_alone", "n_owned") if by_item else ("sets", "n_hits", "n_windows")
+                new = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
+                rows = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[:-1]), *new], [*batch.schema.names[:-1], *names])
+
+    return run
+
+
+def attributed(rows: DataFrame, keys: list[str], idx: DataFrame, by_item: bool = False, text: str = "text", n: int = N, most: int | None = None) -> DataFrame:
+    """Whom the windows of each row belong to, in one pass over whole texts; rows that share none are left out.
+
+    By row: sets (those hit, sorted), n_hits (windows hit, repeats counted) and n_windows. by_item: a row for each set and item
+    with n_alone, the windows that the item owns if its set were the only one, and n_owned, those that it owns among all sets
+    (the first set by name has a window, and in it the first item), which so add up to n_hits. The keys tell the rows apart.
+
+    The index goes to the workers up to `most` entries, and what leaves them is what is returned; a larger one is joined.
+    """
+    kept = held(idx, most)
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keys)
+    if kept is None:
+        return _joined(grams(rows, keys, text, n), keys, idx, by_item)
+    sent = rows.sparkSession.sparkContext.broadcast(kept)
+    item = idx.schema["item"].dataType
+    made = f"`set` string, item {item.simpleString()}, n_alone long, n_owned long" if by_item else "sets array<string>, n_hits long, n_windows long"
+    plain = rows.select(*keys, normalize(F.col(text)).cast("binary").alias("_text"))
+    return plain.mapInArrow(_attributed(lambda: sent.value, n, to_arrow_type(item), by_item), kinds + made)
+
+
+def _joined(windows: DataFrame, keys: list[str], idx: DataFrame, by_item: bool) -> DataFrame:
+    each = idx.groupBy("h", "set").agg(F.min("item").alias("item"))
+    entries = each.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("set", "item"))).alias("e"))  # an entry a set
+    met = windows.join(entries, "h")
+    if not by_item:
+        out = met.groupBy(*keys).agg(F.collect_set("e.set").alias("s"), F.count(F.lit(1)).alias("n_hits"), F.max("n_windows").alias("n_windows"))
+        return out.select(*keys, F.array_sort(F.array_distinct(F.flatten("s"))).alias("sets"), "n_hits", "n_windows")
+    each = met.select(*keys, F.posexplode("e").alias("k", "e"))
+    return each.groupBy(*keys, "e.set", "e.item").agg(F.count(F.lit(1)).alias("n_alone"), F.count(F.when(F.col("k") == 0, 1)).alias("n_owned"))
+
+
 def overlap_fraction(found: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct windows shared with the index over all windows of a row, of the rows that share any (found: probed)."""
     return found.groupBy(*keys).agg((F.count_distinct("h") / F.max("n_windows")).alias("fraction"), F.max("n_windows").alias("n_windows"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -55,15 +55,16 @@ def _doc_grams(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_INDEX}, {_DOCS} SELECT doc_id, count(*) AS n_hits FROM dg WHERE g IN (SELECT g FROM ix) GROUP BY doc_id")
 def contam_docs(spark, d):
-    return contamination.hits(_doc_grams(spark, d), _index(spark, d), ["doc_id"]).select("doc_id", "n_hits")
+    return contamination.attributed(table(spark, d, "documents"), ["doc_id"], _index(spark, d)).select("doc_id", "n_hits")
 
 
 @query(f"""WITH {_INDEX}, {_DOCS}, h AS (SELECT doc_id, count(*) AS n FROM dg WHERE g IN (SELECT g FROM ix) GROUP BY doc_id)
 SELECT lang, count(*) AS n_rows, count(h.n) AS n_hit, coalesce(sum(h.n), 0)::BIGINT AS n_windows FROM documents LEFT JOIN h USING (doc_id) GROUP BY lang""")
 def contam_by_lang(spark, d):
-    hit = contamination.hits(_doc_grams(spark, d), _index(spark, d), ["doc_id"])
-    rows = table(spark, d, "documents").select("doc_id", "lang").join(hit, "doc_id", "left")
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.count("n_hits").alias("n_hit"), F.coalesce(F.sum("n_hits"), F.lit(0)).alias("n_windows"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    hit = contamination.attributed(docs, ["lang"], _index(spark, d)).select("lang", "n_hits")
+    rows = docs.select("lang").withColumn("n_hits", F.lit(None).cast("long")).withColumn("n", F.lit(1)).unionByName(hit.withColumn("n", F.lit(0)))
+    return rows.groupBy("lang").agg(F.sum("n").alias("n_rows"), F.count("n_hits").alias("n_hit"), F.coalesce(F.sum("n_hits"), F.lit(0)).alias("n_windows"))
 
 
 @query(f"WITH {_INDEX}, n AS (SELECT item, count(*) AS k FROM own GROUP BY item) SELECT (SELECT count(DISTINCT g) FROM ix) AS n_grams, (SELECT count(*) FROM ix) AS n_entries, (SELECT count(DISTINCT item) FROM ix) AS n_items, (SELECT count(*) FROM n) AS n_owners")
@@ -75,7 +76,8 @@ def contam_index_stats(spark, d):
 
 @query(f"WITH {_INDEX}, {_DOCS} SELECT doc_id, item, count(*) AS n_windows FROM dg JOIN own USING (g) GROUP BY doc_id, item")
 def contam_owned_hits(spark, d):
-    return contamination.owned_hits(_doc_grams(spark, d), contamination.owned(_index(spark, d)), ["doc_id"]).drop("set")
+    out = contamination.attributed(table(spark, d, "documents"), ["doc_id"], _index(spark, d), by_item=True)
+    return out.select("doc_id", "item", F.col("n_owned").alias("n_windows"))
 
 
 @query(f"WITH {_INDEX}, {_DOCS}, p AS (SELECT DISTINCT item, doc_id FROM dg JOIN own USING (g)) SELECT item, count(*) AS n_rows, array_to_string(list_sort(list(doc_id)), ',') AS rows, 0::BIGINT AS n_unlisted FROM p GROUP BY item")
@@ -120,6 +122,39 @@ def contam_conv_sides(spark, d):
     return contamination.overlap_by_side(two, _index(spark, d), "conv_id", ["corpus"])
 
 
+# Several named sets of items: all, those of even number, every third. They share items, so windows have several owners.
+
+_SETS = {"all": "true", "even": "item_id % 2 = 0", "third": "item_id % 3 = 0"}
+_MANY = f"""b AS (SELECT item_id, g FROM {_grams('benchmark', 'item_id')}), sx AS (SELECT s AS "set", g, min(item_id) AS item FROM b, (VALUES ('all'), ('even'), ('third')) t(s)
+  WHERE s = 'all' OR s = 'even' AND item_id % 2 = 0 OR s = 'third' AND item_id % 3 = 0 GROUP BY s, g), so AS (SELECT g, min("set") AS first FROM sx GROUP BY g)"""
+
+
+def _named_sets(spark: SparkSession, d: str) -> DataFrame:
+    sets = F.array_compact(F.array(*(F.when(F.expr(rule), F.lit(name)) for name, rule in _SETS.items())))
+    return contamination.index(table(spark, d, "benchmark").withColumn("named", F.explode(sets)), set_name=F.col("named"))
+
+
+@query(f"""WITH {_MANY}, {_DOCS}, x AS (SELECT doc_id, g, pos FROM dg WHERE g IN (SELECT g FROM so)), n AS (SELECT doc_id, count(*) AS n_windows FROM dg GROUP BY doc_id)
+SELECT doc_id, (SELECT array_to_string(list_sort(list(DISTINCT "set")), ',') FROM x JOIN sx USING (g) WHERE x.doc_id = y.doc_id) AS sets, count(*) AS n_hits, any_value(n_windows) AS n_windows FROM x y JOIN n USING (doc_id) GROUP BY doc_id""")
+def contam_sets(spark, d):
+    out = contamination.attributed(table(spark, d, "documents"), ["doc_id"], _named_sets(spark, d))
+    return out.withColumn("sets", F.array_join("sets", ","))
+
+
+@query(f"""WITH {_MANY}, {_DOCS} SELECT doc_id, "set", item, count(*) AS n_alone, count(*) FILTER (WHERE "set" = first) AS n_owned FROM dg JOIN sx USING (g) JOIN so USING (g) GROUP BY doc_id, "set", item""")
+def contam_set_items(spark, d):
+    return contamination.attributed(table(spark, d, "documents"), ["doc_id"], _named_sets(spark, d), by_item=True)
+
+
+@query(f"""WITH {_MANY}, {_DOCS}, x AS (SELECT doc_id, "set", item, count(*) AS alone, count(*) FILTER (WHERE "set" = first) AS owned FROM dg JOIN sx USING (g) JOIN so USING (g) GROUP BY doc_id, "set", item)
+SELECT "set", count(DISTINCT doc_id) AS n_docs, count(DISTINCT item) AS n_items, sum(alone)::BIGINT AS n_alone, sum(owned)::BIGINT AS n_owned, (SELECT count(*) FROM dg WHERE g IN (SELECT g FROM so)) AS n_hits FROM x GROUP BY "set" """)
+def contam_per_set(spark, d):
+    """What each set owns if it were the only one, and among all: the latter add up to the windows hit."""
+    each = contam_set_items(spark, d)
+    out = each.groupBy("set").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("item").alias("n_items"), F.sum("n_alone").alias("n_alone"), F.sum("n_owned").alias("n_owned"))
+    return out.withColumn("n_hits", F.sum("n_owned").over(Window.partitionBy()))  # a row a set
+
+
 # Duplicates
 
 _KEY = f"md5({_norm()})"

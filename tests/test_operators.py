@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import itertools
 import json
 import math
@@ -168,6 +169,37 @@ def test_canonical_tools_keep_what_is_declared():
     assert tools[1]["parameters"]["properties"] == {"p": {"type": "integer"}}
 
 
+@pytest.mark.parametrize("most", [None, 3])
+@pytest.mark.parametrize("n_sets", [3, 70])
+def test_attribution_to_many_sets_matches_brute_force(spark, most, n_sets):
+    rng = random.Random(n_sets)
+    draw = lambda k: " ".join(rng.choice("abcde") for _ in range(k))
+    items = [(f"s{k:02}", i, draw(rng.randrange(1, 9))) for k in range(n_sets) for i in range(2)]
+    docs = [(i, draw(rng.randrange(0, 25))) for i in range(30)] + [(30, None), (31, "")]
+    three = lambda t: [tuple(w[i : i + 3]) for w in [(t or "").split()] for i in range(len(w) - 2)]
+    owner = {}
+    for s, i, t in sorted(items):
+        for g in three(t):
+            owner.setdefault(g, {}).setdefault(s, i)
+    idx = contamination.index(spark.createDataFrame(items, "named string, item_id long, text string"), set_name=F.col("named"), n=3)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.sets, r.n_hits, r.n_windows) for r in contamination.attributed(rows, ["doc_id"], idx, n=3, most=most).collect()}
+    want, each = {}, collections.Counter()
+    for i, t in docs:
+        hit = [g for g in three(t) if g in owner]
+        if hit:
+            want[i] = (sorted({s for g in hit for s in owner[g]}), len(hit), len(three(t)))
+        for g in hit:
+            for s, x in owner[g].items():
+                each[i, s, x, "alone"] += 1
+                each[i, s, x, "owned"] += s == min(owner[g])
+    assert got == want
+    told = contamination.attributed(rows, ["doc_id"], idx, by_item=True, n=3, most=most).collect()
+    assert {(r.doc_id, r.set, r.item): (r.n_alone, r.n_owned) for r in told} == {k[:3]: (each[*k[:3], "alone"], each[*k[:3], "owned"]) for k in each}
+    assert sum(r.n_owned for r in told) == sum(n for _, n, _ in want.values())
+    assert contamination.attributed(rows, ["doc_id"], idx.limit(0), n=3).count() == 0
+
+
 # Adapters and renderers
 
 
