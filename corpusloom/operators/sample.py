@@ -95,6 +95,52 @@ def calibrate(budget: float, shares: dict[str, float], stats: dict[str, dict[str
     return out
 
 
+#: What a role may be given: passes over its rows; what the others leave, by size; a dose in passes, off the top of the
+#: budget; a part of the budget, off the top as well.
+PASSES, FILL, DOSE, PART = "passes", "fill", "dose", "part"
+
+
+def allocate(avail: DataFrame, arms: DataFrame, rules: DataFrame) -> DataFrame:
+    """Tokens of each role in each arm: arm, role, tokens, share, repeats, priority (share of the arm), notes (sorted).
+
+    avail: role, tokens (one row a role; a role without one has none). arms: arm, budget (null: as much as the mix comes to)
+    and floor, the least share of the roles with passes in the mix. rules: arm, role, kind and amount.
+
+    The mix takes the PASSES roles so often as said, and FILL roles by their sizes until the floor would be broken or they are
+    used up. It is then scaled to what the doses leave of the budget; doses that exceed it are scaled to it, and the mix gets
+    nothing. A window holds the roles of one arm.
+    """
+    own = Window.partitionBy("arm")
+    of = lambda kind, x: F.when(F.col("kind") == kind, x).otherwise(0.0)
+    total = lambda x: F.sum(x).over(own)
+    known = avail.select("role", F.col("tokens").cast("double").alias("have"))
+    rows = rules.join(arms.select("arm", F.col("budget").cast("double").alias("budget"), "floor"), "arm").join(known, "role", "left").na.fill(0.0, ["have"])
+    rows = rows.withColumn("passes", F.col("have") * F.col("amount"))
+    rows = rows.withColumns({"want": total(of(PASSES, F.col("passes"))) * (1 / F.col("floor") - 1), "there": total(of(FILL, F.col("have")))})
+    filler = F.least("want", "there") * F.try_divide("have", "there")
+    rows = rows.withColumn("natural", of(PASSES, F.col("passes")) + of(FILL, F.coalesce(filler, F.lit(0.0))))
+    part = F.least(F.coalesce(F.col("budget"), F.lit(0.0)) * F.greatest(F.lit(0.0), F.col("amount")), F.col("have"))
+    rows = rows.withColumn("dose", of(DOSE, F.col("passes")) + of(PART, part))
+    rows = rows.withColumns({"mixed": total(F.col("natural")), "doses": total(F.col("dose"))})
+    room = F.col("budget") - F.col("doses")
+    over = F.coalesce(room <= 0, F.lit(False))
+    scale = F.when(F.col("budget").isNull(), 1.0).when(over, 0.0).otherwise(F.coalesce(F.try_divide(room, "mixed"), F.lit(0.0)))
+    tokens = F.col("natural") * scale + F.col("dose") * F.when(over, F.col("budget") / F.greatest(F.lit(1.0), "doses")).otherwise(1.0)
+    rows = rows.withColumns({"tokens": tokens, "over": over}).withColumn("all", total(F.col("tokens")))
+    first = F.col("kind").isin(PASSES, DOSE)
+    notes = {
+        "doses exceed the budget": F.col("over"),
+        "filler is used up": F.col("want") > F.col("there"),
+        "a part has no rows": F.max((F.col("kind") == PART) & (F.col("amount") > 0) & (F.col("have") == 0)).over(own),
+    }
+    said = F.array_sort(F.array_compact(F.array(*(F.when(on, F.lit(note)) for note, on in notes.items()))))
+    share = lambda x, whole: F.round(F.coalesce(F.try_divide(x, whole), F.lit(0.0)), 4)
+    return rows.select(
+        "arm", "role", "tokens", share(F.col("tokens"), F.col("all")).alias("share"), share(F.col("tokens"), F.col("have")).alias("repeats"),
+        share(total(F.when(first, F.col("tokens")).otherwise(0.0)), F.col("all")).alias("priority"), said.alias("notes"),
+    )
+
+
 def selected(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
     """The rows that chosen (keys, pos) names, as often as it names them, in its order."""
     return rows.join(chosen, keys).orderBy("pos")

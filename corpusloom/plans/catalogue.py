@@ -353,6 +353,35 @@ def mix_calibrate(spark, d):
     return means.select("lang", F.rint(1e6 * share / F.col("mean")).cast("long").alias("n_rows"))
 
 
+# Token budgets: languages as roles of a mix, two sources as a block that is dosed and one that is replayed, seven arms
+
+_ARM_ROWS = [("plain", 2e6, 0.5), ("no block", 2e6, 0.5), ("replay", 2e6, 0.5), ("no rows", 2e6, 0.5), ("tiny", 2e3, 0.5), ("open", None, 0.5), ("low floor", 2e6, 0.05)]
+_RULES = {"de": ("passes", 1.0), "es": ("passes", 3.0), "en": ("fill", 0.0), "fr": ("fill", 0.0), "src3": ("dose", 2.0), "src7": ("part", 0.0), "none": ("part", 0.0)}
+_CHANGED = {("no block", "src3"): 0.0, ("replay", "src7"): 0.05, ("no rows", "none"): 0.05, ("tiny", "src7"): 0.5}
+_RULE_ROWS = [(arm, role, kind, _CHANGED.get((arm, role), amount)) for arm, *_ in _ARM_ROWS for role, (kind, amount) in _RULES.items()]
+_VALUES = lambda rows: ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in r) + ")" for r in rows)
+_HAVE = "CASE WHEN source IN ('src3', 'src7') THEN source ELSE lang END"
+
+
+@query(f"""WITH a(arm, budget, floor) AS (VALUES {_VALUES(_ARM_ROWS)}), r(arm, role, kind, amount) AS (VALUES {_VALUES(_RULE_ROWS)}), h AS (SELECT {_HAVE} AS role, sum(n_chars)::DOUBLE AS have FROM documents GROUP BY 1),
+ x AS (SELECT r.*, budget, floor, coalesce(have, 0) AS have FROM r JOIN a USING (arm) LEFT JOIN h USING (role)),
+ p AS (SELECT arm, any_value(budget) AS budget, any_value(floor) AS floor, sum(have * amount) FILTER (WHERE kind = 'passes') AS priority, sum(have) FILTER (WHERE kind = 'fill') AS there, sum(have * amount) FILTER (WHERE kind = 'dose') AS block,
+   sum(least(coalesce(budget, 0) * amount, have)) FILTER (WHERE kind = 'part') AS replay, bool_or(kind = 'part' AND amount > 0 AND have = 0) AS missing FROM x GROUP BY arm),
+ q AS (SELECT *, priority / floor - priority AS want, least(priority / floor - priority, there) AS filler, block + replay AS doses FROM p),
+ t AS (SELECT x.arm, x.role, x.kind, x.have, q.want > q.there AS used, q.missing, coalesce(q.budget <= doses, false) AS over,
+   CASE kind WHEN 'passes' THEN x.have * amount WHEN 'fill' THEN filler * x.have / there ELSE 0 END * CASE WHEN q.budget IS NULL THEN 1 WHEN q.budget <= doses THEN 0 ELSE (q.budget - doses) / (priority + filler) END
+   + CASE kind WHEN 'dose' THEN x.have * amount WHEN 'part' THEN least(coalesce(q.budget, 0) * amount, x.have) ELSE 0 END * CASE WHEN q.budget <= doses THEN q.budget / greatest(1, doses) ELSE 1 END AS tokens FROM x JOIN q USING (arm)),
+ s AS (SELECT arm, sum(tokens) AS every, sum(tokens) FILTER (WHERE kind IN ('passes', 'dose')) AS first FROM t GROUP BY arm)
+SELECT arm, role, round(tokens)::BIGINT AS tokens, round(tokens / every, 4) AS share, CASE WHEN have > 0 THEN round(tokens / have, 4) ELSE 0 END AS repeats, round(first / every, 4) AS priority,
+ concat_ws(', ', CASE WHEN missing THEN 'a part has no rows' END, CASE WHEN over THEN 'doses exceed the budget' END, CASE WHEN used THEN 'filler is used up' END) AS notes FROM t JOIN s USING (arm)""")
+def mix_budget(spark, d):
+    role = F.when(F.col("source").isin("src3", "src7"), F.col("source")).otherwise(F.col("lang"))
+    avail = table(spark, d, "documents").groupBy(role.alias("role")).agg(F.sum("n_chars").alias("tokens"))
+    arms = spark.createDataFrame(_ARM_ROWS, "arm string, budget double, floor double")
+    out = sample.allocate(avail, arms, spark.createDataFrame(_RULE_ROWS, "arm string, role string, kind string, amount double"))
+    return out.withColumn("tokens", F.round("tokens").cast("long")).withColumn("notes", F.array_join("notes", ", "))
+
+
 # Comparison: two arms per labelled document (good, and not toxic), grouped by language
 
 _ARMS = "arms AS (SELECT doc_id, lang, source, n_chars, quality AS ref, 1 - toxic AS cand, least(n_chars / 20000.0, 1.0) AS score FROM documents JOIN labels USING (doc_id))"

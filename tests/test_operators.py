@@ -200,6 +200,23 @@ def test_attribution_to_many_sets_matches_brute_force(spark, most, n_sets):
     assert contamination.attributed(rows, ["doc_id"], idx.limit(0), n=3).count() == 0
 
 
+def test_budgets_meet_their_doses_and_floors(spark):
+    avail = spark.createDataFrame([("tool", 1000), ("struct", 100), ("sql", 3000), ("code", 6000), ("block", 50), ("old", 10_000)], "role string, tokens long")
+    kinds = {"tool": (sample.PASSES, 1.0), "struct": (sample.PASSES, 3.0), "sql": (sample.FILL, 0.0), "code": (sample.FILL, 0.0), "block": (sample.DOSE, 2.0), "old": (sample.PART, 0.0)}
+    arms = {"a": (5000.0, {}), "b": (5000.0, {"block": 0.0}), "c": (5000.0, {"old": 0.1}), "d": (80.0, {}), "e": (None, {}), "f": (None, {"tool": 20.0}), "g": (1e6, {"old": 0.5})}
+    rules = [(arm, role, kind, own.get(role, amount)) for arm, (_, own) in arms.items() for role, (kind, amount) in kinds.items()]
+    told = sample.allocate(avail, spark.createDataFrame([(a, b, 0.5) for a, (b, _) in arms.items()], "arm string, budget double, floor double"), spark.createDataFrame(rules, "arm string, role string, kind string, amount double")).collect()
+    got = {(r.arm, r.role): r for r in told}
+    for arm, (budget, _) in arms.items():
+        if budget:
+            assert sum(r.tokens for r in told if r.arm == arm) == pytest.approx(budget)
+    assert got["a", "block"].repeats == 2.0 and got["b", "block"].tokens == 0 and got["b", "tool"].tokens > got["a", "tool"].tokens
+    assert got["c", "old"].tokens == 500 and got["d", "block"].tokens == 80 and got["d", "tool"].tokens == 0 and got["d", "tool"].notes == ["doses exceed the budget"]
+    assert got["e", "tool"].tokens == 1000 and got["e", "sql"].tokens == pytest.approx(1300 / 3) and got["e", "code"].tokens == 2 * got["e", "sql"].tokens
+    assert got["f", "sql"].tokens == 3000 and got["f", "sql"].notes == ["filler is used up"] and got["f", "tool"].priority > 0.5 and got["g", "old"].tokens == 10_000
+    assert not got["a", "tool"].notes and sample.allocate(avail.limit(0), spark.createDataFrame([("a", 9.0, 0.5)], "arm string, budget double, floor double"), spark.createDataFrame(rules[:6], "arm string, role string, kind string, amount double")).filter("tokens <> 0").count() == 0
+
+
 # Adapters and renderers
 
 
