@@ -40,11 +40,11 @@ LEAST, LONGEST, MOST = 100, 5, 2000
 #: Cells of the filter, and of a part of it that is summed by itself.
 BUCKETS, CELLS = 1 << 22, 1 << 16
 #: Keys of a shard, about; shards that a worker remembers.
-SHARD, REMEMBERED = 25_000, 64
+SHARD, REMEMBERED = 25_000, 16
 #: Word numbers in a row of the encoded table, about.
 ROW = 1 << 15
 #: Distinct words that a task counts or remembers, and windows that it gathers, before it hands them on, about.
-WORDS, WINDOWS = 100_000, 500_000
+WORDS, WINDOWS = 60_000, 300_000
 #: Arrays that one step of the tree adds up.
 FAN = 32
 NO_LANG = "und"
@@ -197,8 +197,9 @@ def _encoded(folder: str, shards: int):
             parts = []
             for lang, words in texts.items():
                 own = known[lang]
-                if len(own) > WORDS:
-                    own.clear()
+                if sum(map(len, known.values())) > WORDS:
+                    for others in known.values():
+                        others.clear()
                 own[_END] = -1
                 new = sorted(set(words) - own.keys())
                 own.update(zip(new, store.words(lang, new), strict=True))
@@ -213,8 +214,10 @@ def _encoded(folder: str, shards: int):
 
 
 def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for words, slots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        yield np.frombuffer(words, dtype="<i4"), np.frombuffer(slots, dtype="<i4")
+    """Word numbers and slots of each row; of single words, which have no column of their own, the slots are the numbers."""
+    for i in range(batch.num_rows):
+        own = [np.frombuffer(c[i].as_buffer(), dtype="<i4") for c in batch.columns]
+        yield own[0], own[-1]
 
 
 def windows(words: np.ndarray, slots: np.ndarray, k: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -404,7 +407,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longe
         raise ValueError("more frequent words than word numbers")
     found = words.select("shard", "langs", "words", "f").mapInArrow(_rows_of_words(shards), "slot long, lang string, phrase string, f long")
     first = scratch.write(found.select("*", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")), "phrases1")
-    table = scratch.write(texts.mapInArrow(_encoded(folder, shards), "words binary"), "table1").select("words", F.col("words").alias("slots"))
+    table = scratch.write(texts.mapInArrow(_encoded(folder, shards), "words binary"), "table1")
 
     levels = [first]
     for k in range(2, longest + 1):
