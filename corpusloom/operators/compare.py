@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 from bisect import bisect_left
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ranks import running
+from corpusloom.operators.tails import exact_two_sided
 
 
 def occurrence(rows: DataFrame, item: str, order: str, first: bool = False) -> DataFrame:
@@ -39,18 +39,6 @@ def paired(ref: Column, cand: Column) -> list[Column]:
     return [count(c < r).alias("n_minus"), count(c == r).alias("n_zero"), count(c > r).alias("n_plus"), F.count(F.lit(1)).alias("n")]
 
 
-def exact_two_sided(minus: Column, plus: Column) -> Column:
-    """McNemar's exact p-value, which is the sign test's: twice the binomial tail of the smaller count, 1 at most."""
-    n, k = minus + plus, F.least(minus, plus)
-    # The terms of the tail by their logarithms: log C(n, i) is the sum of log((n - j + 1) / j) for j up to i.
-    start = F.struct((-n * math.log(2)).cast("double").alias("t"), F.lit(0.0).alias("s"))
-    step = lambda acc, i: F.struct(
-        (acc["t"] + F.log((n - i) / (i + 1.0))).alias("t"), (acc["s"] + F.exp(acc["t"])).alias("s")
-    )
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), start, step)["s"]
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
-
-
 def holm(rows: DataFrame, p: str, family: list[str], tie: str) -> DataFrame:
     """rows with p_holm: step-down over each family, which is a table of comparisons and small by nature."""
     w = Window.partitionBy(*(family or [F.lit(0)]))
@@ -160,27 +148,57 @@ def stratum_blocks(items: DataFrame, stratum: str, base: str, tuned: str) -> Dat
     return out.withColumn("sign_p", exact_two_sided(F.col("n_down"), F.col("n_up")))
 
 
-def bootstrap(minus: Column, zero: Column, plus: Column, key: Column, rounds: int = 10_000, level: float = 0.95) -> Column:
-    """Struct (mean, low, high): the mean difference of paired verdicts and its percentile bootstrap interval.
+#: Variance of a binomial from which a draw is a rounded normal one, and the counts that are looked at below it.
+NORMAL, COUNTS = 9.0, 80
+
+
+def uniform(*parts: Column | str | int) -> Column:
+    """A number between 0 and 1, both left out, that is the same wherever and whenever these parts are drawn."""
+    named = F.md5(F.concat_ws("|", *(F.lit(p) if isinstance(p, (str, int)) else p.cast("string") for p in parts)))
+    return (F.conv(F.substring(named, 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+
 
-    A resample of n items is one multinomial draw of the three counts, so its cost does not depend on n; the draws of a
-    row are seeded by its key and do not depend on other rows.
+def binomial(n: Column, p: Column, *stream: Column | str | int) -> Column:
+    """A binomial draw, as a double: a normal one, rounded half to even and kept within 0 and n, from variance NORMAL on, and below it
+    the count at which the distribution function passes a uniform number, exact but for counts beyond COUNTS of the rarer side.
     """
+    variance = n * p * (1 - p)
+    angle = F.sqrt(-2 * F.log(uniform(*stream, "r"))) * F.cos(2 * math.pi * uniform(*stream, "a"))
+    normal = F.greatest(F.lit(0.0), F.least(n.cast("double"), F.rint(n * p + F.sqrt(variance) * angle)))
+    rare = F.least(p, 1 - p)
+    none = F.exp(n * F.log1p(-rare))
+    start = F.struct(none.alias("mass"), none.alias("below"), F.lit(0.0).alias("x"), uniform(*stream, "u").alias("u"))  # drawn once
 
-    @F.pandas_udf("mean double, low double, high double")
-    def interval(minus: pd.Series, zero: pd.Series, plus: pd.Series, key: pd.Series) -> pd.DataFrame:
-        out = []
-        for m, z, p, k in zip(minus, zero, plus, key, strict=True):
-            n = m + z + p
-            if not n:
-                out.append((0.0, 0.0, 0.0))
-                continue
-            draws = np.random.default_rng(zlib.crc32(str(k).encode())).multinomial(n, [m / n, z / n, p / n], rounds)
-            low, high = np.quantile((draws[:, 2] - draws[:, 0]) / n, [(1 - level) / 2, (1 + level) / 2])
-            out.append(((p - m) / n, low, high))
-        return pd.DataFrame(out, columns=["mean", "low", "high"])
-
-    return interval(minus, zero, plus, key.cast("string"))
+    def step(acc: Column, i: Column) -> Column:
+        mass = acc["mass"] * (n - i + 1) / i * rare / (1 - rare)
+        return F.struct(mass.alias("mass"), (acc["below"] + mass).alias("below"), (acc["x"] + (acc["below"] < acc["u"]).cast("double")).alias("x"), acc["u"].alias("u"))
+
+    found = F.least(n.cast("double"), F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(COUNTS)), lambda i: i.cast("double")), start, step)["x"])
+    small = F.when(p <= 0.5, found).otherwise(n - found)
+    return F.when((n <= 0) | (p <= 0), 0.0).when(p >= 1, n.cast("double")).when(variance >= NORMAL, normal).otherwise(small)
+
+
+def bootstrap(cells: DataFrame, key: str, rounds: int = 10_000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """key, mean, low, high of cells (key, n_minus, n_zero, n_plus): the mean difference of paired verdicts and its percentile
+    bootstrap interval; all 0 where there are no items.
+
+    A resample of n items is two chained binomial draws, the losses of all and the gains of what is left, so its cost does not
+    depend on n. Draws are hashes of the key, the round and the seed, the same in SQL, and rounds are rows, so that the tasks
+    share them; a window holds the rounds of one cell.
+    """
+    n = F.col("n_minus") + F.col("n_zero") + F.col("n_plus")
+    rows = cells.select(F.col(key), *(F.col(c).cast("double").alias(c) for c in ("n_minus", "n_zero", "n_plus"))).withColumn("n", n)
+    drawn = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).repartition(key, F.col("round") % 64)
+    lost = F.coalesce(F.try_divide("n_minus", "n"), F.lit(0.0))
+    drawn = drawn.withColumn("minus", binomial(F.col("n"), lost, seed, F.col(key), F.col("round"), "minus"))
+    rest = F.when(lost >= 1, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide("n_plus", "n"), F.lit(0.0)) / (1 - lost)))
+    drawn = drawn.withColumn("plus", binomial(F.col("n") - F.col("minus"), rest, seed, F.col(key), F.col("round"), "plus"))
+    drawn = drawn.select(key, "n_minus", "n_plus", "n", "round", F.coalesce(F.try_divide(F.col("plus") - F.col("minus"), F.col("n")), F.lit(0.0)).alias("d"))
+    at = F.row_number().over(Window.partitionBy(key).orderBy("d", "round")) - 1
+    low, high = int((1 - level) / 2 * rounds), min(rounds - 1, int((1 + level) / 2 * rounds))
+    mean = F.coalesce(F.try_divide(F.col("n_plus") - F.col("n_minus"), F.col("n")), F.lit(0.0))
+    ends = [F.max(F.when(F.col("at") == i, F.col("d"))).alias(name) for i, name in ((low, "low"), (high, "high"))]
+    return drawn.withColumn("at", at).groupBy(key).agg(F.first(mean).alias("mean"), *ends)
 
 
 def permutation(rows: DataFrame, value: str, first: Column, by: str, rounds: int = 10_000, seed: int = 0) -> DataFrame:

@@ -123,14 +123,30 @@ def stratum_blocks(spark, d):
     return out.select(F.coalesce("lang", F.lit("all")).alias("lang"), "n", "n_up", "n_down", "n_tied", *nine)
 
 
-@query(f"WITH {_ARMS}, c AS (SELECT lang, {_PAIRED} FROM arms GROUP BY lang) SELECT lang, round((n_plus - n_minus) / n, 12) AS mean, true AS holds_mean, true AS as_wide_as_normal FROM c")
+_UNIFORM = "((('0x' || substr(md5(concat_ws('|', 0, lang, round, '{0}', '{1}')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+def _binomial(n: str, p: str, name: str) -> str:
+    """The draw as SQL: n and p are columns."""
+    rare = f"least({p}, 1 - {p})"
+    start = f"{{'mass': exp({n} * ln(1 - {rare})), 'below': exp({n} * ln(1 - {rare})), 'x': 0.0::DOUBLE, 'i': 0.0::DOUBLE}}"
+    mass = f"a.mass * ({n} - b.i + 1) / b.i * {rare} / (1 - {rare})"
+    steps = f"list_reduce(list_prepend({start}, [{{'mass': 0.0::DOUBLE, 'below': 0.0::DOUBLE, 'x': 0.0::DOUBLE, 'i': i::DOUBLE}} FOR i IN range(1, 81)]), lambda a, b: {{'mass': {mass}, 'below': a.below + {mass}, 'x': a.x + (a.below < {_UNIFORM.format(name, 'u')})::INT, 'i': b.i}})"
+    normal = f"greatest(0, least({n}, round_even({n} * {p} + sqrt({n} * {p} * (1 - {p})) * sqrt(-2 * ln({_UNIFORM.format(name, 'r')})) * cos(2 * pi() * {_UNIFORM.format(name, 'a')}), 0)))"
+    small = f"least({n}, ({steps}).x)"
+    return f"CASE WHEN {n} <= 0 OR {p} <= 0 THEN 0 WHEN {p} >= 1 THEN {n} WHEN {n} * {p} * (1 - {p}) >= 9 THEN {normal} WHEN {p} <= 0.5 THEN {small} ELSE {n} - {small} END"
+
+
+@query(f"""WITH {_ARMS}, c AS (SELECT lang, {_PAIRED} FROM arms GROUP BY lang UNION ALL SELECT source, {_PAIRED} FROM arms GROUP BY source),
+ r AS (SELECT lang, n::DOUBLE AS n, n_minus / n AS p, n_plus / n AS q, unnest(range(1000)) AS round FROM c), x AS (SELECT *, {_binomial('n', 'p', 'minus')}::DOUBLE AS m FROM r),
+ y AS (SELECT *, n - m AS rest, CASE WHEN p >= 1 THEN 0 ELSE least(1, q / (1 - p)) END AS pr FROM x), z AS (SELECT *, ({_binomial('rest', 'pr', 'plus')}::DOUBLE - m) / n AS d FROM y),
+ k AS (SELECT lang, d, row_number() OVER (PARTITION BY lang ORDER BY d, round) - 1 AS at FROM z)
+SELECT lang, round((n_plus - n_minus) / n, 12) AS mean, (SELECT round(d, 12) FROM k WHERE k.lang = c.lang AND at = 25) AS low, (SELECT round(d, 12) FROM k WHERE k.lang = c.lang AND at = 975) AS high FROM c""".replace(" AS at ", " AS pos ").replace("AND at =", "AND pos ="))
 def bootstrap_intervals(spark, d):
-    cells = _arms(spark, d).groupBy("lang").agg(*compare.paired(F.col("ref"), F.col("cand")))
-    out = cells.withColumn("v", compare.bootstrap(F.col("n_minus"), F.col("n_zero"), F.col("n_plus"), F.col("lang"))).select("*", "v.*")
-    p = (F.col("n_plus") + F.col("n_minus")) / F.col("n")
-    wide = 2 * 1.96 * F.sqrt((p - F.col("mean") ** 2) / F.col("n"))
-    normal = F.abs((F.col("high") - F.col("low")) - wide) <= 0.1 * wide + 1.5 / F.col("n")
-    return out.select("lang", F.round("mean", 12).alias("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("holds_mean"), normal.alias("as_wide_as_normal"))
+    arms = _arms(spark, d)
+    cells = arms.groupBy("lang").agg(*compare.paired(F.col("ref"), F.col("cand")))
+    cells = cells.unionByName(arms.groupBy(F.col("source").alias("lang")).agg(*compare.paired(F.col("ref"), F.col("cand"))))
+    return compare.bootstrap(cells, "lang", rounds=1000).select("lang", *(F.round(c, 12).alias(c) for c in ("mean", "low", "high")))
 
 
 @query(f"""WITH {_ARMS}, m AS (SELECT lang, count(*) FILTER (WHERE ref = 1) AS n_a, count(*) FILTER (WHERE ref = 0) AS n_b, avg(cand) FILTER (WHERE ref = 1) AS a, avg(cand) FILTER (WHERE ref = 0) AS b FROM arms GROUP BY lang)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import calls as C
 from corpusloom.functions import parsing as P
 from corpusloom.functions import text as T
-from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, profile, ranks, render, sample, split, synth
+from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, profile, ranks, render, sample, split, synth, tails
 from corpusloom.sources import readers
 from corpusloom.streaming import events
 
@@ -373,6 +373,25 @@ def test_auroc(spark, pos, neg, want):
     assert compare.auroc(rows, "s", F.col("y")).first().auroc == want
 
 
+@pytest.mark.parametrize("n, p", [(5, 0.3), (40, 0.9), (300, 0.01), (1000, 0.4), (0, 0.5), (7, 0.0), (7, 1.0)])
+def test_binomial_draws_have_their_moments(spark, n, p):
+    draws = [r[0] for r in spark.range(4000).select(compare.binomial(F.lit(n), F.lit(float(p)), 1, F.col("id"))).collect()]
+    mean, var = sum(draws) / 4000, n * p * (1 - p)
+    assert abs(mean - n * p) <= 5 * math.sqrt(var / 4000) and 0 <= min(draws) and max(draws) <= n
+    assert var == 0 or abs(sum((x - mean) ** 2 for x in draws) / 4000 / var - 1) < 0.15
+
+
+def test_tails_are_exact_at_any_count(spark):
+    for n in [*range(40), 200, 999, 3001]:
+        for k in range(0, n // 2 + 1, max(1, n // 30)):
+            want = min(1.0, float(2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)) if n else 1.0
+            assert tails.two_sided([k], [n - k])[0] == pytest.approx(want, rel=1e-11)
+    huge = tails.two_sided([499_990_000, 0, 5 * 10**8], [500_010_000, 10**9, 5 * 10**8])
+    assert huge[0] == pytest.approx(math.erfc((10_000 - 0.5) / math.sqrt(1e9) * math.sqrt(2)), rel=1e-6) and huge[1] == 0 and huge[2] == 1
+    got = spark.createDataFrame([(3, 9), (None, 1), (0, 0)], "a long, b long").select(tails.exact_two_sided(F.col("a"), F.col("b")).alias("p")).collect()
+    assert got[0].p == pytest.approx(2 * sum(math.comb(12, i) for i in range(4)) / 2**12) and got[1].p is None and got[2].p == 1
+
+
 def test_calibration_and_macro(spark):
     assert compare.ece(spark.createDataFrame([(0.0, False), (0.0, False), (1.0, True), (1.0, True)], "s double, y boolean"), "s", F.col("y")).first().ece == 0
     rows = [("simple", 1, 0), ("simple", 1, 0)] + [("live", 0, 1)] * 3 + [("live", 1, 1)] * 5
@@ -381,11 +400,12 @@ def test_calibration_and_macro(spark):
 
 
 def test_bootstrap_and_permutation(spark):
-    cells = spark.createDataFrame([("a", 40, 900, 60), ("b", 0, 0, 0), ("c", 4, 90, 6)], "k string, m long, z long, p long")
-    wide, narrow = ({r.k: r.v for r in cells.select("k", compare.bootstrap(F.col("m"), F.col("z"), F.col("p"), F.col("k"), level=x).alias("v")).collect()} for x in (0.95, 0.8))
+    cells = spark.createDataFrame([("a", 40, 900, 60), ("b", 0, 0, 0), ("c", 4, 90, 6), ("d", 5, 0, 0)], "k string, n_minus long, n_zero long, n_plus long")
+    wide, narrow = ({r.k: r for r in compare.bootstrap(cells, "k", level=x).collect()} for x in (0.95, 0.8))
     se = math.sqrt(0.1 - 0.02**2) / math.sqrt(1000)
-    assert abs((wide["a"].high - wide["a"].low) / 2 / (1.96 * se) - 1) < 0.1 and wide["a"].mean == 0.02 and tuple(wide["b"]) == (0, 0, 0)
-    assert wide["a"].low < narrow["a"].low < narrow["a"].high < wide["a"].high
+    assert abs((wide["a"].high - wide["a"].low) / 2 / (1.96 * se) - 1) < 0.1 and wide["a"].mean == 0.02 and wide["b"][1:] == (0, 0, 0) and wide["d"][1:] == (-1, -1, -1)
+    assert wide["a"].low < narrow["a"].low < narrow["a"].high < wide["a"].high and wide["c"].low < 0.02 < wide["c"].high
+    assert compare.bootstrap(cells, "k").orderBy("k").collect() == compare.bootstrap(cells.repartition(3), "k").orderBy("k").collect()
     rows = [("sure", x, x == 1.0) for x in [1.0] * 8 + [0.0] * 8] + [("even", float(i % 5), i < 10) for i in range(20)] + [("one", 1.0, True)]
     got = {r.g: r for r in compare.permutation(spark.createDataFrame(rows, "g string, v double, a boolean"), "v", F.col("a"), "g").collect()}
     assert got["sure"].p < 0.01 and got["even"].p == 1 and got["one"].p == 1 and (got["sure"].n_a, got["sure"].diff) == (8, 1)
