@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,18 +57,40 @@ def number_path(payload: Any) -> tuple | None:
     return max(numbers, key=len) if numbers else found[0][0] if found else None
 
 
+#: Characters of a text leaf that an answer would quote, and of one that can stand for a whole return.
+QUOTED, TELLING = 4, 6
+
+
 def spellings(value: Any) -> list[str]:
-    if value is None or isinstance(value, bool):
+    """How an answer would write a leaf: numbers shortest, whole ones from 1,000 on with separators too; texts as they are."""
+    if isinstance(value, str):
+        own = value.strip()
+        return [own] if len(own) >= QUOTED else []
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
         return []
-    out = [str(value)]
-    if isinstance(value, float) and value.is_integer():
-        out.append(str(int(value)))
-    return out
+    plain = f"{value:g}" if isinstance(value, float) else str(value)
+    return [plain, f"{value:,}"] if isinstance(value, int) and abs(value) >= 1000 else [plain]
+
 
+def headline(payload: Any) -> tuple[tuple | None, list[str]]:
+    """The leaf that a right answer quotes, and its spellings: the deepest number, or else the longest telling text; of
+    several the first."""
 
-def identifying(text: str) -> bool:
-    """Four characters or more, or three digits at least: less may occur in any prose."""
-    return len(text) >= 4 or sum(c.isdigit() for c in text) >= 3
+    def rank(path: tuple, value: Any) -> tuple[int, int]:
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return 2, len(path)
+        return (1, len(value.strip())) if isinstance(value, str) and len(value.strip()) >= TELLING else (0, 0)
+
+    path, value = max(leaves(payload), key=lambda leaf: rank(*leaf), default=((), None))
+    return (path, spellings(value)) if rank(path, value)[0] else (None, [])
+
+
+def identifying(text: str | None) -> bool:
+    """Four characters at least, and if they write a number, three digits: less occurs in any prose."""
+    own = (text or "").strip()
+    digits = sum(c.isdigit() for c in own)
+    number = digits > 0 and digits + sum(c in ".-+" for c in own) == len(own)
+    return len(own) >= QUOTED and (not number or digits >= 3)
 
 
 def missing_leaves(payload: Any, shown: str, most: int = 12) -> list[str]:
@@ -178,12 +201,40 @@ def twins(rows: DataFrame, bad: Column, clean: Column) -> DataFrame:
 
 
 def usable_returns(turns: DataFrame, key: str, order: str) -> DataFrame:
-    """The first tool return of each conversation that is a JSON object and is answered in words: key, order, text."""
+    """The first tool return of each conversation that is a JSON object with a headline and is answered in words: key, order, text."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy(order)
     said = turns.withColumn("_role", F.lead("role").over(w)).withColumn("_text", F.lead("text").over(w))
     body = F.regexp_replace("text", r"</?tool_response>", "")
     good = said.filter((F.col("role") == "tool") & F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False)))
-    good = good.filter((F.col("_role") == "assistant") & (F.trim("_text") != "") & ~F.contains("_text", F.lit("<tool_call>")))
+    good = good.filter((F.col("_role") == "assistant") & (F.trim("_text") != "") & ~F.contains("_text", F.lit("<tool_call>"))).withColumn("_headline", headlines(body))
+    good = good.filter(F.col("_headline.path").isNotNull())
     return good.groupBy(key).agg(F.min(F.struct(order, body.alias("text"))).alias("_f")).select(key, "_f.*")
+
+
+def _told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        rows = []
+        for text in texts:
+            try:
+                path, own = headline(P.loads(text))
+            except RecursionError:
+                path, own = None, []
+            rows.append((None if path is None else ".".join(map(str, path)), own))
+        yield pd.DataFrame(rows, columns=["path", "spellings"])
+
+
+def headlines(payload: Column) -> Column:
+    """Struct (path, spellings) on the headline of a return in JSON; path is null where it has none."""
+    return F.pandas_udf(_told, "path string, spellings array<string>")(payload)
+
+
+def unquotable(payload: Column, shown: Column) -> Column:
+    """The identifying leaves of a return in JSON that a text no longer shows."""
+
+    @F.pandas_udf("array<string>")
+    def missing(payload: pd.Series, shown: pd.Series) -> pd.Series:
+        return pd.Series([missing_leaves(P.loads(p), s or "") for p, s in zip(payload, shown, strict=True)], dtype=object)
+
+    return missing(payload, shown)

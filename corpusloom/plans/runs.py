@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import checks, compare, flags, grade, instructions, render, sample, split, synth
+from corpusloom.operators import checks, compare, flags, grade, instructions, mask, render, sample, split, synth
 from corpusloom.plans.catalogue import _ARMS, _MCNEMAR, _PAIRED, _RANK, _arms, query
 from corpusloom.sources import readers
 from corpusloom.sources.readers import table
@@ -276,17 +276,46 @@ def synth_twins(spark, d):
     return synth.twins(_docs(spark, d).select("doc_id", "lang", "source"), F.concat(F.lit("bad "), "lang"), F.concat(F.lit("good "), "source")).select("doc_id", "arm", "messages")
 
 
-@query("""WITH t AS (SELECT doc_id // 4 AS conv, doc_id AS turn, doc_id % 3 AS k, lead(doc_id % 4 = 1 OR text LIKE '% the %') OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS answered, lead(doc_id) OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS next, source FROM documents)
-SELECT conv, arg_min(turn, turn) AS turn, arg_min('{"s": "' || source || '"}', turn) AS text FROM t WHERE k = 0 AND answered AND next IS NOT NULL GROUP BY conv""")
+@query("""WITH t AS (SELECT doc_id // 4 AS conv, doc_id AS turn, doc_id % 3 AS k, lead(doc_id % 4 = 1 OR text LIKE '% the %') OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS answered, lead(doc_id) OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) AS next,
+  CASE WHEN doc_id % 5 = 0 THEN '{"s": "' || source || '", "ok": true}' WHEN doc_id % 5 = 1 THEN '{"s": "of ' || source || '"}' ELSE '{"s": "' || source || '", "n": ' || doc_id || '}' END AS body FROM documents)
+SELECT conv, arg_min(turn, turn) AS turn, arg_min(body, turn) AS text FROM t WHERE k = 0 AND answered AND next IS NOT NULL AND turn % 5 <> 0 GROUP BY conv""")
 def usable_tool_returns(spark, d):
-    docs = _docs(spark, d)
+    docs, k = _docs(spark, d), F.col("doc_id") % 5
     said = (F.col("doc_id") % 4 == 1) | F.col("text").like("% the %")
-    tool = docs.filter("doc_id % 3 = 0").select("doc_id", (F.col("doc_id") * 2).alias("turn"), F.lit("tool").alias("role"), F.concat(F.lit('<tool_response>{"s": "'), "source", F.lit('"}</tool_response>')).alias("text"))
+    rest = F.when(k == 0, F.concat(F.lit('{"s": "'), "source", F.lit('", "ok": true}'))).when(k == 1, F.concat(F.lit('{"s": "of '), "source", F.lit('"}')))
+    body = rest.otherwise(F.concat(F.lit('{"s": "'), "source", F.lit('", "n": '), "doc_id", F.lit("}")))
+    tool = docs.filter("doc_id % 3 = 0").select("doc_id", (F.col("doc_id") * 2).alias("turn"), F.lit("tool").alias("role"), F.concat(F.lit("<tool_response>"), body, F.lit("</tool_response>")).alias("text"))
     reply = docs.filter("doc_id % 4 > 0").select((F.col("doc_id") - 1).alias("doc_id"), ((F.col("doc_id") - 1) * 2 + 1).alias("turn"), F.lit("assistant").alias("role"), F.when(said, "so").otherwise("<tool_call>x</tool_call>").alias("text"))
     turns = tool.unionByName(reply).withColumn("conv", F.floor(F.col("doc_id") / 4))
     return synth.usable_returns(turns, "conv", "turn").select("conv", (F.col("turn") / 2).cast("long").alias("turn"), "text")
 
 
+@query("""WITH p AS (SELECT doc_id, doc_id % 3 AS k, source, lang, n_chars + 900 AS n, (doc_id % 1000) / 4.0 AS rate FROM documents)
+SELECT doc_id, CASE k WHEN 2 THEN 'note' WHEN 1 THEN 'of.count' ELSE 'of.rate' END AS path,
+ CASE k WHEN 2 THEN 'about ' || source WHEN 1 THEN n || CASE WHEN n >= 1000 THEN '|' || format('{:,}', n) ELSE '' END ELSE CASE WHEN rate = floor(rate) THEN rate::INT::VARCHAR ELSE rate::DOUBLE::VARCHAR END END AS spellings,
+ CASE k WHEN 2 THEN 'about ' || source WHEN 1 THEN concat_ws('|', CASE WHEN n >= 1000 THEN n || '|' || format('{:,}', n) END) ELSE CASE WHEN rate <> floor(rate) AND len(rate::DOUBLE::VARCHAR) >= 4 AND len(replace(rate::DOUBLE::VARCHAR, '.', '')) >= 3 THEN rate::DOUBLE::VARCHAR ELSE '' END END AS forbidden FROM p""")
+def synth_headlines(spark, d):
+    """What a right answer quotes of a return, and what it must not quote once the return shows its first field alone."""
+    k, n, rate = F.col("doc_id") % 3, F.col("n_chars") + 900, (F.col("doc_id") % 1000) / 4
+    head = F.concat(F.lit('{"id": "'), "source", F.lit('", '))
+    own = F.when(k == 0, F.concat(F.lit('"total": 1, "of": {"rate": '), rate, F.lit(', "at": 7}}'))).when(k == 1, F.concat(F.lit('"of": {"lang": null, "count": '), n, F.lit("}, \"ok\": true}")))
+    docs = _docs(spark, d).select("doc_id", F.concat(head, own.otherwise(F.concat(F.lit('"note": "about '), "source", F.lit('"}')))).alias("payload"), F.concat(head, F.lit("...")).alias("shown"))
+    out = docs.select("doc_id", synth.headlines(F.col("payload")).alias("h"), synth.unquotable(F.col("payload"), F.col("shown")).alias("f"))
+    return out.select("doc_id", "h.path", F.array_join("h.spellings", "|").alias("spellings"), F.array_join("f", "|").alias("forbidden"))
+
+
+@query()
+def conv_loss_mask(spark, d):
+    """Conversations cut to their last 256 tokens: lengths, where the kept text begins, and the tokens that are learnt."""
+    from public_tokenizers import path
+
+    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
+    out = mask.loss_mask(rows, ["conv_id"], F.col("messages"), path("byte_bpe_50k.json"), 256, 50_256)
+    kept = F.size("ids").cast("long")
+    return out.select("conv_id", "n_tokens", kept.alias("n_kept"), F.get("at", F.lit(0)).alias("first_kept"), F.size(F.filter("learnt", lambda x: x)).cast("long").alias("n_learnt"))
+
+
 # Sources, sinks, streams
 
 _SCHEMA = "doc_id long, lang string, n_chars long"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import calls as C
 from corpusloom.functions import parsing as P
 from corpusloom.functions import text as T
-from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, profile, ranks, render, sample, split, synth, tails
+from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, mask, profile, ranks, render, sample, split, synth, tails
 from corpusloom.sources import readers
 from corpusloom.streaming import events
 
@@ -217,6 +217,15 @@ def test_budgets_meet_their_doses_and_floors(spark):
     assert not got["a", "tool"].notes and sample.allocate(avail.limit(0), spark.createDataFrame([("a", 9.0, 0.5)], "arm string, budget double, floor double"), spark.createDataFrame(rules[:6], "arm string, role string, kind string, amount double")).filter("tokens <> 0").count() == 0
 
 
+def test_headlines_and_their_spellings():
+    assert synth.headline({"a": 5, "b": {"c": [1234567, 8.0]}, "d": "long enough text"}) == (("b", "c", 0), ["1234567", "1,234,567"])
+    assert synth.headline({"a": True, "b": None, "c": " telling ", "d": "telling longer"}) == (("d",), ["telling longer"])
+    assert synth.headline({"a": True, "b": "short"}) == (None, []) == synth.headline({}) and synth.headline([2.50]) == ((0,), ["2.5"])
+    assert [synth.spellings(x) for x in (999, -1000, 1e20, "USD", " Lima ", None, False)] == [["999"], ["-1000", "-1,000"], ["1e+20"], [], ["Lima"], [], []]
+    told = {"-1.5": False, "123": False, "1234": True, "12.5": True, "1.25": True, "-100": True, "Lima": True, "ok": False, "": False, "....": True}
+    assert {x: synth.identifying(x) for x in told} == told and not synth.identifying(None)
+
+
 # Adapters and renderers
 
 
@@ -567,3 +576,33 @@ def test_profiles(spark):
     rows = spark.createDataFrame([("a", 1), ("", 2), (None, 3), (" ", None)], "s string, n long")
     got = {r.field: (r.n_rows, r.n_null, r.n_blank) for r in profile.nulls(rows).collect()}
     assert got == {"s": (4, 1, 2), "n": (4, 1, 0)}
+
+
+# Loss masks
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 10_000])
+def test_loss_masks_match_a_walk_over_the_characters(spark, most):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    at = tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(at)
+    plain.encode_special_tokens = True
+    rng = random.Random(most)
+    words = ["house", "Ünï", "中文", "🙂", "<|endoftext|>", "a  b", "\n", "x" * 9, ""]
+    rows = [(i, [(r, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9)))) for r in rng.choices(["system", "user", "assistant", "tool"], k=rng.randrange(0, 6))]) for i in range(25)]
+    rows += [(90, None), (91, [("assistant", None)])]
+    docs = spark.createDataFrame(rows, "id long, messages array<struct<role:string,content:string>>")
+    got = {r.id: r for r in mask.loss_mask(docs, ["id"], F.col("messages"), at, most, 50_256).collect()}
+    for i, messages in rows:
+        text, marks = "", []
+        for role, content in messages or []:
+            head, body = f"<|im_start|>{role}\n", f"{content or ''}<|im_end|>"
+            text += head + body + "\n"
+            marks += [False] * len(head) + [role == "assistant"] * len(body) + [False]
+        row = plain.encode(text, add_special_tokens=False)
+        ids, starts = [*row.ids, 50_256], [*(a for a, _ in row.offsets), -1]
+        want = [marks[a] for a in starts[:-1]] + [bool(messages) and messages[-1][0] == "assistant"]
+        r = got[i]
+        assert (r.n_tokens, r.ids, r.at, r.learnt) == (len(ids), ids[-most:], starts[-most:], want[-most:])
