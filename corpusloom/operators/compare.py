@@ -68,6 +68,28 @@ def flips(joined: DataFrame, key: str, category: str, ref: str, cand: str) -> Da
     return out.select(key, category, "change", (F.col("change") / (F.col("_k") * F.col("_n"))).alias("implied"))
 
 
+def transferred(flipped: DataFrame, after: DataFrame, recorded: DataFrame, key: str, category: str, arm: str = "arm") -> DataFrame:
+    """What an edit did to arms of which only the macro mean before it is on record: per arm recorded, macro (after the edit),
+    observed and implied (differences), residual, n_items (flips taken over) and n_missing (flipped items that it lacks).
+
+    flipped: key and now, the verdicts that flipped items have elsewhere after the edit; an item may have both. after: arm,
+    key, category and correct of each arm's items. A flip carries over where the arm's own verdict is one that the item
+    flipped to, and then moves the arm's mean by 1 / (categories * items of its category), up where it is right.
+    """
+    now = flipped.select(key, F.col("now").cast("int").alias("_now")).distinct()
+    right = F.col("correct").cast("int")
+    cells = after.groupBy(arm, category).agg(F.count(F.lit(1)).alias("_n"), F.sum(right).alias("_r"))
+    macros = cells.groupBy(arm).agg(F.avg(F.col("_r") / F.col("_n")).alias("macro"), F.count(F.lit(1)).alias("_k"))
+    met = after.select(arm, key, category, right.alias("_c")).join(now.groupBy(key).agg(F.collect_set("_now").alias("_to")), key)  # two verdicts at most
+    moved = met.join(cells.select(arm, F.col(category).alias("_of"), "_n"), [arm]).filter(F.col(category).eqNullSafe(F.col("_of")))
+    same = F.array_contains("_to", F.col("_c"))
+    sums = moved.groupBy(arm).agg(F.sum(F.when(same, (2 * F.col("_c") - 1) / F.col("_n")).otherwise(0.0)).alias("_s"), F.count(F.when(same, 1)).alias("n_items"), F.count_distinct(key).alias("_met"))
+    items = now.agg(F.count_distinct(key).alias("_all"))
+    out = recorded.select(arm, F.col("macro").alias("recorded")).join(macros, arm).join(sums, arm, "left").na.fill(0, ["_s", "n_items", "_met"]).join(F.broadcast(items))
+    observed, implied = F.col("macro") - F.col("recorded"), F.col("_s") / F.col("_k")
+    return out.select(arm, "recorded", "macro", observed.alias("observed"), implied.alias("implied"), (observed - implied).alias("residual"), "n_items", (F.col("_all") - F.col("_met")).alias("n_missing"))
+
+
 def auroc(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by mid-ranks; null without both classes.
 

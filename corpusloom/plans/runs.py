@@ -123,6 +123,25 @@ def stratum_blocks(spark, d):
     return out.select(F.coalesce("lang", F.lit("all")).alias("lang"), "n", "n_up", "n_down", "n_tied", *nine)
 
 
+@query(f"""WITH {_ARMS}, f AS (SELECT doc_id, cand AS now FROM arms WHERE ref <> cand),
+ w AS (SELECT a.arm, doc_id, lang, CASE WHEN doc_id % a.k = 0 THEN 1 - cand ELSE cand END AS c, f.now FROM arms LEFT JOIN f USING (doc_id), (VALUES ('half', 2), ('third', 3), ('some', 7)) a(arm, k) WHERE a.arm <> 'some' OR doc_id % 5 > 0),
+ v AS (SELECT *, CASE WHEN c = now THEN 1 - c ELSE c END AS before FROM w), m AS (SELECT arm, lang, avg(c) AS a, avg(before) AS b, sum(CASE WHEN c = now THEN 1 ELSE 0 END) AS n, count(now) AS met FROM v GROUP BY arm, lang)
+SELECT arm, round(avg(b), 9) AS recorded, round(avg(a), 9) AS macro, round(avg(a) - avg(b), 9) AS observed, round(avg(a) - avg(b), 9) AS implied, true AS explained, sum(n)::BIGINT AS n_items, ((SELECT count(*) FROM f) - sum(met))::BIGINT AS n_missing FROM m GROUP BY arm""")
+def flips_transferred(spark, d):
+    """Arms known after an edit, and by their mean before it, which the flips of another arm explain."""
+    arms = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    arms = arms.select("doc_id", "lang", F.col("quality").alias("ref"), (1 - F.col("toxic")).alias("cand"))
+    flipped = arms.filter("ref <> cand").select("doc_id", F.col("cand").alias("now"))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("arm"), F.lit(k).alias("k")) for name, k in (("half", 2), ("third", 3), ("some", 7)))))
+    after = arms.withColumn("a", each).select("doc_id", "lang", "a.arm", F.when(F.col("doc_id") % F.col("a.k") == 0, 1 - F.col("cand")).otherwise(F.col("cand")).alias("correct"))
+    after = after.filter((F.col("arm") != "some") | (F.col("doc_id") % 5 > 0))
+    before = after.join(flipped, "doc_id", "left").withColumn("c", F.when(F.col("correct") == F.col("now"), 1 - F.col("correct")).otherwise(F.col("correct")))
+    recorded = before.groupBy("arm", "lang").agg(F.avg("c").alias("m")).groupBy("arm").agg(F.avg("m").alias("macro"))
+    out = compare.transferred(flipped, after, recorded, "doc_id", "lang")
+    nine = [F.round(c, 9).alias(c) for c in ("recorded", "macro", "observed", "implied")]
+    return out.select("arm", *nine, (F.abs("residual") < 1e-9).alias("explained"), "n_items", "n_missing")
+
+
 _UNIFORM = "((('0x' || substr(md5(concat_ws('|', 0, lang, round, '{0}', '{1}')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 
 

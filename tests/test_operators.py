@@ -226,6 +226,16 @@ def test_headlines_and_their_spellings():
     assert {x: synth.identifying(x) for x in told} == told and not synth.identifying(None)
 
 
+def test_flips_carry_over_where_the_verdict_agrees(spark):
+    flipped = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 1), (9, 0)], "id long, now int")
+    after = spark.createDataFrame([("x", 1, "a", 0), ("x", 2, "a", 0), ("x", 3, "b", 1), ("x", 4, "b", 0), ("y", 4, "b", 1)], "arm string, id long, cat string, correct int")
+    recorded = spark.createDataFrame([("x", 0.25), ("y", 0.5)], "arm string, macro double")
+    got = {r.arm: r for r in compare.transferred(flipped, after, recorded, "id", "cat").collect()}
+    x, y = got["x"], got["y"]
+    assert (x.macro, x.observed, x.implied, x.residual, x.n_items, x.n_missing) == (0.25, 0.0, -0.25 + 0.25, 0.0, 2, 1)
+    assert (y.macro, y.observed, y.implied, y.residual, y.n_items, y.n_missing) == (1.0, 0.5, 0.0, 0.5, 0, 4)
+
+
 # Adapters and renderers
 
 
