@@ -128,15 +128,22 @@ def suspicion(yes: Column, no: Column) -> Column:
     return F.when(yes + no >= 1e-6, no / (yes + no))
 
 
-def peakedness(samples: Column, greedy: Column, alpha: float = 0.05, most: int = 100) -> Column:
-    """Struct on a list of samples: share and number within the edit threshold of the greedy one, equal ones, distinct."""
-    longest = F.greatest(F.array_max(F.transform(samples, lambda s: F.length(s))), F.length(greedy))
-    limit = F.floor(alpha * F.least(longest, F.lit(most))).cast("int")
-    within = F.size(F.filter(samples, lambda s: F.levenshtein(s, greedy) <= limit))
-    return F.struct(
-        (within / F.size(samples)).alias("peak"), within.alias("n_within"), F.size(F.filter(samples, lambda s: s == greedy)).alias("n_exact"),
-        F.size(F.array_distinct(samples)).alias("n_distinct"), limit.alias("threshold"),
+def peakedness(samples: DataFrame, key: str, sample: str, greedy: str, alpha: float = 0.05, most: int = 100) -> DataFrame:
+    """Per key: peak and n_within (share and number of its samples within the edit threshold of the greedy one), n_exact,
+    n_distinct, threshold and n. Every sample row carries the key's greedy one.
+
+    Equal samples are counted before they are compared, and nothing is gathered per key.
+    """
+    cells = samples.groupBy(key, sample).agg(F.min(greedy).alias("_g"), F.count(F.lit(1)).alias("_n"))
+    limits = cells.groupBy(key).agg(F.greatest(F.max(F.length(sample)), F.max(F.length("_g"))).alias("_l"))
+    limits = limits.select(key, F.floor(alpha * F.least("_l", F.lit(most))).cast("int").alias("threshold"))
+    near = F.levenshtein(sample, "_g") <= F.col("threshold")
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("_n"))), F.lit(0))
+    out = cells.join(limits, key).groupBy(key).agg(
+        (count(near) / F.sum("_n")).alias("peak"), count(near).alias("n_within"), count(F.col(sample) == F.col("_g")).alias("n_exact"),
+        F.count(F.lit(1)).alias("n_distinct"), F.first("threshold").alias("threshold"), F.sum("_n").alias("n"),
     )
+    return out
 
 
 def retention(rates: DataFrame, axis: str, arm: str, rate: str, reference: str, floor: float) -> DataFrame:

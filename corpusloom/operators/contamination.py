@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.text import capped, normalize
+from corpusloom.operators.sample import first_k
 
 #: Words of a window.
 N = 13
@@ -236,10 +237,12 @@ def boilerplate(idx: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def items_touched(gram_rows: DataFrame, idx: DataFrame, row: str, listed: int | None = LISTED) -> DataFrame:
-    """Per item the rows that share a window with it: their number, the first of them by id, and how many are not listed (None: all are)."""
+    """Per item the rows that share a window with it: their number, the first of them by id, and how many are not listed.
+
+    listed bounds what is gathered of an item, however many rows touch it; None lists all, for items that few rows touch.
+    """
     pairs = gram_rows.join(idx, "h").select("set", "item", row).distinct()
-    rank = F.row_number().over(Window.partitionBy("set", "item").orderBy(row))
-    kept = pairs if listed is None else pairs.withColumn("rank", rank).filter(F.col("rank") <= listed)
+    kept = pairs if listed is None else first_k(pairs, ["set", "item"], [row], listed)
     rows = kept.groupBy("set", "item").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return pairs.groupBy("set", "item").agg(F.count(F.lit(1)).alias("n_rows")).join(rows, ["set", "item"]).withColumn("n_unlisted", F.col("n_rows") - F.size("rows"))
 

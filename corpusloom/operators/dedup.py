@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.sample import first_k
+
 from corpusloom.functions.text import joined_hash, normalize
 
 
@@ -53,7 +55,5 @@ def contradictions(rows: DataFrame, key: Column, kind: str, most: int | None = N
     mixed = rows.groupBy(key.alias("_key")).agg((F.min(kind) != F.max(kind)).alias("_mixed")).filter("_mixed").select("_key")
     out = rows.withColumn("_key", key).join(mixed, "_key", "left_semi")
     if most is not None:
-        from pyspark.sql import Window
-
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(order))).filter(F.col("_n") <= most).drop("_n")
+        out = first_k(out, ["_key"], [order], most)
     return out.drop("_key")

@@ -95,6 +95,23 @@ def calibrate(budget: float, shares: dict[str, float], stats: dict[str, dict[str
     return out
 
 
+#: Parts that a group is dealt into before its first rows are chosen.
+PARTS = 64
+
+
+def first_k(rows: DataFrame, by: list[str], order: list[Column | str], k: int) -> DataFrame:
+    """The first k rows of each group by order, which tells its rows apart.
+
+    First of each part of a group, then of these: no window holds more of a group than a part, or PARTS * k rows. Spark limits
+    either within the tasks before it shuffles, so that of a group that holds all rows k leave a task at most.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(PARTS))
+    for keys in ([*by, part], by):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        rows = rows.withColumn("_k", rank).filter(F.col("_k") <= k).drop("_k")
+    return rows
+
+
 #: What a role may be given: passes over its rows; what the others leave, by size; a dose in passes, off the top of the
 #: budget; a part of the budget, off the top as well.
 PASSES, FILL, DOSE, PART = "passes", "fill", "dose", "part"

@@ -86,6 +86,14 @@ def contam_items_touched(spark, d):
     return out.select("item", "n_rows", F.array_join("rows", ",").alias("rows"), F.col("n_unlisted").cast("long").alias("n_unlisted"))
 
 
+@query(f"""WITH {_INDEX}, {_DOCS}, p AS (SELECT DISTINCT item, doc_id FROM dg JOIN own USING (g)), k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY doc_id) AS k FROM p)
+SELECT item, count(*) AS n_rows, array_to_string(list_sort(list(doc_id) FILTER (WHERE k <= 1)), ',') AS rows, count(*) - count(*) FILTER (WHERE k <= 1) AS n_unlisted FROM k GROUP BY item""")
+def contam_items_listed(spark, d):
+    """As contam_items_touched, with the first row of each item listed and the others counted."""
+    out = contamination.items_touched(_doc_grams(spark, d), contamination.owned(_index(spark, d)), "doc_id", listed=1)
+    return out.select("item", "n_rows", F.array_join("rows", ",").alias("rows"), F.col("n_unlisted").cast("long").alias("n_unlisted"))
+
+
 @query(f"WITH {_INDEX}, {_DOCS} SELECT doc_id, count(*) AS n_hits FROM dg WHERE g IN (SELECT g FROM ix) GROUP BY doc_id ORDER BY n_hits DESC, doc_id LIMIT 10")
 def contam_worst_k(spark, d):
     return contamination.worst(contam_docs(spark, d), "n_hits", "doc_id", 10)

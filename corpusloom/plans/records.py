@@ -217,9 +217,10 @@ def edit_distance_pairs(spark, d):
 @query("""WITH s AS (SELECT p_brand, list(p_type) AS s, min(p_type) AS g FROM part GROUP BY p_brand), l AS (SELECT p_brand, s, g, floor(0.2 * least(greatest(list_max([length(x) FOR x IN s]), length(g)), 100)) AS t FROM s)
 SELECT p_brand, round(len([x FOR x IN s IF levenshtein(x, g) <= t]) / len(s), 10) AS peak, len([x FOR x IN s IF x = g]) AS n_exact, len(list_distinct(s)) AS n_distinct, t::BIGINT AS threshold FROM l""")
 def peakedness(spark, d):
-    s = table(spark, d, "part").groupBy("p_brand").agg(F.collect_list("p_type").alias("s"), F.min("p_type").alias("g"))
-    out = s.select("p_brand", compare.peakedness(F.col("s"), F.col("g"), 0.2).alias("p"))
-    return out.select("p_brand", F.round("p.peak", 10).alias("peak"), F.col("p.n_exact").cast("long").alias("n_exact"), F.col("p.n_distinct").cast("long").alias("n_distinct"), F.col("p.threshold").cast("long").alias("threshold"))
+    part = table(spark, d, "part")
+    first = part.groupBy("p_brand").agg(F.min("p_type").alias("greedy"))
+    out = compare.peakedness(part.join(first, "p_brand"), "p_brand", "p_type", "greedy", 0.2)
+    return out.select("p_brand", F.round("peak", 10).alias("peak"), "n_exact", "n_distinct", F.col("threshold").cast("long").alias("threshold"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, lang, list_slice(list_sort(list_distinct([x FOR x IN string_split({_norm()}, ' ') IF length(x) > 2])), 1, 64) AS called FROM documents), s AS (SELECT doc_id, unnest(called) AS s FROM w),

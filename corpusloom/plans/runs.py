@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +9,10 @@ from corpusloom.functions import text as T
 from corpusloom.operators import checks, compare, flags, grade, instructions, mask, render, sample, split, synth
 from corpusloom.plans.catalogue import _ARMS, _MCNEMAR, _PAIRED, _RANK, _arms, query
 from corpusloom.sources import readers
-from corpusloom.sources.readers import table
+from corpusloom.sources.readers import folder, table
 from corpusloom.streaming import events as streams
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; on one machine a temporary one will do."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='corpusloom-')).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
-
-
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
@@ -342,7 +331,7 @@ _SCHEMA = "doc_id long, lang string, n_chars long"
 
 def _lines(spark: SparkSession, d: str, name: str, broken: bool = False) -> str:
     """The documents as gzipped JSON lines, one in nine of them broken off if wanted."""
-    at = _folder(spark, name)
+    at = folder(spark, name)
     line = F.to_json(F.struct("doc_id", "lang", "n_chars", "text"))
     line = F.when((F.col("doc_id") % 9 == 0) & F.lit(broken), F.substring(line, 1, 12)).otherwise(line)
     _docs(spark, d).select(line.alias("value")).write.option("compression", "gzip").text(at)
@@ -367,15 +356,25 @@ def read_lines_keeping(spark, d):
 
 @query("SELECT lang AS category, count(*) AS n_rows, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
 def read_file_family(spark, d):
-    at = _folder(spark, "family")
-    langs = [r[0] for r in _docs(spark, d).select("lang").distinct().collect()]  # a file for each language
-    for lang in langs:
-        _docs(spark, d).filter(F.col("lang") == lang).select("doc_id", "n_chars").write.json(f"{at}/{lang}.part")
+    at = folder(spark, "family")
+    _docs(spark, d).select("lang", "doc_id", "n_chars").write.partitionBy("lang").json(at)  # files of each language, by one write
     rows = readers.family(spark, f"{at}/*/*.json", "doc_id long, n_chars long")
-    named = F.substring_index(F.element_at(F.split(F.input_file_name(), "/"), -2), ".", 1)
+    named = F.substring_index(F.element_at(F.split(F.input_file_name(), "/"), -2), "=", -1)
     return rows.withColumn("category", named).groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("chars"))
 
 
+@query("SELECT 'by_lang' AS name, lang AS key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'by_source', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'verified', 'rows', count(DISTINCT lang) + count(DISTINCT source) FROM documents")
+def promoted_outputs(spark, d):
+    """Two tables published together, over older ones, after their rows were verified."""
+    at, docs = folder(spark, "promoted"), _docs(spark, d)
+    two = {f"by_{c}": docs.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")) for c in ("lang", "source")}
+    readers.promote(spark, {name: rows.limit(1) for name, rows in two.items()}, at)
+    told = readers.promote(spark, two, at, expected={name: {"rows": rows.count()} for name, rows in two.items()}, force=True)
+    found = [spark.read.parquet(f"{at}/{name}").select(F.lit(name).alias("name"), "key", "n") for name in two]
+    verified = spark.range(1).select(F.lit("verified").alias("name"), F.lit("rows").alias("key"), F.lit(sum(x["rows"] for x in told.values())).cast("long").alias("n"))
+    return found[0].unionByName(found[1]).unionByName(verified)
+
+
 @query("SELECT src, ln, t FROM (SELECT 0 AS src, doc_id AS ln, lang AS t FROM documents UNION ALL SELECT 1, page_id, NULL FROM pages UNION ALL SELECT 2, doc_id, NULL FROM labels)")
 def union_of_sources(spark, d):
     parts = [_docs(spark, d).select("doc_id", F.col("lang").alias("t")), table(spark, d, "pages").select(F.col("page_id").alias("doc_id")), table(spark, d, "labels").select("doc_id")]
@@ -384,14 +383,14 @@ def union_of_sources(spark, d):
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 100")
 def manifest_round_trip(spark, d):
-    at = _folder(spark, "manifest")
+    at = folder(spark, "manifest")
     readers.write_manifest(_docs(spark, d).filter("n_chars > 100").select("doc_id", "lang", "n_chars"), at)
     return readers.json_lines(spark, at, _SCHEMA, bad="fail")
 
 
 @query("SELECT CASE WHEN n_chars <= 200 THEN 'pool' ELSE CASE WHEN doc_id % 10 = 0 THEN 'test' ELSE 'train' END END AS part, count(*) AS n_rows, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY part")
 def splits_round_trip(spark, d):
-    at = _folder(spark, "splits")
+    at = folder(spark, "splits")
     rows = _docs(spark, d).select("doc_id", "n_chars", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"))
     readers.write_splits(rows, at, "split", F.col("n_chars") <= 200)
     kept = spark.read.schema("doc_id long, split string").json(f"{at}/rows").select(F.col("split").alias("part"), "doc_id")
@@ -402,7 +401,7 @@ def splits_round_trip(spark, d):
 @query("SELECT 'documents' AS name, count(*) AS n_rows, max(n_chars) AS largest FROM documents")
 def artifact_round_trip(spark, d):
     n, largest = _docs(spark, d).agg(F.count(F.lit(1)), F.max("n_chars")).first()
-    at = f"{_folder(spark, 'artifact')}/facts.json"
+    at = f"{folder(spark, 'artifact')}/facts.json"
     readers.write_artifact(spark, {"name": "documents", "n_rows": n, "largest": largest}, at)
     return spark.read.schema("name string, n_rows long, largest long").json(readers.landed(spark, at))
 
@@ -414,14 +413,14 @@ def markdown_report(spark, d):
 
 
 def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark, "arriving")
+    at = folder(spark, "arriving")
     table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(at)
     return streams.read(spark, at, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Everything a stream gives, by complete batches."""
-    out, seen = _folder(spark, name), f"{_folder(spark, name)}-seen"
+    out, seen = folder(spark, name), f"{folder(spark, name)}-seen"
     streams.run_once(stream, out, seen)
     return spark.read.schema(stream.schema).parquet(out)
 

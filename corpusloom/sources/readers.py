@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -100,6 +103,80 @@ def write_manifest(rows: DataFrame, path: str, overwrite: bool = False) -> None:
     rows.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "gzip").json(path)
 
 
+def _renamed(store, a, b) -> bool:
+    return store.rename(a, b)
+
+
+def summed(rows: DataFrame) -> dict[str, str | int]:
+    """The number of rows and a digest of them that does not depend on their order; rows that repeat count."""
+    h = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"}))
+    n, digest = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0))).first()
+    return {"rows": n, "digest": str(digest)}
+
+
+def promote(spark: SparkSession, outputs: dict[str, DataFrame], target: str, expected: dict[str, dict] | None = None, force: bool = False) -> dict[str, dict]:
+    """Publish several tables together below target: all of them, verified, or none; what each holds is returned.
+
+    The tables are written beside the target first and read again there. expected says what is known of any of them (rows,
+    digest, as summed gives them); another number or digest stops everything before the target is touched, and so do tables
+    that are there already, unless forced. Only then are the folders renamed; where that fails, what was there comes back.
+    """
+    at, store = _store(spark, target)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = [name for name in outputs if store.exists(path(at, name))]
+    if there and not force:
+        raise FileExistsError(f"{target} holds {', '.join(there)}")
+    work = path(at.getParent() or at, f".staged-{uuid.uuid4().hex}")
+    fresh, old = path(work, "staged"), path(work, "old")
+    done, moved, told = [], [], {}
+    try:
+        for name, rows in outputs.items():
+            folder = path(fresh, name).toString()
+            rows.write.parquet(folder)
+            told[name] = summed(spark.read.schema(rows.schema).parquet(folder))
+            wrong = {k: v for k, v in (expected or {}).get(name, {}).items() if told[name][k] != v}
+            if wrong:
+                raise ValueError(f"{name} holds {told[name]}, not {wrong}")
+        store.mkdirs(at)
+        store.mkdirs(old)
+        for name in outputs:
+            if store.exists(path(at, name)):
+                if not _renamed(store, path(at, name), path(old, name)):
+                    raise OSError(f"{name} can't be set aside")
+                moved.append(name)
+            if not _renamed(store, path(fresh, name), path(at, name)):
+                raise OSError(f"{name} can't be published")
+            done.append(name)
+        return told
+    except OSError:
+        for name in done:
+            store.delete(path(at, name), True)
+        for name in moved:
+            _renamed(store, path(old, name), path(at, name))
+        raise
+    finally:
+        store.delete(work, True)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, which goes when the driver ends; on one machine a temporary one will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    at = f"{(shared or 'file://' + tempfile.mkdtemp(prefix='corpusloom-')).rstrip('/')}/corpusloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(_gone, spark, at)
+    return at
+
+
+def _gone(spark: SparkSession, at: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        try:
+            where, store = _store(spark, at)
+            store.delete(where, True)
+        except Exception:  # the JVM may be gone at exit; the folder's owner cleans it then
+            return
+
+
 def write_splits(rows: DataFrame, path: str, split: str, pool: Column, overwrite: bool = False) -> None:
     """Rows by split, and the pool rows (those without a target) beside them."""
     mode = "overwrite" if overwrite else "errorifexists"

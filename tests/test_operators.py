@@ -236,6 +236,37 @@ def test_flips_carry_over_where_the_verdict_agrees(spark):
     assert (y.macro, y.observed, y.implied, y.residual, y.n_items, y.n_missing) == (1.0, 0.5, 0.0, 0.5, 0, 4)
 
 
+@pytest.mark.parametrize("k", [1, 5, 90])
+def test_first_rows_of_hot_groups(spark, k):
+    rows = [("hot", i * 7 % 3001) for i in range(3001)] + [(f"g{i % 40}", i) for i in range(200)] + [(None, 3)]
+    got = sample.first_k(spark.createDataFrame(rows, "g string, v long").repartition(9), ["g"], ["v"], k).collect()
+    want = collections.defaultdict(list)
+    for g, v in rows:
+        want[g].append(v)
+    assert sorted(map(tuple, got), key=str) == sorted(((g, v) for g, own in want.items() for v in sorted(own)[:k]), key=str)
+
+
+def test_outputs_are_promoted_together_or_not_at_all(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/out"
+    two = {"a": spark.range(9), "b": spark.createDataFrame([(1, "x"), (1, "x"), (None, "y")], "k int, t string")}
+    told = readers.promote(spark, two, at)
+    assert {n: r["rows"] for n, r in told.items()} == {"a": 9, "b": 3} and sorted(r[0] for r in spark.read.parquet(f"{at}/a").collect()) == list(range(9))
+    more = two | {"a": spark.range(5)}
+    with pytest.raises(FileExistsError):
+        readers.promote(spark, more, at)
+    with pytest.raises(ValueError, match="b holds"):
+        readers.promote(spark, more, at, expected={"b": {"rows": 4}}, force=True)
+    with pytest.raises(ValueError, match="a holds"):
+        readers.promote(spark, more, at, expected={"a": told["a"]}, force=True)
+    assert spark.read.parquet(f"{at}/a").count() == 9 and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b"]
+    assert readers.promote(spark, more, at, expected={"b": told["b"]}, force=True)["a"]["rows"] == 5 and spark.read.parquet(f"{at}/a").count() == 5
+    real = readers._renamed
+    monkeypatch.setattr(readers, "_renamed", lambda store, a, b: False if str(b).endswith("/b") and "/staged/" in str(a) else real(store, a, b))
+    with pytest.raises(OSError):
+        readers.promote(spark, two, at, force=True)
+    assert spark.read.parquet(f"{at}/a").count() == 5 and spark.read.parquet(f"{at}/b").count() == 3 and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b"]
+
+
 # Adapters and renderers
 
 
@@ -456,7 +487,9 @@ def test_blocks_movers_and_entropy(spark):
 def test_peakedness_and_controls(spark):
     base = "".join(random.Random(1).choice("abcdef") for _ in range(80))
     samples = [base] * 10 + [base[:-1] + "x"] * 5 + ["z" * 80] * 5
-    got = one(spark, compare.peakedness(F.col("s"), F.col("g")), s=samples, g=base)
+    rows = spark.createDataFrame([(1, s, base) for s in samples] + [(2, "", "a")], "k int, s string, g string")
+    got, other = compare.peakedness(rows, "k", "s", "g").orderBy("k").collect()
+    assert (other.n_within, other.peak, other.threshold, other.n) == (0, 0.0, 0, 1)
     assert (got.n_within, got.n_exact, got.peak, got.n_distinct, got.threshold) == (15, 10, 0.75, 3, 4)
     rows = [("simple", "simple_1", 100, True), ("simple", "simple_2", 200, False), ("simple", "simple_3", 105, False), ("live", "live_1", 50, True), ("live", "live_2", 55, False)]
     pairs = compare.matched_controls(spark.createDataFrame(rows, "c string, k string, n long, t boolean"), "c", "k", "n", "t").collect()
