@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Defined cases: a null source is a source of its own; documents without words go, as they fill no target; repeated
     rows are documents of their own; an empty table stays empty; columns stay as they are.
     """
-    return mixing.mixture(spark, docs)
+    return mixing.repeated(mixing.mix(spark, docs), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
