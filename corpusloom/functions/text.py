@@ -126,10 +126,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+")), F.lit(0))
 
 
+#: Words whose full stop ends no sentence, as a pattern; initials are single capital letters before another word.
+ABBREVIATED = r"(?i)(?<![\p{L}\p{N}])(mr|mrs|ms|dr|prof|sr|jr|st|vs|etc|e\.g|i\.e|cf|fig|vol|approx)\."
+INITIAL = r"(?<![\p{L}\p{N}])(\p{Lu})\.(?=\s*\p{Lu})"
+
+
 def sentence_count(text: Column) -> Column:
-    """Runs that end in . ! ? before white space or the end, plus an unfinished last one (an approximation)."""
-    ends = F.regexp_count(text, F.lit(r"[.!?]+(?=\s|$)"))
-    return ends + F.when(F.rlike(text, F.lit(r"[^.!?\s][^.!?]*$")), 1).otherwise(0)
+    """Runs that end in . ! ? or an ellipsis, with quotes or brackets closed behind, before white space or the end, plus an
+    unfinished last one. Stops of abbreviations, initials and numbers end none."""
+    plain = F.regexp_replace(F.regexp_replace(text, ABBREVIATED, "$1"), INITIAL, "$1")
+    ends = F.regexp_count(plain, F.lit(r"[.!?\x{2026}]+[\"')\]\x{201D}\x{2019}]*(?=\s|$)"))
+    return ends + F.when(F.rlike(plain, F.lit(r"[^.!?\x{2026}\s\"')\]\x{201D}\x{2019}][\"')\]\x{201D}\x{2019}]*\s*$")), 1).otherwise(0)
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:

@@ -1,7 +1,7 @@
 """Checkers of written instructions as column expressions: does a response keep to the rule?
 
-Sentences are counted by their end marks and languages told by their commonest words, as no language library is there;
-the other rules are exact.
+Languages are told by a model of trigrams (operators/languages.py) where the checker is given one, else by their commonest
+words; sentences are counted by end marks that no abbreviation, initial or number explains. The other rules are exact.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentence_count, word_count
+from corpusloom.operators.languages import Model
 
 #: Commonest words by language, to tell one from another.
 COMMON = {
@@ -40,8 +41,11 @@ def language_votes(v: Column, lang: str) -> Column:
     return _count(v, rf"(?i)\b(?:{'|'.join(COMMON[lang])})\b")
 
 
-def is_language(v: Column, lang: str) -> Column:
-    """The language's common words occur at least as often as any other's; a text without any passes."""
+def is_language(v: Column, lang: str, model: Model | None = None) -> Column:
+    """Whether the model tells the language; without one, whether its common words occur at least as often as any other's. A
+    text that tells nothing passes."""
+    if model:
+        return model.is_language(v, lang)
     return language_votes(v, lang) >= F.greatest(*(language_votes(v, x) for x in COMMON))
 
 
@@ -94,7 +98,7 @@ def _unfenced(v: Column) -> Column:
 
 
 CHECKERS: dict[str, Callable[..., Column]] = {
-    "language:response_language": lambda v, language: is_language(v, language),
+    "language:response_language": lambda v, language, model=None: is_language(v, language, model),
     "length_constraints:number_sentences": lambda v, num_sentences, relation: _compare(sentence_count(v), relation, num_sentences),
     "detectable_content:number_placeholders": lambda v, num_placeholders: _count(v, r"\[.*?\]") >= num_placeholders,
     "detectable_format:number_bullet_lists": lambda v, num_bullets: _count(v, r"(?m)^\s*\*[^*\n].*$") + _count(v, r"(?m)^\s*-.*$") == num_bullets,
@@ -114,8 +118,8 @@ CHECKERS: dict[str, Callable[..., Column]] = {
     "startend:end_checker": lambda v, end_phrase: F.endswith(F.lower(F.btrim(_stripped(v), F.lit('"'))), F.lit(end_phrase.strip().lower())),
     "detectable_format:title": lambda v: F.exists(F.regexp_extract_all(v, F.lit(r"<<[^\n]+>>"), F.lit(0)), lambda t: F.trim(F.btrim(t, F.lit("<>"))) != ""),
     "keywords:letter_frequency": lambda v, letter, let_frequency, let_relation: _compare(_count(F.lower(v), _quoted(letter.lower())), let_relation, let_frequency),
-    "change_case:english_capital": lambda v: (F.upper(v) == v) & (F.lower(v) != v) & is_language(v, "en"),
-    "change_case:english_lowercase": lambda v: (F.lower(v) == v) & (F.upper(v) != v) & is_language(v, "en"),
+    "change_case:english_capital": lambda v, model=None: (F.upper(v) == v) & (F.lower(v) != v) & is_language(v, "en", model),
+    "change_case:english_lowercase": lambda v, model=None: (F.lower(v) == v) & (F.upper(v) != v) & is_language(v, "en", model),
     "punctuation:no_comma": lambda v: ~F.contains(v, F.lit(",")),
     "change_case:capital_word_frequency": lambda v, capital_frequency, capital_relation: _compare(_count(v, r"\b[\p{Lu}][\p{Lu}\p{N}]*\b(?![\p{Ll}])"), capital_relation, capital_frequency),
     "startend:quotation": lambda v: (F.length(_stripped(v)) > 1) & F.startswith(_stripped(v), F.lit('"')) & F.endswith(_stripped(v), F.lit('"')),

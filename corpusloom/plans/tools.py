@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import adapters, flags, grade, instructions, render
+from corpusloom.operators import adapters, flags, grade, instructions, languages, render
 from corpusloom.plans.catalogue import query
 from corpusloom.sources.readers import table
 
@@ -276,9 +276,16 @@ def _with(k: int, before: str = "", after: str = "") -> Column:
     return F.when(F.col("doc_id") % k == 0, F.concat(F.lit(before), "text", F.lit(after))).otherwise(F.col("text"))
 
 
-@query(_checked("text", r"len(regexp_extract_all(v, '[.!?]+(?:\s|$)')) + regexp_matches(v, '[^.!?\s][^.!?]*$')::INT >= 20"))
+#: Stops that end no sentence go first; initials twice, as neighbours share a letter.
+_STOPS = r"regexp_replace(text, '(?i)(^|[^\p{L}\p{N}])(mr|mrs|ms|dr|prof|sr|jr|st|vs|etc|e\.g|i\.e|cf|fig|vol|approx)\.', '\1\2', 'g')"
+_INITIALS = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}])(\p{{Lu}})\.(\s*\p{{Lu}})', '\1\2\3', 'g')"
+_CLOSED = r"""["'')\]”’]*"""
+_SENTENCES = rf"""(len(regexp_extract_all(v, '[.!?…]+{_CLOSED}(?:\s|$)')) + regexp_matches(v, '[^.!?…\s"'')\]”’]{_CLOSED}\s*$')::INT)"""
+
+
+@query(f"SELECT doc_id, {_STRIP} <> '' AND {_SENTENCES} + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END >= 20 AS kept FROM (SELECT doc_id, {_INITIALS.format(_INITIALS.format(_STOPS))} AS v FROM documents)")
 def ifeval_number_sentences(spark, d):
-    return _follow(spark, d, F.col("text"), "length_constraints:number_sentences", num_sentences=20, relation="at least")
+    return _follow(spark, d, _with(2, 'Dr. J. R. Roe met Mrs. Poe (at 3.5 km, e.g. here!) "there." '), "length_constraints:number_sentences", num_sentences=20, relation="at least")
 
 
 @query(_checked("CASE WHEN doc_id % 2 = 0 THEN '* a' || chr(10) || '- b' || chr(10) || text ELSE text END", r"len(regexp_extract_all(v, '(?m)^\s*\*[^*\n].*$')) + len(regexp_extract_all(v, '(?m)^\s*-.*$')) = 2"))
@@ -349,9 +356,34 @@ def _letters() -> Column:
     return F.regexp_replace("text", "[^A-Za-z]+", "  ")
 
 
-@query(_checked(_ASCII, _ENGLISH))
+# Languages by trigrams: fitted on documents of even number, told for all
+
+_TELL = r"""c AS (SELECT doc_id, lang, string_split(' ' || trim(regexp_replace(lower({0}), '[^\p{{L}}]+', ' ', 'g')) || ' ', '') AS c FROM documents), g AS (SELECT doc_id, lang, unnest([c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)]) AS g FROM c),
+ f AS (SELECT lang, unnest([c[i] || c[i + 1] || c[i + 2] FOR i IN range(1, len(c) - 1)]) AS g FROM (SELECT lang, string_split(' ' || trim(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g')) || ' ', '') AS c FROM documents WHERE doc_id % 2 = 0)),
+ n AS (SELECT g, lang, count(*) AS n FROM f GROUP BY g, lang), top AS (SELECT g FROM n GROUP BY g ORDER BY sum(n) DESC, g LIMIT 2000), l AS (SELECT DISTINCT lang FROM n JOIN top USING (g)),
+ tot AS (SELECT lang, sum(n) + (SELECT count(*) FROM top) AS t FROM n JOIN top USING (g) GROUP BY lang), s AS (SELECT top.g, l.lang AS of, ln((coalesce(n.n, 0) + 1) / t) AS s FROM top CROSS JOIN l JOIN tot USING (lang) LEFT JOIN n ON n.g = top.g AND n.lang = l.lang),
+ k AS (SELECT doc_id, g, count(*) AS k FROM g GROUP BY doc_id, g), p AS (SELECT doc_id, of, sum(k * s) AS p FROM k JOIN s USING (g) GROUP BY doc_id, of), told AS (SELECT doc_id, arg_max(of, p) AS told FROM p GROUP BY doc_id)"""
+
+
+def _model(spark: SparkSession, d: str) -> languages.Model:
+    return languages.fit(table(spark, d, "documents").filter("doc_id % 2 = 0"))
+
+
+@query(f"WITH {_TELL.format('text')} SELECT doc_id, told FROM documents LEFT JOIN told USING (doc_id)")
+def language_told(spark, d):
+    return table(spark, d, "documents").select("doc_id", _model(spark, d).language(F.col("text")).alias("told"))
+
+
+@query(f"WITH {_TELL.format('text')} SELECT lang, count(*) AS n, count(*) FILTER (WHERE told = lang) AS n_right FROM documents LEFT JOIN told USING (doc_id) WHERE doc_id % 2 = 1 GROUP BY lang")
+def language_accuracy(spark, d):
+    """How often the language of documents that the model has not seen is told right."""
+    rest = table(spark, d, "documents").filter("doc_id % 2 = 1").withColumn("told", _model(spark, d).language(F.col("text")))
+    return rest.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("told") == F.col("lang"), 1)).alias("n_right"))
+
+
+@query(f"WITH {_TELL.format(_ASCII)} SELECT doc_id, regexp_matches(text, '[A-Za-z]') AND coalesce(told = 'en', true) AS kept FROM documents LEFT JOIN told USING (doc_id)")
 def ifeval_response_language(spark, d):
-    return _follow(spark, d, _letters(), "language:response_language", language="en")
+    return _follow(spark, d, _letters(), "language:response_language", language="en", model=_model(spark, d))
 
 
 @query(_checked(f"CASE WHEN doc_id % 2 = 0 THEN upper({_ASCII}) ELSE {_ASCII} END", f"upper(v) = v AND lower(v) <> v AND {_ENGLISH}"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import calls as C
 from corpusloom.functions import parsing as P
 from corpusloom.functions import text as T
-from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, mask, profile, ranks, render, sample, split, synth, tails
+from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, languages, mask, profile, ranks, render, sample, split, synth, tails
 from corpusloom.sources import readers
 from corpusloom.streaming import events
 
@@ -267,6 +267,22 @@ def test_outputs_are_promoted_together_or_not_at_all(spark, tmp_path, monkeypatc
     assert spark.read.parquet(f"{at}/a").count() == 5 and spark.read.parquet(f"{at}/b").count() == 3 and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b"]
 
 
+@pytest.mark.parametrize("text, n", [
+    ("One. Two! Three?", 3), ("Dr. Roe met Mrs. J. R. Poe.", 1), ("It cost 3.5 km. So", 2), ('He said "no." Then (yes!) he left.', 3), ("Wait... what?! Yes", 3), ("", 0), ("  ", 0), ("no end", 1), ("E.g. this, i.e. that.", 1), ("All etc.", 1), ("Ja. Äh… Öl.", 3),
+])
+def test_sentences_end_where_no_stop_is_explained(spark, text, n):
+    assert one(spark, T.sentence_count(F.col("t")), t=text) == n
+
+
+def test_languages_by_trigrams(spark):
+    rows = [(t, lang) for lang, ts in {"en": ["the house of the man", "this thing that is there"], "de": ["das haus und der mann", "nicht ein ding ist da"]}.items() for t in ts] + [("der der der", None), (None, "en")]
+    model = languages.fit(spark.createDataFrame(rows, "text string, lang string"), kept=60)
+    assert model.names == ["de", "en"] and len(model.shares) == 60
+    texts = spark.createDataFrame([(0, "the thing is this"), (1, "Das Ding, und nicht der Mann!"), (2, "12 %"), (3, None), (4, "")], "i int, t string")
+    assert [r.x for r in texts.orderBy("i").select(model.language(F.col("t")).alias("x")).collect()] == ["en", "de", None, None, None]
+    assert [r.x for r in texts.orderBy("i").select(instructions.CHECKERS["language:response_language"](F.col("t"), language="en", model=model).alias("x")).collect()] == [True, False, True, True, True]
+
+
 # Adapters and renderers
 
 
