@@ -34,4 +34,4 @@ def running(cells: DataFrame, by: list[str], order: str, sums: dict[str, Column]
     inside = Window.partitionBy(*by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     cut = cut.withColumns({f"_i_{k}": F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0)) for k in sums})
     on = [cut[c].eqNullSafe(spans[c]) for c in (*by, "_span")]
-    return cut.join(F.broadcast(spans), on).select(*(cut[c] for c in cells.columns), *((F.col(f"_i_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums), *(f"{k}_all" for k in sums))
+    return cut.join(spans, on).select(*(cut[c] for c in cells.columns), *((F.col(f"_i_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums), *(f"{k}_all" for k in sums))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import joined_hash
+from corpusloom.operators.ranks import running
 
 #: A group of more than this share of its namespace goes to train; shares of test and validation; their part of free rows.
 COLLAPSE, TEST, VALIDATION, ROOM = 0.02, 0.05, 0.05, 0.4
@@ -15,18 +16,20 @@ def assign(rows: DataFrame, namespace: str, group: str, salt: str = "0") -> Data
     """namespace, group, n_rows, split: whole groups, in the order of a salted hash, fill test, then validation.
 
     Test takes the groups before which fewer rows than it wants have gone; of what follows, validation does the same;
-    the rest, and groups too large for their namespace, are train. The window runs over groups, not rows.
+    the rest, and groups too large for their namespace, are train. Rows before a group are running sums by spans of the
+    hashes, so no task holds the groups of a namespace. Of groups that share 60 bits of their hash, either may come first.
     """
     groups = rows.groupBy(namespace, group).agg(F.count(F.lit(1)).alias("n_rows"))
-    ns = Window.partitionBy(namespace)
-    sized = groups.withColumn("total", F.sum("n_rows").over(ns)).withColumn("large", F.col("n_rows") > COLLAPSE * F.col("total"))
-    sized = sized.withColumn("hash", joined_hash(F.col(namespace), F.col(group), F.lit(salt)))
-    sized = sized.withColumn("free", F.sum(F.when(F.col("large"), 0).otherwise(F.col("n_rows"))).over(ns))
-    want = {k: F.least(share * F.col("total"), ROOM * F.col("free")) for k, share in (("test", TEST), ("val", VALIDATION))}
-    order = Window.partitionBy(namespace, "large").orderBy("hash", group)
-    before = F.coalesce(F.sum("n_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sized.withColumn("before", before).withColumn("is_test", ~F.col("large") & (F.col("before") < want["test"]))
-    placed = placed.withColumn("taken", F.sum(F.when(F.col("is_test"), F.col("n_rows")).otherwise(0)).over(ns))
+    totals = groups.groupBy(F.col(namespace).alias("_ns")).agg(F.sum("n_rows").alias("total"))
+    same = F.col(namespace).eqNullSafe(F.col("_ns"))
+    sized = groups.join(totals, same).drop("_ns").withColumn("large", F.col("n_rows") > COLLAPSE * F.col("total"))
+    number = F.conv(F.substring(joined_hash(F.col(namespace), F.col(group), F.lit(salt)), 1, 15), 16, 10).cast("long")
+    placed = running(sized.withColumn("hash", number), [namespace, "large"], "hash", {"before": F.col("n_rows")})
+    # Small groups alone are free to go anywhere, and before_all is their sum.
+    want = {k: F.least(share * F.col("total"), ROOM * F.col("before_all")) for k, share in (("test", TEST), ("val", VALIDATION))}
+    placed = placed.withColumn("is_test", ~F.col("large") & (F.col("before") < want["test"]))
+    taken = placed.groupBy(F.col(namespace).alias("_ns")).agg(F.sum(F.when(F.col("is_test"), F.col("n_rows")).otherwise(0)).alias("taken"))
+    placed = placed.join(taken, same).drop("_ns")
     is_val = ~F.col("large") & (F.col("before") - F.col("taken") < want["val"])
     split = F.when(F.col("is_test"), "test").when(is_val, "val").otherwise("train")
     return placed.select(namespace, group, "n_rows", split.alias("split"))
