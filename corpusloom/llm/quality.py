@@ -1,6 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages of PASSAGE words. Each passage is encoded from its own characters and words; gated
+A document is a bag of passages of PASSAGE words. Each passage is encoded from its own characters and words, and from what
+it repeats of earlier ones; nothing is told of a document but through its passages. Gated
 attention (a tanh and a sigmoid layer, multiplied) weighs the passages, and the weighted sum of their representations is
 scored. Only documents are labelled, so the attention learns by itself which passages tell.
 
@@ -39,8 +40,9 @@ for _i, _chars in enumerate(_CLASSES):
 _N = len(_CLASSES) + 3
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
-#: Class shares, then word statistics of the passage, then those of the document.
-FEATURES = _N + 9 + 4
+#: Class shares, then word statistics of the passage, then shares of words by the bucket of their hash.
+WORDS = 32
+FEATURES = _N + 10 + WORDS
 
 
 def encode(text: str | None) -> np.ndarray:
@@ -79,12 +81,12 @@ def encode(text: str | None) -> np.ndarray:
 
     words_of_lines = np.log1p(per / (1 + counts[:, 4]))
     stats = [mean / 10, spread / 10, distinct, share(again), share(upper), share(one), words_of_lines, np.log1p(per) / 5, share(_CLASS[last] == 5)]
-    overall = len(np.unique(own)) / n
-    pairs = own[1:] * 31 + own[:-1]
-    fresh = len(np.unique(pairs)) / len(pairs) if len(pairs) else 1.0
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    whole = [np.log1p(n) / 8, overall, fresh, len(set(lines)) / max(len(lines), 1)]
-    return np.column_stack([counts / total, *stats, np.tile(whole, (passages, 1))])
+    hashed = np.bincount(at * WORDS + own % WORDS, minlength=passages * WORDS).reshape(passages, WORDS) / per[:, None]
+    # Words of the passage that an earlier one has as well: what repeats across passages, seen from each.
+    ids = np.unique(own, return_inverse=True)[1]
+    earliest = np.full(ids.max() + 1, n, dtype=np.int64)
+    np.minimum.at(earliest, ids, at)
+    return np.column_stack([counts / total, *stats, share(earliest[ids] < at), hashed])
 
 
 @dataclass

@@ -311,6 +311,72 @@ def test_feature_frequencies_are_counted_over_all_texts(spark):
     assert {x: held(x) for x in wanted if held(x)} == got and toxicity._frequency(frame(spark, []), wanted) == {} and toxicity._frequency(docs, []) == {}
 
 
+def test_toxicity_scores_match_a_loop_over_words():
+    import re
+
+    rng = random.Random(8)
+    weights = {w.encode(): rng.uniform(-2, 2) for w in ["vil", "vile", "vile=", "vileness=", "w1=", "the=", "\u00fc=", "abcdefgh"]}
+    model = toxicity.Model(weights, -0.3)
+    for text in ["", None, "Vile VILENESS the, vile", "w12 abcdefghijk \u00dc x", " ".join(WORDS) * 40]:
+        total = -0.3
+        for word in {w.encode() for w in re.findall(r"[a-z\u0080-\U0010ffff]+", (text or "").lower())}:
+            for name in [word + b"=", *(word[:n] for n in (3, 4, 5, 6, 7, 8) if n <= len(word))]:
+                total += weights.get(name, 0.0)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_steps_over_a_table_are_those_over_rows_in_memory(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    positive, free = ([np.sort(rng.choice(6, rng.integers(0, 4))) for _ in range(n)] for n in (30, 200))
+    known, rest = toxicity.Rows(positive), toxicity.Rows(free)
+    w, adam = rng.normal(0, 1, 7), toxicity.Adam(7)
+    table = spark.createDataFrame([(x.astype("<u2").tobytes(),) for x in free], "features binary").repartition(5)
+    for prior in (0.05, 0.8):  # with the correction above zero, and below
+        got = toxicity.refine(w, toxicity.Adam(7), known, table, prior, steps=3)
+        want, adam = w, toxicity.Adam(7)
+        for _ in range(3):
+            _, gp, gu = toxicity.risk(known.score(want), rest.score(want), prior)
+            want = adam.step(want, known.gradient(gp, 6) + rest.gradient(gu, 6))
+        assert np.allclose(got, want)
+
+
+def test_all_unlabelled_texts_are_fitted_on(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "START", 5)
+    texts = ["vile thing here"] * 40 + ["vile but fine"] * 30 + ["plain words"] * 400
+    docs = frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(40)] + [(i, 1, 0) for i in range(400, 430)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "refine", lambda w, adam, known, table, prior, steps, f=toxicity.refine: (seen.append(table.count()), f(w, adam, known, table, prior, steps))[1])
+    toxicity.train(docs, labels, steps=2)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(40, 470) if not 400 <= i < 430)]
+
+
+def test_quality_scores_match_loops():
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (1, 99, 100, 101, 350)] + ["", "a\n\nb. C!"]
+    model = quality.fit([quality.encode(t) for t in texts], np.arange(len(texts)) % 2, seed=2)
+    w1, b1, v, u, a, c, d = (w.tolist() for w in model.weights)
+    got = quality.scores_of(model, texts)
+    for k, text in enumerate(texts):
+        h = []
+        for row in (quality.encode(text) - model.mean) / model.scale:
+            h.append([math.tanh(sum(x * w1[i][j] for i, x in enumerate(row)) + b1[j]) for j in range(quality.HIDDEN)])
+        gate = lambda m, x: [sum(x[i] * m[i][j] for i in range(quality.HIDDEN)) for j in range(quality.GATE)]
+        e = [sum(a[j] * math.tanh(t) / (1 + math.exp(-s)) for j, (t, s) in enumerate(zip(gate(v, x), gate(u, x), strict=True))) for x in h]
+        share = [math.exp(x - max(e)) for x in e]
+        z = [sum(s * x[j] for s, x in zip(share, h, strict=True)) / sum(share) for j in range(quality.HIDDEN)]
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-sum(x * y for x, y in zip(z, c, strict=True)) - d[0])), abs=1e-5)
+        words, seen = text.split(), set()
+        for p, row in enumerate(quality.encode(text) if words else []):
+            own = words[p * quality.PASSAGE : (p + 1) * quality.PASSAGE]
+            assert row[-quality.WORDS - 1] == pytest.approx(sum(w in seen for w in own) / len(own)) and row[-quality.WORDS :].sum() == pytest.approx(1)
+            seen |= set(own)
+
+
 def test_non_negative_risk_finds_the_words_of_positives():
     rng = random.Random(5)
     draw = lambda bad: {w.encode() for w in rng.sample(WORDS, 30)} | ({b"vile" + rng.choice([b"", b"ness"])} if bad else set())
