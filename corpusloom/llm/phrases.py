@@ -5,10 +5,10 @@ words are. Texts become arrays of word numbers once, with breaks where no freque
 the number of its first k - 1 words and its last word, one 64-bit key, and so exact.
 
 For each length there are three passes over these arrays:
-- Windows are counted into BUCKETS cells by a hash of their key. A cell below the least frequency rules all its keys out; the
-  cells that are left go to every task as one bit each, half a megabyte.
-- What passes is a candidate. The distinct keys are dealt to shards of SHARD keys, about, and each becomes a minimal perfect
-  hash whose slots hold the key itself, for verification.
+- Each task gathers its distinct windows, and Spark adds up how often they were seen. Keys seen less than the least frequency
+  are no candidates; so those that are left are as few as the frequent phrases, at any size of the table.
+- The candidates are dealt to shards of SHARD keys, about, and each becomes a minimal perfect hash whose slots hold the key
+  itself, for verification.
 - Each task looks its windows up, compares the stored key, and counts them by slot into arrays, which are summed in a tree.
 Slots of frequent phrases are the numbers of the next length. Shards are files in the shared folder, and a worker holds a few
 of them at a time, however many there are.
@@ -37,8 +37,6 @@ from corpusloom.llm.exact_dedup import PerfectHash
 
 #: Occurrences of a phrase, words of the longest, and phrases of a language in the report.
 LEAST, LONGEST, MOST = 100, 5, 2000
-#: Cells of the filter, and of a part of it that is summed by itself.
-BUCKETS, CELLS = 1 << 22, 1 << 16
 #: Keys of a shard, about; shards that a worker remembers.
 SHARD, REMEMBERED = 25_000, 16
 #: Word numbers in a row of the encoded table, about.
@@ -227,46 +225,21 @@ def windows(words: np.ndarray, slots: np.ndarray, k: int, kinds: int) -> tuple[n
     return at, slots[at].astype(np.int64) * kinds + words[at + k - 1], slots[at + 1]
 
 
-def _cell(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * _MIX[0]) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-
-
-def _filtered(k: int, kinds: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(BUCKETS, dtype=_kind(least))
-        for batch in batches:
-            for words, slots in _arrays(batch):
-                of, n = np.unique(_cell(windows(words, slots, k, kinds)[1]), return_counts=True)
-                cells[of] = np.minimum(cells[of].astype(np.int64) + n, least)
-        parts = [i for i in range(0, BUCKETS, CELLS) if cells[i : i + CELLS].any()]
-        yield from _summed_rows([(i // CELLS, cells[i : i + CELLS]) for i in parts], _kind(least))
-
-    return run
-
-
-def _kind(most: int | None) -> str:
-    """The smallest numbers that hold sums which stop at `most`."""
-    return "<i8" if most is None or most >= 1 << 31 else "<i4" if most > 255 else "u1"
-
-
-def _summed_rows(parts: list[tuple[int, np.ndarray]], kind: str) -> Iterator[pa.RecordBatch]:
+def _summed_rows(parts: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     for of, n in parts:
-        yield pa.RecordBatch.from_arrays([pa.array([of]), pa.array([task]), pa.array([n.astype(kind).tobytes()], pa.binary())], ["part", "task", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([of]), pa.array([task]), pa.array([n.astype("<i8").tobytes()], pa.binary())], ["part", "task", "n"])
 
 
 SUMS = "part long, task long, n binary"
 
 
-def tree_sum(rows: DataFrame, tasks: int, most: int | None = None) -> DataFrame:
-    """The sums of the arrays n of each part, FAN tasks' at a time; most: sums stop there."""
-
-    kind = _kind(most)
+def tree_sum(rows: DataFrame, tasks: int) -> DataFrame:
+    """The sums of the arrays n of each part, FAN tasks' at a time."""
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(n, dtype=kind).astype(np.int64) for n in group["n"])
-        total = total if most is None else np.minimum(total, most)
-        return pd.DataFrame([{"part": int(group["part"].iloc[0]), "task": int(group["task"].iloc[0]) // FAN, "n": total.astype(kind).tobytes()}])
+        total = sum(np.frombuffer(n, dtype="<i8") for n in group["n"])
+        return pd.DataFrame([{"part": int(group["part"].iloc[0]), "task": int(group["task"].iloc[0]) // FAN, "n": total.tobytes()}])
 
     while True:
         rows, tasks = rows.groupBy("part", F.expr(f"task div {FAN}")).applyInPandas(added, SUMS), -(-tasks // FAN)
@@ -274,24 +247,23 @@ def tree_sum(rows: DataFrame, tasks: int, most: int | None = None) -> DataFrame:
             return rows.select("part", "n")
 
 
-def _enumerated(k: int, kinds: int, passed: np.ndarray):
+def _enumerated(k: int, kinds: int):
+    """The distinct windows of a task, the number of their last words, and how often they were seen."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, second, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            own, first = np.unique(np.concatenate(keys), return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(second)[first])], ["key", "second"])
+            own, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(second)[first].astype(np.int64)), pa.array(n)], ["key", "second", "seen"])
 
-        allowed = np.unpackbits(passed).astype(bool)
         for batch in batches:
             for words, slots in _arrays(batch):
                 _, key, last = windows(words, slots, k, kinds)
-                key, first = np.unique(key, return_index=True)
-                through = allowed[_cell(key)]
-                keys.append(key[through])
-                second.append(last[first][through].astype(np.int64))
-                held += len(keys[-1])
-                if held > WINDOWS:
+                keys.append(key)
+                second.append(last)
+                held += len(key)
+                if held > 4 * WINDOWS:
                     yield out()
                     keys, second, held = [], [], 0
         if keys:
@@ -321,11 +293,11 @@ def _slotted(folder: str, shards: int, sizes: dict[int, int], k: int, kinds: int
                     count()
                     keys, held = [], 0
                 if sum(map(len, counts.values())) > 8 * WINDOWS:
-                    yield from _summed_rows(list(counts.items()), _kind(None))
+                    yield from _summed_rows(list(counts.items()))
                     counts = {}
         if keys:
             count()
-        yield from _summed_rows(list(counts.items()), _kind(None))
+        yield from _summed_rows(list(counts.items()))
 
     return run
 
@@ -412,13 +384,8 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longe
     levels = [first]
     for k in range(2, longest + 1):
         tasks = table.rdd.getNumPartitions()
-        cells = tree_sum(table.mapInArrow(_filtered(k, kinds, least), SUMS), tasks, least)
-        passed = np.zeros(BUCKETS, dtype=bool)
-        full = F.udf(lambda n: np.packbits(np.frombuffer(n, dtype=_kind(least)) >= least).tobytes(), "binary")
-        for part, bits in cells.select("part", full("n")).collect():  # a bit a cell
-            passed[part * CELLS : (part + 1) * CELLS] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)
-        keys = table.mapInArrow(_enumerated(k, kinds, np.packbits(passed)), "key long, second long").groupBy("key").agg(F.min("second").alias("second"))
-        keys = scratch.write(keys, f"keys{k}")
+        seen = table.mapInArrow(_enumerated(k, kinds), "key long, second long, seen long").groupBy("key").agg(F.min("second").alias("second"), F.sum("seen").alias("seen"))
+        keys = scratch.write(seen.filter(F.col("seen") >= least).select("key", "second"), f"keys{k}")
         n = keys.count()
         if not n:
             break
