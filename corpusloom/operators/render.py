@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import parsing as P
+from corpusloom.functions.rows import by_row
 from corpusloom.operators.adapters import ROLES, turns
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -114,14 +115,13 @@ PARSED = {"apigen": _apigen, "toolace": _toolace, "hermes": _hermes}
 def _parsed(kind: str):
     renderer = PARSED[kind]
 
-    @F.udf(RENDERED, useArrow=True)
     def render(row: str) -> dict:
         try:
             return {"messages": [{"role": r, "content": c} for r, c in renderer(json.loads(row))], "reason": None, "prompt_only": False}
         except _NotRendered as e:
             return {"messages": None, "reason": str(e), "prompt_only": False}
 
-    return render
+    return by_row(render, RENDERED)
 
 
 def _message(role: str, content: Column) -> Column:

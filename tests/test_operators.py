@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import calls as C
 from corpusloom.functions import parsing as P
 from corpusloom.functions import text as T
+from corpusloom.functions.rows import by_row
 from corpusloom.operators import adapters, checks, compare, contamination, dedup, flags, grade, instructions, languages, mask, profile, ranks, render, sample, split, synth, tails
 from corpusloom.sources import readers
 from corpusloom.streaming import events
@@ -286,6 +287,24 @@ def test_languages_by_trigrams(spark):
 # Adapters and renderers
 
 
+def test_a_worker_holds_few_rows_of_a_batch(spark):
+    import os
+
+    def grown(text):
+        with open("/proc/self/statm") as f:
+            used = int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+        return {"used": used, "copy": [text + str(i) for i in range(20)]}
+
+    rows = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("a"), F.lit(2000)).alias("text"))
+    kind = "struct<used:bigint,copy:array<string>>"
+    used = rows.select(by_row(grown, kind)(F.col("text")).alias("x")).agg(F.max("x.used") - F.min("x.used")).first()[0]
+    assert used < 200 << 20  # all results of a batch are 320 MB
+
+    shaped = spark.range(1).select(by_row(lambda i: {"a": 7, "b": [True, None, "x"], "c": None}, "struct<a:string,b:array<string>,c:int,d:string>")(F.col("id")).alias("x")).first().x
+    assert (shaped.a, shaped.b, shaped.c, shaped.d) == ("7", ["true", None, "x"], None, None)
+    assert spark.range(0).select(by_row(lambda i: i, "bigint")("id")).collect() == []
+
+
 def test_tool_sources(spark):
     system = 'Tools: [{"name": "Get Cars", "parameters": {"type": "dict", "properties": {"make": {"type": "str"}}, "required": ["make"]}}] end'
     talk = json.dumps([{"from": "user", "value": "cars?"}, {"from": "assistant", "value": '[Get Cars(make="A, B")]'}])
