@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import parsing as P
+from corpusloom.functions.rows import by_row
 from corpusloom.functions.text import fingerprint
 
 TOOL = "struct<name:string,params:array<string>,required:array<string>,types:array<string>,container_type:string,depth:int,n_params:int>"
@@ -103,7 +104,6 @@ PARSED: dict[str, Callable[[dict], dict]] = {"apigen": _apigen, "toolace": _tool
 def _parsed(kind: str) -> Callable[[Column], Column]:
     adapter, names = PARSED[kind], T._parse_datatype_string(RECORD).names
 
-    @F.udf(RECORD.join(["struct<", ">"]).replace(" string", ":string").replace(" array", ":array").replace(" int", ":int"), useArrow=True)
     def adapt(row: str) -> dict:
         empty = dict.fromkeys(names) | {"declared": [], "tools": [], "calls": []}
         try:
@@ -111,7 +111,7 @@ def _parsed(kind: str) -> Callable[[Column], Column]:
         except Exception as e:  # the row is counted and left out
             return empty | {"error": f"{type(e).__name__}: {e}"[:200]}
 
-    return adapt
+    return by_row(adapt, RECORD.join(["struct<", ">"]).replace(" string", ":string").replace(" array", ":array").replace(" int", ":int"))
 
 
 def sql_group(ddl: Column) -> Column:

@@ -7,11 +7,11 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import parsing as P
+from corpusloom.functions.rows import by_row
 
 # The keys of the envelopes by depth, from the inside out, and the names of the defects.
 ENVELOPES = {1: ("data",), 2: ("result", "body"), 3: ("envelope", "response", "content")}
@@ -166,7 +166,7 @@ def _defective(payload: str, args: str, mode: str, depth: int) -> dict:
 
 def defective(payload: Column | str, args: Column | str, mode: Column | str, depth: Column | str) -> Column:
     """PROBE: one damaged or contradicted return (mode clean: an intact one); skipped says why there is none."""
-    return F.udf(_defective, PROBE, useArrow=True)(payload, args, mode, depth)
+    return by_row(_defective, PROBE)(payload, args, mode, depth)
 
 
 def generated(scenarios: DataFrame, modes: tuple[str, ...] = (*CORRUPTIONS, *CONTRADICTIONS), depths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -213,28 +213,19 @@ def usable_returns(turns: DataFrame, key: str, order: str) -> DataFrame:
     return good.groupBy(key).agg(F.min(F.struct(order, body.alias("text"))).alias("_f")).select(key, "_f.*")
 
 
-def _told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = []
-        for text in texts:
-            try:
-                path, own = headline(P.loads(text))
-            except RecursionError:
-                path, own = None, []
-            rows.append((None if path is None else ".".join(map(str, path)), own))
-        yield pd.DataFrame(rows, columns=["path", "spellings"])
+def _told(text: str) -> dict:
+    try:
+        path, own = headline(P.loads(text))
+    except RecursionError:
+        path, own = None, []
+    return {"path": None if path is None else ".".join(map(str, path)), "spellings": own}
 
 
 def headlines(payload: Column) -> Column:
     """Struct (path, spellings) on the headline of a return in JSON; path is null where it has none."""
-    return F.pandas_udf(_told, "path string, spellings array<string>")(payload)
+    return by_row(_told, "struct<path:string,spellings:array<string>>")(payload)
 
 
 def unquotable(payload: Column, shown: Column) -> Column:
     """The identifying leaves of a return in JSON that a text no longer shows."""
-
-    @F.pandas_udf("array<string>")
-    def missing(payload: pd.Series, shown: pd.Series) -> pd.Series:
-        return pd.Series([missing_leaves(P.loads(p), s or "") for p, s in zip(payload, shown, strict=True)], dtype=object)
-
-    return missing(payload, shown)
+    return by_row(lambda p, s: missing_leaves(P.loads(p), s or ""), "array<string>")(payload, shown)
