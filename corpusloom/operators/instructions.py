@@ -59,20 +59,24 @@ def _stripped(v: Column) -> Column:
     return F.regexp_replace(v, r"^\s+|\s+$", "")
 
 
+def _full(v: Column) -> Column:
+    return F.rlike(v, F.lit(r"\S"))
+
+
+def _parts_are(parts: Column, full: int) -> Column:
+    """Whether so many parts are full and none is blank but the first and the last; the parts are walked once, however many."""
+    shape = F.array_join(F.transform(parts, lambda p: F.when(_full(p), "1").otherwise("0")), "")
+    return F.rlike(shape, F.lit(f"^0?1{{{full}}}0?$"))
+
+
 def _two_responses(v: Column) -> Column:
     parts = F.split(v, r"\*\*\*\*\*\*")
-    last = F.size(parts) - 1
-    inner_blank = F.exists(F.transform(parts, lambda p, i: (_stripped(p) == "") & (i > 0) & (i < last)), lambda x: x)
-    said = F.filter(F.transform(parts, lambda p: _stripped(p)), lambda p: p != "")
-    return ~inner_blank & (F.size(said) == 2) & (F.get(said, F.lit(0)) != F.get(said, F.lit(1)))
+    said = F.transform(F.filter(parts, _full), _stripped)
+    return _parts_are(parts, 2) & (F.get(said, F.lit(0)) != F.get(said, F.lit(1)))
 
 
 def _paragraphs(v: Column, num_paragraphs: int) -> Column:
-    parts = F.split(v, r"\s?\*\*\*\s?")
-    last = F.size(parts) - 1
-    blank = F.transform(parts, lambda p, i: F.struct((_stripped(p) == "").alias("b"), ((i == 0) | (i == last)).alias("edge")))
-    inner = F.exists(blank, lambda x: x["b"] & ~x["edge"])
-    return ~inner & (F.size(F.filter(blank, lambda x: ~x["b"])) == num_paragraphs)
+    return _parts_are(F.split(v, r"\*\*\*"), num_paragraphs)  # a blank beside the mark makes no part full
 
 
 def _nth_paragraph(v: Column, num_paragraphs: int, nth_paragraph: int, first_word: str) -> Column:
@@ -128,7 +132,7 @@ CHECKERS: dict[str, Callable[..., Column]] = {
 
 def follows(response: Column, instruction: str, **kwargs: Any) -> Column:
     """Whether a response keeps to an instruction; a blank one never does."""
-    return (_stripped(response) != "") & CHECKERS[instruction](response, **kwargs)
+    return _full(response) & CHECKERS[instruction](response, **kwargs)
 
 
 def variants(response: Column) -> Column:

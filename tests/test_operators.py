@@ -284,6 +284,27 @@ def test_languages_by_trigrams(spark):
     assert [r.x for r in texts.orderBy("i").select(instructions.CHECKERS["language:response_language"](F.col("t"), language="en", model=model).alias("x")).collect()] == [True, False, True, True, True]
 
 
+def test_parts_are_walked_once_however_many(spark):
+    import time
+
+    text = lambda mark: F.concat(F.col("id").cast("string"), F.repeat(F.lit(f"word {mark}\n"), F.lit(5000)))
+    many = spark.range(0, 20, 1, 1).select(text("***").alias("t"), text("******").alias("u"))
+    began = time.time()
+    kept = many.select(instructions.follows(F.col("t"), "length_constraints:number_paragraphs", num_paragraphs=2).alias("a"), instructions.follows(F.col("u"), "combination:two_responses").alias("b"))
+    assert kept.filter("a or b").count() == 0 and time.time() - began < 20
+
+
+@pytest.mark.parametrize("text, n", [("a *** b", 2), ("***a\n***b***", 2), ("a *** *** b", None), ("*** ***a", None), ("a***\t", 1), ("a", 1), ("***", 0), ("*** ***", None), ("******", None), ("****", 1), ("*** a *** b *** c *** ", 3)])
+def test_paragraphs_between_marks(spark, text, n):
+    for k in range(4):
+        assert one(spark, instructions.CHECKERS["length_constraints:number_paragraphs"](F.col("t"), num_paragraphs=k), t=text) == (n == k)
+
+
+@pytest.mark.parametrize("text, good", [("a ****** b", True), ("a******  a ", False), ("******a******b****** ", True), ("a************b", False), ("a", False), ("a******b******c", False), ("******", False)])
+def test_two_responses_differ(spark, text, good):
+    assert one(spark, instructions.CHECKERS["combination:two_responses"](F.col("t")), t=text) == good
+
+
 # Adapters and renderers
 
 
