@@ -7,6 +7,7 @@ nothing but hits is shuffled. A larger index is joined by its windows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ LISTED = 200
 HELD = 8_000_000
 #: Rows that a worker holds at a time.
 ROWS = 500
+#: Windows among which a task looks for recurring ones at a time, about: twice that at most, for whole texts (8 bytes each).
+CHUNK = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -236,6 +239,49 @@ def boilerplate(idx: DataFrame, share: float = 0.5) -> DataFrame:
     return df.join(F.broadcast(items)).filter("df > most").select("h", "df")
 
 
+def _recurring(n: int, least: float, windows: int) -> Callable:
+    """Windows that rows of a chunk share: those in more than least of its rows that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def out(chunk: list[np.ndarray]) -> pa.RecordBatch:
+            own, k = np.unique(np.concatenate(chunk), return_counts=True) if chunk else (np.empty(0, np.int64), np.empty(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(own[k > least * len(chunk)])], ["h"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                own = np.unique(window_hashes((text.as_py() or b"").split(), n))
+                if len(own):
+                    rows.append(own)
+                    held += len(own)
+                if held >= 2 * windows:  # so that the last chunk, too, is no small one
+                    cut = int(np.searchsorted(np.cumsum([len(r) for r in rows]), windows)) + 1
+                    yield out(rows[:cut])
+                    rows = rows[cut:]
+                    held = sum(map(len, rows))
+        yield out(rows)
+
+    return run
+
+
+def boilerplate_of(items: DataFrame, item: str = "item_id", share: float = 0.5, n: int = N, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """boilerplate of the windows of items, with its result, where they are too many to be indexed.
+
+    A window in more than share of all rows is in more than that share of the rows of some chunk of them, so a first pass
+    gathers what recurs in chunks, and a second one counts only that, by item. What is shuffled are windows that recur and
+    the items' ids. Where an item has several rows, the share of rows is less by as much.
+    """
+    plain = normalize(F.col(text))
+    long = items.filter(F.size(F.filter(F.split(plain, " "), lambda w: w != "")) >= n).groupBy(item).agg(F.count(F.lit(1)).alias("n"))
+    count, rows = long.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    most = max(1, math.floor(count * share))
+    least = most / max(rows, 1) * (1 - 1e-9)
+    often = items.select(plain.cast("binary").alias("_text")).mapInArrow(_recurring(n, least, chunk), "h long").distinct()
+    df = probed(items, [item], often, text, n).select("h", item).distinct().groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    return df.filter(F.col("df") > most)
+
+
 def items_touched(gram_rows: DataFrame, idx: DataFrame, row: str, listed: int | None = LISTED) -> DataFrame:
     """Per item the rows that share a window with it: their number, the first of them by id, and how many are not listed.
 

@@ -108,8 +108,8 @@ def contam_overlap_fraction(spark, d):
 
 @query(f"WITH ix AS (SELECT DISTINCT g, doc_id AS item FROM {_grams('documents', 'doc_id')}), n AS (SELECT greatest(1, floor(count(DISTINCT item) * 0.005)) AS most FROM ix), df AS (SELECT g, count(*) AS df FROM ix GROUP BY g) SELECT df, count(*) AS n_grams FROM df, n WHERE df > most GROUP BY df")
 def contam_boilerplate_df(spark, d):
-    idx = contamination.index(table(spark, d, "documents"), item="doc_id")
-    return contamination.boilerplate(idx, 0.005).groupBy("df").agg(F.count(F.lit(1)).alias("n_grams"))
+    found = contamination.boilerplate_of(table(spark, d, "documents"), "doc_id", 0.005)
+    return found.groupBy("df").agg(F.count(F.lit(1)).alias("n_grams"))
 
 
 @query(f"""WITH {_INDEX}, ip AS (SELECT g, item_id AS item, pos FROM {_grams('benchmark', 'item_id')}), {_DOCS}

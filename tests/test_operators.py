@@ -8,6 +8,7 @@ import json
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,25 @@ def test_prefix_is_cut_before_words_are_made(spark):
     assert contamination.probed(rows, ["k"], idx, cap=True).count() == 0 and contamination.probed(rows, ["k"], idx).count() == 1
 
 
+@pytest.mark.parametrize("share, chunk", [(0.5, 2_000_000), (0.1, 2_000_000), (0.1, 60), (0.01, 7), (0.3, 1)])
+def test_boilerplate_is_told_from_what_recurs_in_chunks(spark, share, chunk):
+    draw = random.Random(7)
+    own = lambda: " ".join(f"w{draw.randrange(10**6)}" for _ in range(20))
+    rows = [(i % 50 if i < 90 else None, f"{own()} {SPAN if i % 3 else ''} {SPAN.upper() if i % 7 == 0 else ''} {own() if i % 2 else ''}") for i in range(100)] + [(200, None), (201, "short")]
+    items = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    want = contamination.boilerplate(contamination.index(items), share).collect()
+    got = contamination.boilerplate_of(items, share=share, chunk=chunk).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_only_windows_that_recur_leave_a_task():
+    rows = [" ".join(f"{i}x{k}" for k in range(40)) + " " + SPAN for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r.encode() for r in rows])], ["_text"])
+    out = [h for b in contamination._recurring(13, 0.2, 10_000)(iter([batch])) for h in b["h"].to_pylist()]
+    assert out == contamination.window_hashes(SPAN.encode().split(), 13).tolist()
+    assert list(contamination._recurring(13, 0.2, 10)(iter([])))[0].num_rows == 0
+
+
 def test_an_index_beyond_what_workers_hold_is_joined(spark, monkeypatch):
     rows = spark.createDataFrame([(1, f"a {SPAN} b"), (2, "a b"), (3, None), (4, "")], "k long, text string")
     idx = contamination.index(spark.createDataFrame([(1, f"{SPAN} november")], "item_id long, text string"))
