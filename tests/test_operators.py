@@ -304,6 +304,28 @@ def test_languages_by_trigrams(spark):
     assert [r.x for r in texts.orderBy("i").select(instructions.CHECKERS["language:response_language"](F.col("t"), language="en", model=model).alias("x")).collect()] == [True, False, True, True, True]
 
 
+def test_texts_are_told_together_as_each_alone():
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcßü中𝔘") for _ in range(draw.randrange(1, 6)))
+    texts = [" " + " ".join(word() for _ in range(draw.randrange(30))) + " " for _ in range(500)] + ["", " ", "  ", " a "]
+    grams = [[t[i : i + 3] for i in range(len(t) - 2)] for t in texts]
+    numbers, of = languages.numbered(texts)
+    assert [(languages.spelled(g), i) for g, i in zip(numbers.tolist(), of.tolist(), strict=True)] == [(g, i) for i, own in enumerate(grams) for g in own]
+    assert [t for few in languages._short(texts) for t in few] == texts and max(map(len, languages._short(texts))) <= languages.ROWS
+
+    every = sorted({g for own in grams for g in own})
+    shares = {g: (x, x if draw.random() < 0.9 else -4.0, -3.0) for g in draw.sample(every, len(every) // 3) for x in [math.log(draw.random())]}
+    model = languages.Model(["x", "y", "z"], shares)
+
+    def alone(own):
+        own = [shares[g] for g in own if g in shares]
+        sums = [math.fsum(s[i] for s in own) for i in range(3)]
+        return "xyz"[sums.index(max(sums))] if own else None
+
+    assert model.tell(texts) == [alone(own) for own in grams]
+    assert languages.Model([], {}).tell([" a "]) == [None] and model.tell([]) == []
+
+
 def test_parts_are_walked_once_however_many(spark):
     import time
 
