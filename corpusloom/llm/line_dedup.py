@@ -16,6 +16,10 @@ OP3_SQL states it.
 
 Lines are counted after a distinct per document and leaf, so a line that a third of all documents share spreads over all
 tasks; what is gathered per leaf is one word a position, and per document the positions of its own lines.
+
+Texts are split and masked once, into the place, leaf and hash of each line; every decision joins these. The words are taken
+afterwards from the texts, at the places of lines in leaves that many documents reach, and from no others. So whole texts
+meet places by document twice, for these words and for the result, and no line's text is joined by its leaf.
 """
 
 from __future__ import annotations
@@ -56,10 +60,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), split.alias("parts"))
     lines = texts.select("doc_id", "h", F.posexplode("parts").alias("at", "line"))
     line = F.col("line")
-    # Most lines have neither a digit nor other blanks than single spaces, and need no rewriting.
-    odd = F.rlike(line, F.lit(r"[0-9\x09-\x0D]|\x20\x20"))
-    masked = F.when(odd, F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), _BLANK, " ")).otherwise(line)
-    lines = lines.withColumn("masked", F.trim(masked))
+    lines = lines.withColumn("masked", _masked(line))
     lines = lines.withColumn("n", F.size(F.split("masked", " ")))
     if not verbatim:
         lines = lines.filter(F.col("n") >= LEAD)
@@ -76,17 +77,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
         entries = F.when(F.col("masked") == "", none).when(F.col("n") < LEAD, F.array(stands)).when(fields & (floor < documents), F.array(usual, stands)).otherwise(F.array(usual))
     else:
         entries = F.array(entry(leaf, F.xxhash64("masked"), F.lit(0), F.lit(documents)))
-    lines = lines.select("doc_id", "h", "at", "masked", F.explode(entries).alias("e")).select("doc_id", "h", "at", "e.*", "masked")
-    keys = scratch.write(lines.select("doc_id", "h", "leaf", "whole", "kind", "need").distinct(), "keys")
+    places = scratch.write(lines.select("doc_id", "h", "at", F.explode(entries).alias("e")).select("doc_id", "h", "at", "e.*"), "places")
+    keys = scratch.write(places.drop("at").distinct(), "keys")
     leaves = keys.filter("kind < 2").select("doc_id", "h", "leaf").distinct().groupBy("leaf").agg(often.alias("often")).filter("often").select("leaf")
     leaves = scratch.write(leaves, "leaves")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h"))
     exact = keys.groupBy("leaf", "whole").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"), F.max("kind").alias("kind"), first.alias("first"))
     exact = scratch.write(exact.filter("n >= need").select("leaf", "whole", F.when(F.col("kind") > 0, F.col("first.h")).alias("stays")), "exact")
     wanted = leaves.select("leaf", F.lit(True).alias("often")).unionByName(exact.select("leaf", F.lit(False).alias("often"))).groupBy("leaf").agg(F.max("often").alias("often"))
-    near = lines.drop("need").join(scratch.write(wanted, "wanted"), "leaf").withColumn("words", F.when(F.col("often") & (F.col("kind") < 2), F.split("masked", " ")))
-    every = scratch.write(near.drop("masked", "kind", "often"), "near")
-    near = every.filter("words is not null")
+    every = places.drop("need").join(scratch.write(wanted, "wanted"), "leaf").withColumn("often", F.col("often") & (F.col("kind") < 2))
+    every = scratch.write(every.drop("kind"), "every")
+    scratch.drop("places", "keys")
+    near = scratch.write(_worded(docs, every.filter("often")), "near")
 
     size = near.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.max(F.size("words")).alias("n"))
     words = near.select("leaf", F.posexplode("words").alias("i", "word")).groupBy("leaf", "i", "word").count()
@@ -96,7 +98,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
     template = template.filter(100 * F.size("fixed") >= FIXED * F.col("n")).select("leaf", "fixed")
     template = scratch.write(template, "templates")
     if several:
-        exact = exact.unionByName(_grouped(scratch, keys.filter("kind < 2"), near, words, documents))
+        exact = exact.unionByName(_grouped(scratch, near, words, documents))
 
     agree = F.size(F.filter("fixed", lambda x: F.col("words")[x["i"]] == x["word"]))
     fits = near.join(template, "leaf").filter(100 * agree >= AGREE * F.size("fixed")).select("doc_id", "h", "at", "leaf")
@@ -111,7 +113,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
     gone = gone.unionByName(same).groupBy(F.col("doc_id").alias(own), F.col("h").alias(key)).agg(F.array_except(*sets).alias("gone_at"))
     gone = scratch.write(gone.filter(F.size("gone_at") > 0), "gone").withColumnRenamed("gone_at", fresh(docs, "line_gone"))
     at = gone.columns[-1]
-    scratch.drop("keys", "near", "fits")
+    scratch.drop("every", "near", "fits")
 
     joined = docs.join(gone, (F.xxhash64("doc_id", "text") == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)), "left")
     kept = F.filter(split, lambda x, i: ~F.array_contains(F.col(at), i))
@@ -123,7 +125,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, documents: int = DOCUMENTS,
     )
 
 
-def _grouped(scratch: Scratch, keys: DataFrame, near: DataFrame, words: DataFrame, documents: int) -> DataFrame:
+def _masked(line: Column) -> Column:
+    """The words of a line with a blank between, those with a digit as fields."""
+    # Most lines have neither a digit nor other blanks than single spaces, and need no rewriting.
+    odd = F.rlike(line, F.lit(r"[0-9\x09-\x0D]|\x20\x20"))
+    return F.trim(F.when(odd, F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), _BLANK, " ")).otherwise(line))
+
+
+def _worded(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The lines at these places, as often as docs has them, with their words."""
+    # A set: rows that share doc_id and text have the same places, and each row meets all of them.
+    marks = places.groupBy(F.col("doc_id").alias("id"), "h").agg(F.collect_set(F.struct("at", "leaf", "whole")).alias("marks"))
+    own = (F.xxhash64("doc_id", "text") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    texts = docs.select("doc_id", "text").join(marks, own).select("doc_id", "h", F.split("text", "\n").alias("parts"), "marks")
+    lines = texts.select("doc_id", "h", F.explode(F.transform("marks", lambda m: F.struct(m["at"].alias("at"), m["leaf"].alias("leaf"), m["whole"].alias("whole"), F.col("parts")[m["at"]].alias("line")))).alias("m"))
+    return lines.select("doc_id", "h", "m.at", "m.leaf", "m.whole", F.split(_masked(F.col("m.line")), " ").alias("words"))
+
+
+def _grouped(scratch: Scratch, near: DataFrame, words: DataFrame, documents: int) -> DataFrame:
     """leaf and whole of the masked lines that belong to a template of their leaf, of which there may be any number."""
     forms = near.groupBy("leaf", "whole").agg(F.any_value("words").alias("words"))
     tail = forms.select("leaf", "whole", F.size("words").alias("n"), F.posexplode("words").alias("i", "word")).filter(F.col("i") >= LEAD)
@@ -134,7 +153,7 @@ def _grouped(scratch: Scratch, keys: DataFrame, near: DataFrame, words: DataFram
     groups = F.array_distinct(F.transform(F.sequence(F.lit(0), most), lambda k: F.transform(kept(k), lambda x: F.struct(x["i"], x["word"]))))
     groups = F.filter(groups, lambda g: 100 * (F.size(g) + LEAD) >= FIXED * F.col("n"))
     member = scratch.write(held.select("leaf", "whole", F.explode(F.transform(groups, lambda g: F.xxhash64(g))).alias("group")), "members")
-    lines = keys.select("doc_id", "h", "leaf", "whole").join(member, ["leaf", "whole"]).select("doc_id", "h", "leaf", "group").distinct()
+    lines = near.select("doc_id", "h", "leaf", "whole").distinct().join(member, ["leaf", "whole"]).select("doc_id", "h", "leaf", "group").distinct()
     recur = lines.groupBy("leaf", "group").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= documents)
     out = member.join(recur, ["leaf", "group"], "left_semi").select("leaf", "whole", F.lit(None).cast("long").alias("stays"))
     return scratch.write(out.distinct(), "grouped")

@@ -443,6 +443,22 @@ def test_line_dedup_finds_several_templates_in_a_leaf(spark):
     assert got == {i: t.split("\n", 1)[1] for i, t, *_ in rows}
 
 
+def test_line_dedup_joins_no_text_by_its_leaf(spark, monkeypatch):
+    rows = [(i, f"news of the day {i}\nall that was said today\nown line {i}", "en", "a", 1) for i in range(12)]
+    plans, write = {}, line_dedup.Scratch.write
+
+    def told(self, df, name, *args, **kwargs):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, df, name, *args, **kwargs)
+
+    monkeypatch.setattr(line_dedup.Scratch, "write", told)
+    docs = frame(spark, [*rows, rows[3], (None, rows[4][1], "en", "a", 1)])
+    got = line_dedup.line_dedup(spark, docs, verbatim=True, several=True).collect()
+    assert len(got) == 14 and sum("all that was said" in r.text for r in got) == 1 and sum("news of" in r.text for r in got) == 0
+    reading = {name: [x for x in plan.splitlines() if "Join " in x] for name, plan in plans.items() if "text#" in plan}
+    assert reading and not any("leaf" in x for joins in reading.values() for x in joins)
+
+
 # Packing
 
 
