@@ -5,8 +5,10 @@ words are. Texts become arrays of word numbers once, with breaks where no freque
 the number of its first k - 1 words and its last word, one 64-bit key, and so exact.
 
 For each length there are three passes over these arrays:
-- Each task gathers its distinct windows, and Spark adds up how often they were seen. Keys seen less than the least frequency
-  are no candidates; so those that are left are as few as the frequent phrases, at any size of the table.
+- Each task gathers its distinct windows and how often it has seen them, dealt to parts by key: ascending keys, of which the
+  gaps are stored, mostly a byte or two each. For each part they are added up. Keys seen less than the least frequency are
+  no candidates; so those that are left are as few as the frequent phrases, at any size of the table. There are as many
+  parts as windows / PART, so what a task holds of them stays the same.
 - The candidates are dealt to shards of SHARD keys, about, and each becomes a minimal perfect hash whose slots hold the key
   itself, for verification.
 - Each task looks its windows up, compares the stored key, and counts them by slot into arrays, which are summed in a tree.
@@ -19,6 +21,7 @@ Each phrase is stored with the slots of its first and of its last k - 1 words, s
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections import Counter, OrderedDict, defaultdict
 from collections.abc import Iterator
@@ -43,6 +46,8 @@ SHARD, REMEMBERED = 25_000, 16
 ROW = 1 << 15
 #: Distinct words that a task counts or remembers, and windows that it gathers, before it hands them on, about.
 WORDS, WINDOWS = 60_000, 300_000
+#: Windows whose sums are made together, at most.
+PART = 2_000_000
 #: Arrays that one step of the tree adds up.
 FAN = 32
 NO_LANG = "und"
@@ -247,31 +252,81 @@ def tree_sum(rows: DataFrame, tasks: int) -> DataFrame:
             return rows.select("part", "n")
 
 
-def _enumerated(k: int, kinds: int):
-    """The distinct windows of a task, the number of their last words, and how often they were seen."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0, the lowest bytes of all before the next ones, so that small numbers compress to what they hold."""
+    planes = np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def parts_for(windows: int, kinds: int) -> int:
+    """Parts for so many windows, without a factor that kinds has: the keys of one word are dealt to all of them."""
+    parts = max(1, -(-windows // PART))
+    while math.gcd(parts, kinds) > 1:
+        parts += 1
+    return parts
+
+
+def _enumerated(k: int, kinds: int, parts: int):
+    """The distinct windows of a task and how often they were seen, by part (key % parts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, second, held = [], [], 0
+        keys, held = [], 0
 
         def out() -> pa.RecordBatch:
-            own, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(second)[first].astype(np.int64)), pa.array(n)], ["key", "second", "seen"])
+            own, seen = np.unique(np.concatenate(keys), return_counts=True)
+            order = np.argsort(own % parts, kind="stable")
+            own, seen = own[order], seen[order]
+            ends = np.flatnonzero(np.diff(own % parts, append=-1)) + 1
+            rows = [(int(x[0] % parts), len(x), packed(np.diff(x // parts, prepend=0)), packed(n)) for x, n in zip(np.split(own, ends[:-1]), np.split(seen, ends[:-1]), strict=True) if len(x)]
+            kinds_of = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds_of)], ["part", "n", "gaps", "seen"])
 
         for batch in batches:
             for words, slots in _arrays(batch):
-                _, key, last = windows(words, slots, k, kinds)
-                keys.append(key)
-                second.append(last)
-                held += len(key)
+                keys.append(windows(words, slots, k, kinds)[1])
+                held += len(keys[-1])
                 if held > 4 * WINDOWS:
                     yield out()
-                    keys, second, held = [], [], 0
+                    keys, held = [], 0
         if keys:
             yield out()
 
     return run
 
 
+def _frequent(parts: int, least: int):
+    """The keys of a part that were seen so often."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.cumsum(unpacked(x, n)) for x, n in zip(rows["gaps"], rows["n"], strict=True)])
+        seen = np.concatenate([unpacked(x, n) for x, n in zip(rows["seen"], rows["n"], strict=True)])
+        order = np.argsort(keys)
+        keys, seen = keys[order], seen[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        often = np.add.reduceat(seen, starts) >= least
+        return pd.DataFrame({"key": keys[starts[often]] * parts + int(rows["part"].iloc[0])})
+
+    return run
+
+
+def _ending(keys: DataFrame, before: DataFrame | None, kinds: int) -> DataFrame:
+    """Keys with the number of their last words. before: the frequent phrases that are shorter by a word, None for words.
+
+    A phrase a..yz ends with the phrase that begins with the last words of a..y and has z as its last word.
+    """
+    keys = keys.select("key", F.expr(f"key div {kinds}").alias("first"), F.expr(f"key % {kinds}").alias("last"))
+    if before is None:
+        return keys.select("key", F.col("last").alias("second"))
+    head = before.select(F.col("slot").alias("first"), F.col("second").alias("middle"))
+    tail = before.select(F.col("first").alias("middle"), "last", F.col("slot").alias("second"))
+    return keys.join(head, "first").join(tail, ["middle", "last"]).select("key", "second")
+
+
 def _slotted(folder: str, shards: int, sizes: dict[int, int], k: int, kinds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, counts, keys, held = Shards(folder, shards), {}, [], 0
@@ -377,15 +432,18 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longe
     kinds = max([0, *(r[0] for r in words.agg(F.max(F.size("words"))).collect() if r[0])]) * shards + 1
     if kinds > 1 << 31:
         raise ValueError("more frequent words than word numbers")
-    found = words.select("shard", "langs", "words", "f").mapInArrow(_rows_of_words(shards), "slot long, lang string, phrase string, f long")
-    first = scratch.write(found.select("*", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")), "phrases1")
+    rows = words.select("shard", "langs", "words", "f").mapInArrow(_rows_of_words(shards), "slot long, lang string, phrase string, f long")
+    first = scratch.write(rows.select("*", F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")), "phrases1")
     table = scratch.write(texts.mapInArrow(_encoded(folder, shards), "words binary"), "table1")
 
-    levels = [first]
+    levels, before = [first], None
+    found = first.agg(F.sum("f")).first()[0] or 0
     for k in range(2, longest + 1):
         tasks = table.rdd.getNumPartitions()
-        seen = table.mapInArrow(_enumerated(k, kinds), "key long, second long, seen long").groupBy("key").agg(F.min("second").alias("second"), F.sum("seen").alias("seen"))
-        keys = scratch.write(seen.filter(F.col("seen") >= least).select("key", "second"), f"keys{k}")
+        parts = parts_for(found, kinds)  # a window begins with a phrase that was found
+        seen = table.mapInArrow(_enumerated(k, kinds, parts), "part int, n long, gaps binary, seen binary")
+        often = seen.groupBy("part").applyInPandas(_frequent(parts, least), "key long")
+        keys = scratch.write(_ending(often, before, kinds), f"keys{k}")
         n = keys.count()
         if not n:
             break
@@ -398,14 +456,16 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, longe
         folder, done = _write(scratch, done, f"counted{k}")
         own = done.select("shard", "keys", "second", "n").mapInArrow(_rows_of(shards, kinds, least), "slot long, first long, second long, last long, f long")
         own = scratch.write(own, f"frequent{k}")
-        if own.isEmpty():
+        found = own.agg(F.sum("f")).first()[0]
+        if not found:
             break
         levels.append(scratch.write(_named(own, levels[-1], first), f"phrases{k}"))
         if k < longest:
             fresh = scratch.write(table.mapInArrow(_annotated(folder, shards, k, kinds), "words binary, slots binary"), f"table{k}")
             scratch.drop(f"table{k - 1}")
             table = fresh
-        scratch.drop(f"keys{k}", f"candidates{k}", f"frequent{k}")
+        scratch.drop(f"keys{k}", f"candidates{k}", f"frequent{k - 1}")
+        before = own
     return _ranked([_kept(level, above) for level, above in zip(levels[1:], [*levels[2:], None], strict=False)], totals, levels[0], most)
 
 

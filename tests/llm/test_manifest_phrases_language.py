@@ -190,6 +190,42 @@ def test_strangers_find_no_slot(spark, tmp_path):
     assert sorted(held.slots(keys)) == list(range(1000)) and set(held.slots(keys + 1)) == {-1}
 
 
+def test_windows_are_handed_on_as_gaps_and_summed_by_part():
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    words, kinds = rng.integers(0, 300, 200_000).astype("<i4"), 301
+    batch = pa.RecordBatch.from_arrays([pa.array([words[i : i + 20_000].tobytes() for i in range(0, len(words), 20_000)], pa.binary())], ["words"])
+    parts = phrases.parts_for(3 * phrases.PART - 1, kinds)
+    rows = pa.Table.from_batches(phrases._enumerated(2, kinds, parts)(iter([batch, batch]))).to_pandas()
+    _, key, _ = zip(*(phrases.windows(words[i : i + 20_000], words[i : i + 20_000], 2, kinds) for i in range(0, len(words), 20_000)), strict=True)
+    own, n = np.unique(np.concatenate(key), return_counts=True)
+    assert len(rows) == parts == 3 and rows["n"].sum() == len(own)
+    assert sum(rows["gaps"].str.len() + rows["seen"].str.len()) < 3 * len(own)  # where a key with its count takes 16 bytes
+    often = pd.concat([phrases._frequent(parts, 8)(rows[rows["part"] == p]) for p in range(parts)])["key"]
+    assert sorted(often) == own[2 * n >= 8].tolist() and 0 < len(often) < len(own)
+
+
+def test_parts_share_no_factor_with_the_keys():
+    import numpy as np
+
+    assert phrases.parts_for(0, 7) == 1 and phrases.parts_for(6 * phrases.PART, 6) == 7 and phrases.parts_for(6 * phrases.PART, 35) == 6
+    numbers = np.array([0, 1, 255, 256, 1 << 40, (1 << 62) + 3, 0])
+    assert phrases.unpacked(phrases.packed(numbers), 7).tolist() == numbers.tolist()
+
+
+def test_phrases_summed_in_many_parts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "PART", 50)
+    monkeypatch.setattr(phrases, "WINDOWS", 40)
+    monkeypatch.setattr(phrases, "SHARD", 7)
+    rng = random.Random(9)
+    rows = [*odd_rows(), *((100 + i, " ".join(rng.choice("abcdef") for _ in range(40)), rng.choice(["en", None]), "a", 1) for i in range(80))]
+    got = sorted(map(tuple, phrases.collocations(spark, frame(spark, rows), 5, 5, 10_000).collect()))
+    assert got == brute_phrases(rows, 5, 5, 10_000) and max(r[2].count(" ") for r in got) >= 3
+
+
 # Languages
 
 
